@@ -172,14 +172,17 @@ class Clipped(NamedTuple):
     outliers: DataFrame  # one row: outlier_count
 
 
-def _stats_row(df: DataFrame, cols: list[str], aggs: dict) -> Column:
-    """All statistics of all columns in one aggregate, read as a scalar subquery."""
-    return df.select(
-        F.struct(
-            *[fn(nan_to_null(F.col(c).cast("double"))).alias(f"{name}_{i}")
-              for i, c in enumerate(cols) for name, fn in aggs.items()]
-        )
-    ).scalar()
+def _stats_row(df: DataFrame, cols: list[str], aggs: dict) -> dict[str, Column]:
+    """All statistics of all columns in one aggregate; its one row becomes literals.
+
+    Literals keep the plans of composed steps small: a step that embeds the plan of the
+    step before once per column grows without bound.
+    """
+    row = df.agg(
+        *[fn(nan_to_null(F.col(c).cast("double"))).alias(f"{name}_{i}")
+          for i, c in enumerate(cols) for name, fn in aggs.items()]
+    ).first()
+    return {k: F.lit(v).cast("double") for k, v in row.asDict().items()}
 
 
 def clip_outliers(
@@ -192,7 +195,7 @@ def clip_outliers(
     clipped, hits = {}, []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        m, s = stats.getField(f"m_{i}"), stats.getField(f"s_{i}")
+        m, s = stats[f"m_{i}"], stats[f"s_{i}"]
         lo = finite_or_null(m - F.lit(float(k)) * s)
         hi = finite_or_null(m + F.lit(float(k)) * s)
         clipped[c] = F.when(F.isnan(x) | x.isNull() | lo.isNull(), x).otherwise(
@@ -209,7 +212,7 @@ def apply_stats(df: DataFrame, fit_on: DataFrame, cols: list[str]) -> DataFrame:
     """Every value beside its column's mean and deviation from another table."""
     stats = _stats_row(fit_on, cols, {"m": F.avg, "s": F.stddev_samp})
     return df.withColumns(
-        {f"{c}_dev": (F.col(c) - stats.getField(f"m_{i}")) / stats.getField(f"s_{i}")
+        {f"{c}_dev": (F.col(c) - stats[f"m_{i}"]) / stats[f"s_{i}"]
          for i, c in enumerate(cols)}
     )
 
@@ -221,7 +224,7 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     )
     scaled = {}
     for i, c in enumerate(cols):
-        m, s = stats.getField(f"m_{i}"), stats.getField(f"s_{i}")
+        m, s = stats[f"m_{i}"], stats[f"s_{i}"]
         scaled[c] = (F.col(c) - m) / F.when(s == 0, F.lit(1.0)).otherwise(s)
     return df.withColumns(scaled)
 

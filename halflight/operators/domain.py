@@ -40,23 +40,27 @@ def distance_to(vector: Column, centre: Column) -> Column:
 def nearest_centroid(df: DataFrame, vector: str, centres: DataFrame) -> DataFrame:
     """Nearest centre and its distance; ``centres`` has centre_id and an array column centre.
 
-    The centres are read once as a scalar subquery and travel as one array value.
+    At most ``MAX_CENTRES`` centres are read; they travel as one constant array.
     """
-    if centres.limit(MAX_CENTRES + 1).count() > MAX_CENTRES:
+    rows = centres.select("centre_id", F.col("centre").cast("array<double>")).limit(
+        MAX_CENTRES + 1
+    ).collect()
+    if len(rows) > MAX_CENTRES:
         raise ValueError(f"more than {MAX_CENTRES} centres")
-    all_centres = centres.select(
-        F.sort_array(F.collect_list(F.struct("centre_id", "centre")))
-    ).scalar()
+    all_centres = F.array(
+        *[F.struct(F.lit(r["centre_id"]).alias("centre_id"),
+                   F.array(*[F.lit(x) for x in r["centre"]]).alias("centre")) for r in rows]
+    )
     x = F.col(vector).cast("array<double>")
     gaps = F.transform(
-        F.col("_centres"),
+        all_centres,
         lambda c: F.struct(
             distance_to(x, c["centre"].cast("array<double>")).alias("dist"),
             c["centre_id"].alias("centre_id"),
         ),
     )
     nearest = F.array_min(gaps)
-    return df.withColumn("_centres", all_centres).withColumn("_n", nearest).select(
+    return df.withColumn("_n", nearest).select(
         *df.columns, F.col("_n.centre_id").alias("centre_id"), F.col("_n.dist").alias("dist")
     )
 
@@ -141,7 +145,7 @@ def applicability_domain(
 
 def domain_accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Rows, share and accuracy inside and outside the domain."""
-    total = df.select(F.count(F.lit(1))).scalar()
+    total = F.lit(df.count())
     return df.groupBy("inside").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"),

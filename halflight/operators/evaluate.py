@@ -76,10 +76,8 @@ def score_curve(
     )
     if keys:
         return running.join(totals, keys)
-    whole = totals.select(F.struct("*")).scalar()
-    return running.withColumns(
-        {"all_pos": whole.getField("all_pos"), "all_neg": whole.getField("all_neg")}
-    )
+    whole = totals.first()
+    return running.withColumns({c: F.lit(whole[c]) for c in ("all_pos", "all_neg")})
 
 
 def _areas(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,9 +125,9 @@ def evaluate_scores(
     areas = ranking_metrics(df, label, score, keys)
     if keys:
         return base.join(areas, keys)
-    both = areas.select(F.struct("*")).scalar()
+    both = areas.first()
     return base.withColumns(
-        {"roc_auc": both.getField("roc_auc"), "pr_auc": both.getField("pr_auc")}
+        {c: F.lit(both[c]).cast("double") for c in ("roc_auc", "pr_auc")}
     )
 
 
@@ -138,12 +136,8 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     counts = df.filter(F.col(target).isNotNull()).groupBy(target).agg(
         F.count(F.lit(1)).alias("n")
     )
-    whole = counts.select(
-        F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    ).scalar()
-    return counts.withColumn(
-        "weight", whole.getField("n") / (whole.getField("k") * F.col("n"))
-    )
+    whole = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    return counts.withColumn("weight", F.lit(whole["n"]) / (F.lit(whole["k"]) * F.col("n")))
 
 
 # --- result tables -------------------------------------------------------------------------
@@ -163,11 +157,12 @@ def with_composite(results: DataFrame, missing: str = "f1") -> DataFrame:
 
 def compare_to_baseline(results: DataFrame, is_baseline: Column, cols: list[str]) -> DataFrame:
     """Improvement over the baseline row in percent; 0 where either value is missing."""
-    base = results.filter(is_baseline).select(
-        F.struct(*[F.max(nan_to_null(F.col(c))).alias(c) for c in cols])
-    ).scalar()
+    base = results.filter(is_baseline).agg(
+        *[F.max(nan_to_null(F.col(c))).alias(c) for c in cols]
+    ).first()
     return results.withColumns(
-        {f"{c}_gain_pct": improvement_pct(nan_to_null(F.col(c)), base.getField(c)) for c in cols}
+        {f"{c}_gain_pct": improvement_pct(
+            nan_to_null(F.col(c)), F.lit(base[c]).cast("double")) for c in cols}
     )
 
 
@@ -212,7 +207,7 @@ def experiment_report(
         F.sort_array(F.collect_set(F.col(method))).alias("methods_tested"),
         F.count(F.lit(1)).alias("runs"),
     )
-    base = scored.filter(is_baseline).select(F.max("composite")).scalar()
+    base = F.lit(scored.filter(is_baseline).agg(F.max("composite")).first()[0]).cast("double")
     b = F.col("best")
     return best.select(
         F.lit(experiment).alias("experiment_type"),
@@ -256,15 +251,13 @@ def generation_stats(population: DataFrame) -> DataFrame:
 
 def generation_gain(stats: DataFrame, generation: str, best: str) -> DataFrame:
     """Change of the best fitness against the first generation, and the best generation."""
-    whole = stats.select(
-        F.struct(
-            F.min_by(best, generation).alias("first"),
-            F.max_by(generation, F.struct(F.col(best), -F.col(generation))).alias("top"),
-        )
-    ).scalar()
-    first = whole.getField("first")
+    whole = stats.agg(
+        F.min_by(best, generation).alias("first"),
+        F.max_by(generation, F.struct(F.col(best), -F.col(generation))).alias("top"),
+    ).first()
+    first = F.lit(whole["first"])
     return stats.select(
         generation, best,
         ((F.col(best) - first) / F.nullif(first, F.lit(0.0)) * 100).alias("gain_pct"),
-        (F.col(generation) == whole.getField("top")).alias("is_best"),
+        (F.col(generation) == F.lit(whole["top"])).alias("is_best"),
     )

@@ -22,14 +22,15 @@ from halflight.operators.evaluate import (
     score_curve,
 )
 from halflight.operators.graph import knn_classify
+from halflight.session import cut_lineage
 
 
 def with_class_weight(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
     """Balanced weight n / (k · n_c) on every row; the weight table has one row per class."""
-    weights = class_weights(df, target).select(
-        F.map_from_entries(F.collect_list(F.struct(F.col(target).cast("int"), "weight")))
-    ).scalar()
-    return df.withColumn(name, F.element_at(weights, F.col(target).cast("int")))
+    weight = F.lit(None).cast("double")
+    for r in class_weights(df, target).collect():
+        weight = F.when(F.col(target) == F.lit(r[target]), r["weight"]).otherwise(weight)
+    return df.withColumn(name, weight)
 
 
 def random_forest(
@@ -209,7 +210,7 @@ def hyperparameter_search(
     with ThreadPoolExecutor(parallel) as pool:
         rows = list(pool.map(run, enumerate(trials)))
     table = spark.createDataFrame(rows, "trial int, settings string, f1 double, roc_auc double")
-    best = table.select(F.max_by("trial", F.struct(F.col("f1"), -F.col("trial")))).scalar()
+    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
     return table.withColumn("is_best", F.col("trial") == best)
 
 
@@ -232,8 +233,9 @@ def fold_statistics(df: DataFrame, features: list[str], target: str) -> DataFram
     ]
     wide = per.groupBy("fold").agg(*sums(0), *sums(1))
     names = [c for c in wide.columns if c != "fold"]
-    total = wide.select(F.struct(*[F.sum(c).alias(c) for c in names])).scalar()
-    rest = {c: total.getField(c) - F.coalesce(F.col(c), F.lit(0)) for c in names}
+    wide = cut_lineage(wide)  # one row per fold
+    total = wide.agg(*[F.sum(c).alias(c) for c in names]).first()
+    rest = {c: F.lit(total[c]) - F.coalesce(F.col(c), F.lit(0)) for c in names}
     weights = []
     for i, c in enumerate(features):
         n0, n1 = rest["n_0"], rest["n_1"]
@@ -261,15 +263,17 @@ def ga_fitness(
     spark = df.sparkSession
     width = len(features)
     stats = fold_statistics(df, features, target)
-    weight_of = stats.select(
-        F.map_from_entries(F.collect_list(F.struct("fold", "w")))
-    ).scalar()
+    weight_of = F.lit(None).cast("array<double>")
+    for r in stats.collect():  # one row per fold
+        weight_of = F.when(
+            F.col("fold") == r["fold"], F.array(*[F.lit(x) for x in r["w"]])
+        ).otherwise(weight_of)
     bits = F.array(*[F.lit("".join(map(str, m))) for m in masks])
     products = df.select(
         "fold", F.col(target).alias("y"),
         F.zip_with(
             F.array(*[F.col(c).cast("double") for c in features]),
-            F.element_at(weight_of, F.col("fold")), lambda x, w: x * w,
+            weight_of, lambda x, w: x * w,
         ).alias("xw"),
     ).filter("xw is not null")
     terms = [

@@ -74,7 +74,7 @@ def missing_report(df: DataFrame, cols: list[str]) -> DataFrame:
         F.struct(
             F.lit(c).alias("feature"),
             F.col(f"m{i}").alias("missing"),
-            (F.col(f"m{i}") * 100.0 / F.col("n")).alias("missing_pct"),
+            (F.col(f"m{i}") * 100.0 / F.nullif(F.col("n"), F.lit(0))).alias("missing_pct"),
         )
         for i, c in enumerate(cols)
     ]
@@ -90,8 +90,8 @@ def missing_report(df: DataFrame, cols: list[str]) -> DataFrame:
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Count and share per class."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    total = df.count()
+    return counts.withColumn("share", F.col("n") / F.lit(total))
 
 
 def crosstab(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -272,15 +272,13 @@ def histogram(
     df: DataFrame, population: str, cols: list[str], bins: int = 30
 ) -> DataFrame:
     """Equal-width bins between each feature's overall minimum and maximum, per population."""
-    stats = df.select(
-        F.struct(
-            *[fn(_as_double(c)).alias(f"{n}_{i}")
-              for i, c in enumerate(cols) for n, fn in (("lo", F.min), ("hi", F.max))]
-        )
-    ).scalar()
+    stats = df.agg(
+        *[fn(_as_double(c)).alias(f"{n}_{i}")
+          for i, c in enumerate(cols) for n, fn in (("lo", F.min), ("hi", F.max))]
+    ).first()
     cells = []
     for i, c in enumerate(cols):
-        lo, hi = stats.getField(f"lo_{i}"), stats.getField(f"hi_{i}")
+        lo, hi = (F.lit(stats[f"{n}_{i}"]).cast("double") for n in ("lo", "hi"))
         at = F.floor((_as_double(c) - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins) + F.lit(1)
         cells.append(
             F.struct(
@@ -328,7 +326,7 @@ def integrity_report(spaces: dict[str, tuple[DataFrame, list[str]]]) -> DataFram
         row = df.agg(
             nans.alias("nan_values"),
             infs.alias("inf_values"),
-            (sum(totals[1:], totals[0]) / sum(seen[1:], seen[0])).alias("mean"),
+            (sum(totals[1:], totals[0]) / F.nullif(sum(seen[1:], seen[0]), F.lit(0))).alias("mean"),
         ).select(
             F.lit(name).alias("space"), (F.col("nan_values") > 0).alias("has_nan"),
             (F.col("inf_values") > 0).alias("has_inf"), "mean",

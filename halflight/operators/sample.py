@@ -89,19 +89,14 @@ def take_first(df, row_id, quota, seed=42, keys=None) -> DataFrame:
     return mark_first(df, row_id, quota, seed, keys, "_taken").filter("_taken").drop("_taken")
 
 
-def _class_counts(df: DataFrame, target: str) -> Column:
-    return df.select(
-        F.struct(
-            F.count_if(F.col(target) == 0).alias("n0"), F.count_if(F.col(target) == 1).alias("n1")
-        )
-    ).scalar()
+def _class_counts(df: DataFrame, target: str) -> tuple[int, int]:
+    row = df.agg(F.count_if(F.col(target) == 0), F.count_if(F.col(target) == 1)).first()
+    return row[0], row[1]
 
 
 def downsample_majority(df: DataFrame, target: str, row_id: str, seed: int = 42) -> DataFrame:
     """Both classes cut to the size of the smaller one, without replacement."""
-    counts = _class_counts(df, target)
-    quota = F.least(counts.getField("n0"), counts.getField("n1"))
-    return take_first(df, row_id, quota, seed, [target])
+    return take_first(df, row_id, F.lit(min(_class_counts(df, target))), seed, [target])
 
 
 def ratio_balance(
@@ -113,20 +108,12 @@ def ratio_balance(
     seed: int = 42,
 ) -> DataFrame:
     """Smaller class kept whole, the other cut to the ratio (truncated, capped by its size)."""
-    counts = _class_counts(df, target)
-    n0, n1 = counts.getField("n0"), counts.getField("n1")
-    positive_small = n1 < n0
-    per_positive, per_negative = share_negative / share_positive, share_positive / share_negative
-    quota = F.when(
-        positive_small,
-        F.when(F.col(target) == 1, n1).otherwise(
-            F.least((n1 * F.lit(per_positive)).cast("long"), n0)
-        ),
-    ).otherwise(
-        F.when(F.col(target) == 0, n0).otherwise(
-            F.least((n0 * F.lit(per_negative)).cast("long"), n1)
-        )
-    )
+    n0, n1 = _class_counts(df, target)
+    if n1 < n0:
+        keep0, keep1 = min(int(n1 * (share_negative / share_positive)), n0), n1
+    else:
+        keep0, keep1 = n0, min(int(n0 * (share_positive / share_negative)), n1)
+    quota = F.when(F.col(target) == 1, keep1).otherwise(keep0)
     return take_first(df.filter(F.col(target).isin(0, 1)), row_id, quota, seed, [target])
 
 
@@ -174,12 +161,10 @@ def usable_folds(df: DataFrame, target: str) -> DataFrame:
     per_fold = df.groupBy("fold").agg(
         F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg")
     )
-    totals = per_fold.select(
-        F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ).scalar()
+    totals = per_fold.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     ok = (
         (F.col("pos") > 0) & (F.col("neg") > 0)
-        & (totals.getField("pos") > F.col("pos")) & (totals.getField("neg") > F.col("neg"))
+        & (F.lit(totals["pos"]) > F.col("pos")) & (F.lit(totals["neg"]) > F.col("neg"))
     )
     return per_fold.withColumn("usable", ok)
 

@@ -29,6 +29,7 @@ from halflight.operators.graph import (
     label_spreading_rbf,
 )
 from halflight.operators.sample import downsample_majority
+from halflight.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -70,12 +71,11 @@ def process_enhanced(
         select_features(labelled, settings.exclude + ids), canonical
     )
     features = usable.columns
-    clipped = clip_outliers(
-        labelled.select(*ids, *features), features, settings.clip_deviations
-    ).table
-    clipped_pool = clip_outliers(
-        pool.select(settings.row_id, *features), features, settings.clip_deviations
-    ).table
+    # the numeric rows are far smaller than what they were computed from
+    numbers = cut_lineage(labelled.select(*ids, *features))
+    pool_numbers = cut_lineage(pool.select(settings.row_id, *features))
+    clipped = clip_outliers(numbers, features, settings.clip_deviations).table
+    clipped_pool = clip_outliers(pool_numbers, features, settings.clip_deviations).table
     rows = finite_rows(clipped, features)
     pool_rows = finite_rows(clipped_pool, features)
     return Prepared(
@@ -97,6 +97,7 @@ def prepare_labelled(
     described = balanced.select(row_id, *features)
     names = [c for c in described.columns if c != row_id]
     whole = drop_nulls(attach(balanced.select(row_id, "label"), described, row_id), names)
+    whole = cut_lineage(whole)
     return clip_outliers(whole, names, k).table
 
 

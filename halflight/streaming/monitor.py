@@ -123,8 +123,8 @@ def retrain_decision(
     max_drift: float = RETRAIN_DRIFT,
 ) -> DataFrame:
     """Decision on the newest run: trigger with reasons, healthy, or none for an empty log."""
-    newest = latest_run(log, run, ts).select(run).scalar()
-    health = health_summary(log.filter(F.col(run) == newest))
+    newest = latest_run(log, run, ts).first()[run]
+    health = health_summary(log.filter(F.col(run) == F.lit(newest)))
     conf, drift = F.col("avg_confidence"), F.col("avg_drift")
     bad = (conf < min_confidence) | (drift > max_drift)
     return health.select(
@@ -151,7 +151,7 @@ def drift_score(train: DataFrame, serving: DataFrame, value: str, window: str) -
     )
     train_upto = with_running_sums(places, [F.col("value")], {"ct": "t"})
     serve_upto = with_running_sums(asked, [F.col("value")], {"cs": "n"}, [window])
-    n_train = train.select(F.count(v)).scalar()
+    n_train = F.lit(train.select(v).agg(F.count("value")).first()[0])
     sizes = asked.groupBy(window).agg(F.sum("n").alias("n_window"))
     at = F.col("cs") / F.col("n_window") - F.col("ct") / n_train
     before = (F.col("cs") - F.col("n")) / F.col("n_window") - (

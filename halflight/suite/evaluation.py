@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from halflight.functions.scoring import decide
 from halflight.operators import evaluate
+from halflight.session import cut_lineage
 from halflight.suite.base import LINES, q6, query, r6, scored_lines, table
 from halflight.suite.cleaning import rounded
 
@@ -54,12 +55,13 @@ BASE = "method = 'A' AND n_unlabeled = (SELECT min(n_unlabeled) FROM runs)"
 def runs(spark, sf):
     """One metrics row per method and run size of the scored lines."""
     scored = scored_lines(spark, sf).withColumn("pred", decide(F.col("p1")))
-    return evaluate.evaluate_scores(scored, "label", "pred", "p1", ["method", "n_unlabeled"])
+    return cut_lineage(
+        evaluate.evaluate_scores(scored, "label", "pred", "p1", ["method", "n_unlabeled"]))
 
 
 def baseline(results):
     return (F.col("method") == "A") & (
-        F.col("n_unlabeled") == results.select(F.min("n_unlabeled")).scalar())
+        F.col("n_unlabeled") == results.agg(F.min("n_unlabeled")).first()[0])
 
 
 def scored(spark, sf):
