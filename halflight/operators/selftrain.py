@@ -124,8 +124,10 @@ def quality_test(
 
     def keeps(batch: DataFrame) -> bool:
         extra = pool.join(batch.select(row_id, F.col("prediction").alias(target)), row_id)
-        rows = train.select(row_id, *features, target).unionByName(
-            extra.select(row_id, *features, target)
+        rows = cut_lineage(
+            train.select(row_id, *features, target).unionByName(
+                extra.select(row_id, *features, target)
+            )
         )
         model = random_forest(rows, features, target, trees=trees, seed=seed)
         got = classification_metrics(

@@ -64,7 +64,10 @@ def process_enhanced(
     labelled: DataFrame, pool: DataFrame, settings: Experiment,
     canonical: list[str] | None = None,
 ) -> Prepared:
-    """Select, clip each table with its own bounds, keep finite rows, scale by the labelled rows."""
+    """Select, clip each table with its own bounds, keep finite rows, scale by the labelled rows.
+
+    Both results are written once, so that every later fit reads finished numbers.
+    """
     canonical = canonical or DESCRIPTORS
     ids = [settings.row_id, settings.target]
     usable, missing = feature_intersection(
@@ -79,8 +82,10 @@ def process_enhanced(
     rows = finite_rows(clipped, features)
     pool_rows = finite_rows(clipped_pool, features)
     return Prepared(
-        standard_scale(rows, features, fit_on=rows),
-        null_target(standard_scale(pool_rows, features, fit_on=rows), settings.target),
+        cut_lineage(standard_scale(rows, features, fit_on=rows)),
+        cut_lineage(
+            null_target(standard_scale(pool_rows, features, fit_on=rows), settings.target)
+        ),
         features,
         missing,
     )

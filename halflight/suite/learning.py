@@ -8,6 +8,7 @@ from halflight.functions.text import VIEW_SIZE, VIEW_STYLE
 from halflight.operators import domain, evaluate, graph, models, sample, selftrain
 from halflight.operators.clean import standard_scale
 from halflight.plans import training
+from halflight.session import cut_lineage
 from halflight.suite.base import (
     DESC,
     LABELLED,
@@ -243,7 +244,8 @@ def prepared(spark, sf):
 
 def split_docs(spark, sf):
     done = prepared(spark, sf)
-    return sample.stratified_split(done.labelled, "label", "doc_id", 0.3), done.pool
+    split = sample.stratified_split(done.labelled, "label", "doc_id", 0.3)
+    return cut_lineage(split), done.pool
 
 
 def parts(spark, sf):
@@ -295,7 +297,8 @@ def hyperparameter_search(spark, sf):
 
 
 def half_folds(spark, sf):
-    return sample.stratified_folds(labelled_docs(spark, sf), "label", "doc_id", 2)
+    return cut_lineage(
+        sample.stratified_folds(labelled_docs(spark, sf), "label", "doc_id", 2))
 
 
 MASKS = [[1] * 8, [1, 0, 0, 0, 0, 0, 0, 0], [0, 1, 0, 1, 0, 1, 0, 1], [1, 1, 1, 0, 0, 0, 0, 0],
@@ -398,7 +401,7 @@ def self_training(spark, sf):
 @query("self_training_run")
 def self_training_run(spark, sf):
     done = prepared(spark, sf)
-    split = sample.train_val_test_split(done.labelled, "label", "doc_id")
+    split = cut_lineage(sample.train_val_test_split(done.labelled, "label", "doc_id"))
     take = lambda name: split.filter(F.col("split") == name).drop("split")
     return selftrain.self_training_run(
         take("train"), take("val"), take("test"), done.pool, DESC, "label", "doc_id",
@@ -416,7 +419,7 @@ def co_training(spark, sf):
 @query("unlabelled_size_sweep")
 def unlabelled_size_sweep(spark, sf):
     train, test, pool = parts(spark, sf)
-    ordered = sample.shuffle_order(pool, "doc_id")
+    ordered = cut_lineage(sample.shuffle_order(pool, "doc_id"))
     return selftrain.unlabelled_size_sweep(
         train, test, ordered, DESC, "label", "doc_id", [0, 100, 500], trees=TREES, max_iter=1)
 
@@ -425,7 +428,7 @@ def unlabelled_size_sweep(spark, sf):
 
 
 def vectors(spark, sf):
-    return graph_nodes(spark, sf).withColumn("features", array_to_vector("v"))
+    return cut_lineage(graph_nodes(spark, sf)).withColumn("features", array_to_vector("v"))
 
 
 @query("pca_project")

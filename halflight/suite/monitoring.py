@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from halflight.operators.clean import standard_scale
 from halflight.operators.models import logistic_regression
-from halflight.session import scratch_path
+from halflight.session import cut_lineage, scratch_path
 from halflight.streaming import monitor
 from halflight.suite.base import (
     DESC,
@@ -49,11 +49,12 @@ MEANS = ["mean_confidence", "mean_drift", "mean_latency_ms"]
 
 @query("monitor_window", f"""
 WITH {LOG} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start,
-  {q6("avg(confidence)", "mean_confidence")}, {q6("avg(drift)", "mean_drift")},
-  {q6("avg(latency_ms)", "mean_latency_ms")}, count(*) AS n FROM log GROUP BY 1""")
+  round(avg(confidence), 12) AS mean_confidence, round(avg(drift), 12) AS mean_drift,
+  round(avg(latency_ms), 12) AS mean_latency_ms, count(*) AS n FROM log GROUP BY 1""")
 def monitor_window(spark, sf):
     out = monitor.run_windows(log_stream(spark, sf))
-    return rounded(out, MEANS).withColumn(
+    # 12 digits: short decimals averaged over 2^k rows end in a 5 at the 7th digit
+    return out.withColumns({c: F.round(c, 12) for c in MEANS}).withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
@@ -107,7 +108,7 @@ def drift_score(spark, sf):
 
 @query("score_stream")
 def score_stream(spark, sf):
-    train = labelled_docs(spark, sf)
+    train = cut_lineage(labelled_docs(spark, sf))
     model = logistic_regression(standard_scale(train, DESC), DESC, "label", max_iter=50)
     path = scratch_path(spark, "arrivals")
     standard_scale(pool_docs(spark, sf), DESC, fit_on=train).write.parquet(path)

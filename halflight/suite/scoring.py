@@ -11,6 +11,7 @@ from halflight.operators.domain import class_centres, domain_threshold
 from halflight.operators.domain import nearest_centroid as nearest
 from halflight.operators.models import logistic_regression
 from halflight.operators.selftrain import view_ensemble as ensemble
+from halflight.session import cut_lineage
 from halflight.suite.base import (
     CLEANED,
     DESC,
@@ -321,7 +322,7 @@ def featurize(spark, sf):
 
 @query("score_batch")
 def score_batch(spark, sf):
-    train = labelled_docs(spark, sf)
+    train = cut_lineage(labelled_docs(spark, sf))
     model = logistic_regression(standard_scale(train, DESC), DESC, "label", max_iter=50)
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     rows = standard_scale(descriptors(spark, sf), DESC, fit_on=train).join(docs, "doc_id")
@@ -332,14 +333,15 @@ def score_batch(spark, sf):
 
 @query("score_with_domain")
 def score_with_domain(spark, sf):
-    train = standard_scale(labelled_docs(spark, sf), DESC)
+    raw = cut_lineage(labelled_docs(spark, sf))
+    train = standard_scale(raw, DESC)
     model = logistic_regression(train, DESC, "label", max_iter=50)
     placed = train.withColumn("x", F.array(*[F.col(c) for c in DESC]))
     centres = class_centres(placed, "x", "label")
     threshold = domain_threshold(nearest(placed, "x", centres))
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rows = standard_scale(
-        descriptors(spark, sf), DESC, fit_on=labelled_docs(spark, sf)).join(docs, "doc_id")
+        descriptors(spark, sf), DESC, fit_on=raw).join(docs, "doc_id")
     done, bad = score.score_with_domain(
         rows, model, DESC, "doc_id", "text", F.length(F.trim("text")) > 20, centres, threshold)
     return done.unionByName(bad.drop("input"), allowMissingColumns=True)

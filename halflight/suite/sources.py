@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from halflight.operators.models import logistic_regression, predict
-from halflight.session import scratch_path
+from halflight.session import cut_lineage, scratch_path
 from halflight.sources import models as bundles
 from halflight.sources import tables as io
 from halflight.suite.base import (
@@ -101,7 +101,7 @@ def versioned_dataset(spark, sf):
 
 @query("save_model")
 def save_model(spark, sf):
-    train = labelled_docs(spark, sf)
+    train = cut_lineage(labelled_docs(spark, sf))
     model = logistic_regression(train, DESC, "label", max_iter=50)
     path = scratch_path(spark, "model")
     bundles.save_model(model, path, "documents", "Logistic", "documents", "toxic", DESC,
