@@ -303,10 +303,17 @@ def half_folds(spark, sf):
 
 MASKS = [[1] * 8, [1, 0, 0, 0, 0, 0, 0, 0], [0, 1, 0, 1, 0, 1, 0, 1], [1, 1, 1, 0, 0, 0, 0, 0],
          [0] * 8, [0, 0, 0, 1, 1, 1, 1, 1]]
-_W = [f"""coalesce((t.s{i}_1 / t.n_1 - t.s{i}_0 / t.n_0) / ((
-      t.q{i}_0 - t.n_0 * (t.s{i}_0 / t.n_0) * (t.s{i}_0 / t.n_0)
-    + t.q{i}_1 - t.n_1 * (t.s{i}_1 / t.n_1) * (t.s{i}_1 / t.n_1)) / (t.n_0 + t.n_1 - 2)), 0.0) AS w{i}"""
-      for i in range(8)]
+
+
+def _weight_sql(i: int) -> str:
+    within = " + ".join(
+        f"(t.q{i}_{y} - t.n_{y} * (t.s{i}_{y} / t.n_{y}) * (t.s{i}_{y} / t.n_{y}))" for y in (0, 1))
+    return f"""coalesce((t.s{i}_1 / t.n_1 - t.s{i}_0 / t.n_0) / (
+      CASE WHEN {within} > (t.q{i}_0 + t.q{i}_1) * 1e-12 THEN {within} END
+      / (t.n_0 + t.n_1 - 2)), 0.0) AS w{i}"""
+
+
+_W = [_weight_sql(i) for i in range(8)]
 _SUMS = ", ".join(
     f"count(*) FILTER (label = {y}) AS n_{y}, " + ", ".join(
         f"sum({c}) FILTER (label = {y}) AS s{i}_{y}, sum({c} * {c}) FILTER (label = {y}) AS q{i}_{y}"
