@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +19,12 @@ DESCRIPTORS = [
 VIEW_SIZE = ["t_chars", "t_words", "t_lines", "t_wordlen"]
 VIEW_STYLE = ["t_distinct", "t_digit", "t_upper", "t_punct"]
 
+ASCII_PUNCTUATION = "[!-/:-@\\[-`{-~]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _share_of(text: Column, chars: str) -> Column:
-    found = F.length(text) - F.length(F.translate(text, chars, ""))
+def _share_of(text: Column, char_class: str) -> Column:
+    found = F.regexp_count(text, F.lit(char_class))
     return F.coalesce(found / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
@@ -33,21 +32,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \t\r\n]+"), "")
 
 
-def text_descriptors(text: Column) -> list[Column]:
-    w = words(text)
-    letters = F.length(F.translate(text, " \t\r\n", ""))
-    n_words = F.size(w)
+def text_descriptors(text: Column, split_words: Column | None = None) -> list[Column]:
+    """The descriptors in canonical order; pass the words when they are a column already."""
+    w = words(text) if split_words is None else split_words
+    n_words, n_distinct = F.size(w), F.size(F.array_distinct(w))
+    letters = F.length(F.array_join(w, ""))
     return [
         F.length(text).cast("double").alias("t_chars"),
         n_words.cast("double").alias("t_words"),
-        F.coalesce(F.size(F.array_distinct(w)) / F.nullif(n_words, F.lit(0)), F.lit(0.0)).alias(
+        F.coalesce(n_distinct / F.nullif(n_words, F.lit(0)), F.lit(0.0)).alias(
             "t_distinct"
         ),
-        _share_of(text, string.digits).alias("t_digit"),
-        _share_of(text, string.ascii_uppercase).alias("t_upper"),
-        _share_of(text, PUNCTUATION).alias("t_punct"),
+        _share_of(text, "[0-9]").alias("t_digit"),
+        _share_of(text, "[A-Z]").alias("t_upper"),
+        _share_of(text, ASCII_PUNCTUATION).alias("t_punct"),
         (
-            F.length(text) - F.length(F.translate(text, "\n", "")) + F.lit(1)
+            F.regexp_count(text, F.lit("\\n")) + F.lit(1)
         ).cast("double").alias("t_lines"),
         F.coalesce(letters / F.nullif(n_words, F.lit(0)), F.lit(0.0)).alias("t_wordlen"),
     ]

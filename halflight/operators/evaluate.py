@@ -70,9 +70,10 @@ def score_curve(
     running = with_running_sums(
         per_score, [F.desc("score")], {"tp": "pos", "fp": "neg"}, keys
     )
-    totals = df.groupBy(*keys).agg(
-        F.count_if(F.col(label) == 1).alias("all_pos"),
-        F.count_if(F.col(label) == 0).alias("all_neg"),
+    # from the ordered counts, so the scored rows themselves are read once
+    totals = running.groupBy(*keys).agg(
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"),
+        F.coalesce(F.sum("neg"), F.lit(0)).alias("all_neg"),
     )
     if keys:
         return running.join(totals, keys)

@@ -365,9 +365,8 @@ def ks_from_tagged(tagged: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("a").alias("n1"), F.sum(F.lit(1) - F.col("a")).alias("n0")
     )
     running = with_running_sums(per_value, [F.col("value")], {"c1": "n1", "c0": "n0"}, keys)
-    totals = tagged.groupBy(*keys).agg(
-        F.sum("a").alias("t1"), F.sum(F.lit(1) - F.col("a")).alias("t0")
-    )
+    # from the ordered counts, so the samples themselves are read once
+    totals = running.groupBy(*keys).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
     gaps = (
         running.join(totals, keys)
         .groupBy(*keys)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halflight.functions.text import DESCRIPTORS, text_descriptors
+from halflight.functions.text import DESCRIPTORS, text_descriptors, words
 from halflight.operators.clean import (
     any_positive_label,
     attach,
@@ -57,7 +57,8 @@ class Prepared(NamedTuple):
 
 def describe_documents(documents: DataFrame, row_id: str = "doc_id") -> DataFrame:
     """Row id plus the numeric descriptors of the whole text."""
-    return documents.select(F.col(row_id), *text_descriptors(F.col("text")))
+    split = documents.select(row_id, "text", words(F.col("text")).alias("_w"))
+    return split.select(row_id, *text_descriptors(F.col("text"), F.col("_w")))
 
 
 def process_enhanced(

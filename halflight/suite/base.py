@@ -51,11 +51,14 @@ def descriptors(spark, sf):
 def labelled_docs(spark, sf):
     """Descriptors and the toxic label of every labelled document."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return descriptors(spark, sf).join(labels, "doc_id")
+    # rows are chosen before any text is measured
+    chosen = table(spark, sf, "documents").join(labels, "doc_id", "left_semi")
+    return describe_documents(chosen).join(labels, "doc_id")
 
 
 def pool_docs(spark, sf):
-    return descriptors(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    return describe_documents(
+        table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti"))
 
 
 def _share(chars: str) -> str:
