@@ -131,8 +131,8 @@ def compliance_rate(spark, sf):
 
 
 def _measures(source):
-    items = [("rows", "count(*)"), ("features", "8"),
-             ("missing_values", "0"),
+    items = [("rows", "count(*)"), ("features", "max(8)"),
+             ("missing_values", "max(0)"),
              ("compliant_pct", "avg((t_words <= 500 AND t_upper <= 0.05)::INT) * 100")]
     items += [(f"mean_{c}", f"avg({c})") for c in DESC]
     return " UNION ALL ".join(

@@ -152,11 +152,11 @@ def two_models(spark, sf):
 
 
 @query("two_model_join", f"""
-WITH {MODELS}, both AS (SELECT o_orderkey, a.p1 AS p_first, b.p1 AS p_second FROM first a
+WITH {MODELS}, pair AS (SELECT o_orderkey, a.p1 AS p_first, b.p1 AS p_second FROM first a
   JOIN second b USING (o_orderkey))
-SELECT o_orderkey, {q6("p_first")}, {q6("p_second")}, NULL AS error FROM both
+SELECT o_orderkey, {q6("p_first")}, {q6("p_second")}, NULL AS error FROM pair
 UNION ALL SELECT o_orderkey, NULL, NULL, 'prediction failed' FROM orders
-  ANTI JOIN both USING (o_orderkey)""")
+  ANTI JOIN pair USING (o_orderkey)""")
 def two_model_join(spark, sf):
     requests = table(spark, sf, "orders").select("o_orderkey")
     done, failed = score.two_model_join(requests, *two_models(spark, sf), "o_orderkey")
@@ -164,8 +164,8 @@ def two_model_join(spark, sf):
 
 
 @query("view_ensemble", f"""
-WITH {MODELS}, both AS (SELECT o_orderkey, (a.p1 + b.p1) / 2 AS p FROM first a
-  JOIN second b USING (o_orderkey)), d AS (SELECT *, {decision_sql("p", "prediction", "conf")} FROM both)
+WITH {MODELS}, pair AS (SELECT o_orderkey, (a.p1 + b.p1) / 2 AS p FROM first a
+  JOIN second b USING (o_orderkey)), d AS (SELECT *, {decision_sql("p", "prediction", "conf")} FROM pair)
 SELECT o_orderkey, {q6("p", "p1")}, prediction, {q6("conf", "confidence")} FROM d""")
 def view_ensemble(spark, sf):
     return rounded(
