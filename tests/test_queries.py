@@ -4,6 +4,7 @@ import pytest
 from check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"  # the smallest log has no slow request
 NAMES = [
     "read_smi", "request_batch", "versioned_dataset", "feature_metadata", "median_impute",
     "clip_outliers", "split_valid_invalid", "dedupe_by_key", "nearest_centroid", "describe",
@@ -11,7 +12,7 @@ NAMES = [
     "stratified_folds", "classification_metrics", "best_per_method", "experiment_report",
     "score_complete", "hetero_and_halogen_counts", "reason_list", "featurize", "knn_edges",
     "label_propagation", "label_spreading_rbf", "uncertainty_order", "ga_fitness",
-    "applicability_domain", "latency_alerts", "monitor_window", "drift_score",
+    "applicability_domain", "monitor_window", "drift_score",
     "process_enhanced",
 ]
 
@@ -28,6 +29,13 @@ def test_query(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
 
 
+def test_latency_alerts_from_a_stream(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["latency_alerts"](spark, LARGER)
+    assert compare(got, connect(LARGER), entry.oracle_sql()["latency_alerts"]) is None
+
+
 def test_every_query_has_a_function_and_the_flagship_runs(spark):
     import __spark_entry__ as entry
 
