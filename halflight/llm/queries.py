@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflight.llm import chat, licenses, mixing, sharding
+from halflight.llm import chat, licenses, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.withColumnRenamed("id", "doc_id").withColumn("epoch", F.col("epoch").cast("int"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op4_chat_formatting, op8_license_scan, op9_mixing)}
+        op1_sharding, op4_chat_formatting, op8_license_scan, op9_mixing, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.oracle(),
