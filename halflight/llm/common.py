@@ -25,3 +25,13 @@ def null_safe_key(col: str | Column) -> Column:
     """A string that is equal where the values are equal or both null."""
     c = F.col(col) if isinstance(col, str) else col
     return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), c.cast("string")))
+
+
+def computed_once(value: Column) -> Column:
+    """``value``, kept out of the filters above it.
+
+    Catalyst moves a filter on a column below the projection that computes it, and so computes it
+    twice, with all that it is computed from written out at each place. It leaves expressions alone
+    that depend on the row's place, as this one seems to; the condition is always true.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
