@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflight.llm import chat, decontaminate, licenses, mixing, secret_scan, sharding, simhash
+from halflight.llm import (
+    chat,
+    decontaminate,
+    langid,
+    licenses,
+    mixing,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +40,29 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(added)))
 
 
+def _fold(parts: int):
+    """The remainder that splits documents into those that teach and those that are held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(_fold(3) != 1))
+    found = docs.select("doc_id", (_fold(3) == 1).alias("held_out"),
+                        langid.predict_language(F.col("text"), model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.language").alias("lang_pred"),
+                        F.col("p.score").alias("score"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_fold(5) != 0)
+    model = toxicity.train(docs, labels)
+    found = docs.select("doc_id", (_fold(5) == 0).alias("held_out"),
+                        toxicity.toxicity(F.col("text"), model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -54,7 +87,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op2_secret_scan, op4_chat_formatting, op7_decontamination, op8_license_scan, op9_mixing, op10_simhash)}
+        op1_sharding, op2_secret_scan, op4_chat_formatting,
+        op5_language_id, op6_toxicity, op7_decontamination, op8_license_scan, op9_mixing, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.oracle(),
