@@ -16,6 +16,7 @@ from halflight.llm import (
     secret_scan,
     sharding,
     simhash,
+    spotsigs,
     toxicity,
 )
 
@@ -33,6 +34,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.digest(spotsigs.compare_with_next(_table(spark, sf_dir, "documents")))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -87,7 +92,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op2_secret_scan, op4_chat_formatting,
+        op1_sharding, op2_secret_scan, op3_spotsigs, op4_chat_formatting,
         op5_language_id, op6_toxicity, op7_decontamination, op8_license_scan, op9_mixing, op10_simhash)}
 
 ORACLES: dict[str, str] = {
