@@ -19,13 +19,20 @@ DESCRIPTORS = [
 VIEW_SIZE = ["t_chars", "t_words", "t_lines", "t_wordlen"]
 VIEW_STYLE = ["t_distinct", "t_digit", "t_upper", "t_punct"]
 
-ASCII_PUNCTUATION = "[!-/:-@\\[-`{-~]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _share_of(text: Column, char_class: str) -> Column:
-    found = F.regexp_count(text, F.lit(char_class))
-    return F.coalesce(found / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+DIGITS = "0123456789"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _count_of(text: Column, chars: str) -> Column:
+    """How many of the characters a text has, without an array of matches."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
+def _share_of(text: Column, chars: str) -> Column:
+    return F.coalesce(_count_of(text, chars) / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
 def words(text: Column) -> Column:
@@ -43,11 +50,9 @@ def text_descriptors(text: Column, split_words: Column | None = None) -> list[Co
         F.coalesce(n_distinct / F.nullif(n_words, F.lit(0)), F.lit(0.0)).alias(
             "t_distinct"
         ),
-        _share_of(text, "[0-9]").alias("t_digit"),
-        _share_of(text, "[A-Z]").alias("t_upper"),
-        _share_of(text, ASCII_PUNCTUATION).alias("t_punct"),
-        (
-            F.regexp_count(text, F.lit("\\n")) + F.lit(1)
-        ).cast("double").alias("t_lines"),
+        _share_of(text, DIGITS).alias("t_digit"),
+        _share_of(text, CAPITALS).alias("t_upper"),
+        _share_of(text, PUNCTUATION).alias("t_punct"),
+        (_count_of(text, "\n") + F.lit(1)).cast("double").alias("t_lines"),
         F.coalesce(letters / F.nullif(n_words, F.lit(0)), F.lit(0.0)).alias("t_wordlen"),
     ]

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halflight.functions.scoring import composite_score, improvement_pct, nan_to_null
+from halflight.operators.keys import join_null_safe
 from halflight.operators.ordering import with_running_sums
 
 
@@ -76,7 +77,7 @@ def score_curve(
         F.coalesce(F.sum("neg"), F.lit(0)).alias("all_neg"),
     )
     if keys:
-        return running.join(totals, keys)
+        return join_null_safe(running, totals, keys)
     whole = totals.first()
     return running.withColumns({c: F.lit(whole[c]) for c in ("all_pos", "all_neg")})
 
@@ -125,7 +126,7 @@ def evaluate_scores(
     base = classification_metrics(df, label, pred, keys)
     areas = ranking_metrics(df, label, score, keys)
     if keys:
-        return base.join(areas, keys)
+        return join_null_safe(base, areas, keys)
     both = areas.first()
     return base.withColumns(
         {c: F.lit(both[c]).cast("double") for c in ("roc_auc", "pr_auc")}

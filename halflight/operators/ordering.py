@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from halflight.operators.keys import broadcast_if_small, join_null_safe
 from halflight.session import cut_lineage
 
 BLOCK_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
@@ -45,7 +46,7 @@ def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") ->
     blocks = ordered_blocks(df, order)
     offsets = _offsets(blocks, [], {"_before": F.count(F.lit(1))})
     return (
-        blocks.join(offsets, "_block")
+        blocks.join(broadcast_if_small(cut_lineage(offsets)), "_block")
         .withColumn(name, F.col("_before") + F.col("_pos") + F.lit(1))
         .drop("_block", "_pos", "_before")
     )
@@ -57,6 +58,7 @@ def with_running_sums(
     """Inclusive running sums (new name -> source column) in the given order, per key.
 
     The order must be total within a key. Feed it pre-aggregated rows: one per distinct value.
+    A null key is a key of its own.
     """
     keys = keys or []
     blocks = ordered_blocks(df, [F.col(k) for k in keys] + order)
@@ -69,7 +71,7 @@ def with_running_sums(
     local = blocks.select(
         "*", *[F.sum(s).over(upto).alias(f"_l_{n}") for n, s in sums.items()]
     )
-    joined = local.join(offsets, [*keys, "_block"])
+    joined = join_null_safe(local, broadcast_if_small(cut_lineage(offsets)), [*keys, "_block"])
     for n in sums:
         joined = joined.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
     drop = [f"_l_{n}" for n in sums] + [f"_o_{n}" for n in sums]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halflight.functions.scoring import nan_to_null
+from halflight.operators.keys import join_null_safe
 from halflight.operators.ordering import with_running_sums
 from halflight.operators.quantiles import exact_quantiles
 
@@ -302,7 +303,9 @@ def box_summary(df: DataFrame, cols: list[str], reach: float = 1.5) -> DataFrame
     for i, c in enumerate(cols):
         q1, _, q3 = quartiles[c]
         x = _as_double(c)
-        lo, hi = F.lit(q1 - reach * (q3 - q1)), F.lit(q3 + reach * (q3 - q1))
+        known = q1 is not None and q3 is not None  # a column without values has no fences
+        lo = F.lit(q1 - reach * (q3 - q1) if known else None).cast("double")
+        hi = F.lit(q3 + reach * (q3 - q1) if known else None).cast("double")
         aggs += [
             F.min(F.when(x >= lo, x)).alias(f"whisker_low_{i}"),
             F.max(F.when(x <= hi, x)).alias(f"whisker_high_{i}"),
@@ -368,7 +371,7 @@ def ks_from_tagged(tagged: DataFrame, keys: list[str]) -> DataFrame:
     # from the ordered counts, so the samples themselves are read once
     totals = running.groupBy(*keys).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
     gaps = (
-        running.join(totals, keys)
+        join_null_safe(running, totals, keys)
         .groupBy(*keys)
         .agg(
             F.max(F.abs(F.col("c1") / F.col("t1") - F.col("c0") / F.col("t0"))).alias("d"),

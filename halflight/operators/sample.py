@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from halflight.operators.keys import broadcast_if_small, join_null_safe
+from halflight.session import cut_lineage
+
 BUCKET_DIGITS = 3
 
 
@@ -40,9 +43,9 @@ def with_hash_rank(
     marked = _bucketed(df, row_id, seed)
     offsets = _bucket_offsets(marked, keys).drop("_n")
     inside = W.partitionBy(*keys, "_b").orderBy("_h", row_id)
+    offsets = broadcast_if_small(cut_lineage(offsets))
     return (
-        marked.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, [*keys, "_b"])
+        join_null_safe(marked.withColumn("_r", F.row_number().over(inside)), offsets, [*keys, "_b"])
         .withColumn(name, F.col("_before") + F.col("_r"))
         .drop("_h", "_b", "_r", "_before")
     )
@@ -56,7 +59,7 @@ def mark_first(
     keys: list[str] | None = None,
     name: str = "taken",
 ) -> DataFrame:
-    """Flag the first ``quota`` rows of each key in seeded order.
+    """Flag the first ``quota`` rows of each key in seeded order; a null key is a key of its own.
 
     ``quota`` may use the key columns and ``_total``, the number of rows of the key.
     """
@@ -67,8 +70,9 @@ def mark_first(
     offsets = offsets.select(
         *keys, "_b", "_n", "_before", F.greatest(quota, F.lit(0)).cast("long").alias("_quota")
     )
-    # at most 16^digits rows per class, so every bucket's decision fits a broadcast
-    placed = marked.join(F.broadcast(offsets), [*keys, "_b"])
+    # counted once for both branches below; 16^digits rows per class at most, and any number of classes
+    offsets = broadcast_if_small(cut_lineage(offsets))
+    placed = join_null_safe(marked, offsets, [*keys, "_b"])
     whole = placed.filter(
         (F.col("_before") + F.col("_n") <= F.col("_quota")) | (F.col("_before") >= F.col("_quota"))
     ).withColumn(name, F.col("_before") < F.col("_quota"))

@@ -9,6 +9,14 @@ from pyspark.sql import types as T
 from halflight.session import path_exists
 
 
+#: Quoted fields may hold line breaks, and a quote is written twice. Blanks at the ends stay, and an
+#: empty text is told from a missing one.
+CSV_TEXT = {
+    "multiLine": True, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": None,
+    "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
@@ -16,7 +24,7 @@ def read_table(
     if ".csv" not in path.rsplit("/", 1)[-1]:
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path)
-    reader = spark.read.option("header", True).option("nanValue", "NaN")
+    reader = spark.read.options(header=True, nanValue="NaN", **CSV_TEXT)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
@@ -46,13 +54,14 @@ def read_smi(spark: SparkSession, path: str, names: list[str] | None = None) ->
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, **CSV_TEXT).csv(path)
     else:
         writer.parquet(path)
 
 
 # --- feature metadata ----------------------------------------------------------------------
 
+# Field names of stored metadata.
 METADATA_SCHEMA = (
     "feature_names array<string>, n_features int, target_variable string, dataset string, "
     "scaling_method string, outlier_handling string, feature_categories map<string,array<string>>"
@@ -120,6 +129,7 @@ def use_dataset(spark: SparkSession, base: str, reference: str) -> DataFrame:
 
 # --- result logs ---------------------------------------------------------------------------
 
+# Field names of stored results.
 RESULTS_SCHEMA = (
     "method string, model string, n_unlabeled long, accuracy double, precision double, "
     "recall double, f1 double, roc_auc double, pr_auc double, training_time double, "
@@ -139,17 +149,20 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return read_optional(spark, path, RESULTS_SCHEMA)
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Nested summary document; bare NaN is accepted."""
-    return spark.read.option("multiLine", True).json(path)
-
-
 # --- requests ------------------------------------------------------------------------------
 
 
-def request_batch(requests: DataFrame, items: str, max_items: int = 100) -> DataFrame:
-    """Requests with 1..max items, one row per item with its index."""
-    ok = requests.filter(F.size(items).between(1, max_items))
-    return ok.select(
-        *[c for c in requests.columns if c != items], F.posexplode(items).alias("index", "smiles")
-    )
+def request_batch(
+    requests: DataFrame, items: str, max_items: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """Items of the requests that have 1 to ``max_items``, one row each with its index; and one row
+    per rejected request with its number of items and an error. Every request is in one of the two."""
+    others = [c for c in requests.columns if c != items]
+    n = F.coalesce(F.size(items), F.lit(0))
+    n = F.greatest(n, F.lit(0))
+    accepted = requests.filter(n.between(1, max_items)).select(
+        *others, F.posexplode(items).alias("index", "smiles"))
+    rejected = requests.filter(~n.between(1, max_items)).select(
+        *others, n.alias("n_items"), F.when(n == 0, "request has no items").otherwise(
+            f"request has more than {max_items} items").alias("error"))
+    return accepted, rejected

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from halflight.functions.scoring import confidence, decide, reason_list
 from halflight.operators.models import positive_probability
+from halflight.operators.keys import join_null_safe
 from halflight.operators.ordering import with_running_sums
 from halflight.operators.profile import kolmogorov_p
-from halflight.session import scratch_path
+from halflight.session import is_file, scratch_path
 
 # Alert and retraining limits.
 LATENCY_LIMIT_MS = 40
@@ -19,11 +20,13 @@ RETRAIN_CONFIDENCE = 0.70
 RETRAIN_DRIFT = 0.25
 
 
-def read_log_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
-    )
+def read_log_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table as a stream: a folder of files, or one file, which Spark streams by name."""
+    reader = spark.readStream.schema(schema)
+    if not is_file(spark, path):
+        return reader.parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -143,6 +146,9 @@ def drift_score(train: DataFrame, serving: DataFrame, value: str, window: str) -
     training share is only needed there. Training values are ordered once for all windows.
     """
     v = F.col(value).cast("double").alias("value")
+    # missing values have no place among the others
+    train = train.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    serving = serving.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     known = train.groupBy(v).agg(F.count(F.lit(1)).alias("t"))
     asked = serving.groupBy(window, v).agg(F.count(F.lit(1)).alias("n"))
     places = (
@@ -158,7 +164,7 @@ def drift_score(train: DataFrame, serving: DataFrame, value: str, window: str) -
         F.col("ct") - F.col("t")
     ) / n_train
     gaps = (
-        serve_upto.join(train_upto, "value").join(sizes, window)
+        join_null_safe(serve_upto.join(train_upto, "value"), sizes, [window])
         .groupBy(window)
         .agg(
             F.max(F.greatest(F.abs(at), F.abs(before))).alias("d"),
@@ -172,9 +178,9 @@ def drift_score(train: DataFrame, serving: DataFrame, value: str, window: str) -
 def run_drift(
     stream: DataFrame, train: DataFrame, value: str, width: str = "1 day"
 ) -> DataFrame:
-    """Collect a stream's values into its windows, then score the drift of every window."""
+    """Collect a stream's values into windows of any width, then score the drift of every window."""
     timed = stream.select(
-        F.date_trunc(width.split()[-1], F.col("ts").cast("timestamp")).alias("window_start"),
+        F.window(F.col("ts").cast("timestamp"), width)["start"].alias("window_start"),
         F.col(value),
     )
     return drift_score(train, run_to_table(timed, "drift"), value, "window_start")

@@ -252,14 +252,14 @@ def null_target(spark, sf):
 
 
 @query("validate_input", """
-SELECT conv_id, turn, trim(CASE role WHEN 'system' THEN '  ' ELSE concat('  ', role, ' ') END)
+SELECT conv_id, turn, trim(CASE role WHEN 'system' THEN '  ' ELSE concat('  ', text, ' ') END)
   AS text, CASE role WHEN 'system' THEN 'input cannot be empty' END AS error FROM conversations""")
 def validate_input(spark, sf):
-    role = F.col("role")
+    """All turns with blanks around their text; system turns come with blanks alone."""
     rows = table(spark, sf, "conversations").select(
         "conv_id", "turn",
-        F.when(role == "system", "  ").otherwise(F.concat(F.lit("  "), role, F.lit(" "))).alias(
-            "text"))
+        F.when(F.col("role") == "system", "  ").otherwise(
+            F.concat(F.lit("  "), F.col("text"), F.lit(" "))).alias("text"))
     return clean.validate_input(rows, "text")
 
 

@@ -22,7 +22,7 @@ from halflight.suite.cleaning import rounded
 
 def log_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return monitoring_log(monitor.read_log_stream(spark, sf, "events.parquet", schema))
+    return monitoring_log(monitor.read_log_stream(spark, f"{sf}/events.parquet", schema))
 
 
 def log_table(spark, sf):
@@ -106,11 +106,32 @@ def drift_score(spark, sf):
                    ["d"])
 
 
+@query("run_drift", f"""
+WITH {LOG}, train AS (SELECT confidence AS x FROM log WHERE event_type <> 'error'),
+serving AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, confidence AS x
+  FROM log WHERE event_type = 'error'),
+windows AS (SELECT DISTINCT w FROM serving),
+tagged AS (SELECT w, x, 1 AS a FROM train, windows UNION ALL SELECT w, x, 0 FROM serving),
+per AS (SELECT w, x, sum(a) AS n1, sum(1 - a) AS n0 FROM tagged GROUP BY w, x),
+cum AS (SELECT w, sum(n1) OVER s / sum(n1) OVER (PARTITION BY w) AS f1,
+  sum(n0) OVER s / sum(n0) OVER (PARTITION BY w) AS f0, sum(n0) OVER (PARTITION BY w) AS n FROM per
+  WINDOW s AS (PARTITION BY w ORDER BY x))
+SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, {q6("max(abs(f1 - f0))", "d")},
+  max(n)::BIGINT AS n_window FROM cum GROUP BY w""")
+def run_drift(spark, sf):
+    """Error events in windows of six hours against all other events."""
+    serving = log_stream(spark, sf).filter("event_type = 'error'")
+    train = log_table(spark, sf).filter("event_type <> 'error'")
+    out = monitor.run_drift(serving, train, "confidence", "6 hours")
+    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
+                              "d", "n_window"), ["d"])
+
+
 @query("score_stream")
 def score_stream(spark, sf):
     train = cut_lineage(labelled_docs(spark, sf))
     model = logistic_regression(standard_scale(train, DESC), DESC, "label", max_iter=50)
     path = scratch_path(spark, "arrivals")
     standard_scale(pool_docs(spark, sf), DESC, fit_on=train).write.parquet(path)
-    arrivals = monitor.read_log_stream(spark, path, "*.parquet", spark.read.parquet(path).schema)
+    arrivals = monitor.read_log_stream(spark, path, spark.read.parquet(path).schema)
     return monitor.run_to_table(monitor.score_stream(arrivals, model, ["doc_id"]), "scores")

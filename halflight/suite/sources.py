@@ -23,12 +23,13 @@ from halflight.suite.base import (
 from halflight.suite.evaluation import METRICS, RUNS, runs
 
 
-@query("read_table", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+@query("read_table", "SELECT * FROM documents")
 def read_table(spark, sf):
-    part = table(spark, sf, "part")
-    path = scratch_path(spark, "part") + ".csv"
-    io.write_table(part, path, "csv")
-    return io.read_table(spark, path, part.schema)
+    """Texts with line breaks and quotes through a CSV file."""
+    docs = table(spark, sf, "documents")
+    path = scratch_path(spark, "documents") + ".csv"
+    io.write_table(docs, path, "csv")
+    return io.read_table(spark, path, docs.schema)
 
 
 @query("read_optional", """
@@ -153,4 +154,19 @@ FROM (SELECT doc_id, items, unnest(range(1, len(items) + 1)) AS i
 def request_batch(spark, sf):
     requests = table(spark, sf, "documents").select(
         "doc_id", F.split("text", "\n").alias("molecules"))
-    return io.request_batch(requests, "molecules")
+    return io.request_batch(requests, "molecules")[0]
+
+
+@query("request_errors", r"""
+SELECT doc_id, len(items)::INT AS n_items, 'request has more than 100 items' AS error
+FROM (SELECT doc_id, string_split(text, chr(10)) AS items FROM documents) WHERE len(items) > 100
+UNION ALL SELECT conv_id, 0, 'request has no items' FROM conversations
+GROUP BY conv_id HAVING count(*) FILTER (role = 'system') = 0""")
+def request_errors(spark, sf):
+    """Rejected requests: the oversized documents, and conversations without a system turn."""
+    requests = table(spark, sf, "documents").select(
+        "doc_id", F.split("text", "\n").alias("molecules"))
+    system = F.collect_list(F.when(F.col("role") == "system", F.col("text")))
+    empty = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(
+        system.alias("molecules"))
+    return io.request_batch(requests.unionByName(empty), "molecules")[1]
