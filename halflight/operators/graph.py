@@ -20,8 +20,6 @@ from halflight.operators.sample import hash_key
 from halflight.session import cut_lineage
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
-DENSE_ROWS = 10_000  # fixed value: above this many rows the neighbour graph replaces the kernel
 
 
 def _matrix(column) -> np.ndarray:
@@ -67,7 +65,6 @@ def knn_edges(
     queries: DataFrame | None = None,
     include_self: bool = False,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """(src, dst, dist): the k nearest rows of ``data`` for every row, ties by lower id.
 
@@ -82,15 +79,14 @@ def knn_edges(
     n = points.count()
     if n == 0:
         return data.sparkSession.createDataFrame([], "src long, dst long, dist double")
-    n_pivots = 1 if n <= block_rows else min(max_pivots, 2 * math.ceil(n / block_rows))
-    # at most max_pivots vectors reach the driver
+    n_pivots = math.ceil(math.sqrt(n))  # cells and rows of a cell grow alike; so many vectors reach the driver
     pivots = np.array(
         [r["v"] for r in points.orderBy(hash_key("id", 7), "id").limit(n_pivots).collect()],
         dtype=float,
     )
 
     placed = points.mapInPandas(_placer(pivots), "id long, v array<double>, cell int, r double")
-    placed = cut_lineage(placed) if n_pivots > 1 else placed
+    placed = cut_lineage(placed)
     nearest = W.partitionBy("cell").orderBy("r")
     radii = (
         placed.select("cell", "r")
@@ -104,19 +100,16 @@ def knn_edges(
     cells = {c["cell"]: c for c in spans.join(radii, "cell").collect()}  # one row per pivot
     route = _router(pivots, cells, k + 1 if skip_self else k)
     wanted = asked.mapInPandas(route, "id long, v array<double>, cells array<int>")
-    if n_pivots > 1:
-        wanted = cut_lineage(wanted)
-        loads = {
-            r["cell"]: r["n"]
-            for r in wanted.select(F.explode("cells").alias("cell"))
-            .groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-        }
-    else:
-        loads = {0: n if itself else asked.count()}
+    wanted = cut_lineage(wanted)
+    loads = {
+        r["cell"]: r["n"]
+        for r in wanted.select(F.explode("cells").alias("cell"))
+        .groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
 
     def per_cell(sizes):
-        return F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / block_rows)))
-                         for c in range(n_pivots)])
+        blocks = [max(1, math.ceil(sizes.get(c, 0) / block_rows)) for c in range(n_pivots)]
+        return F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<int>")
 
     cuts, groups = per_cell({c: row["n"] for c, row in cells.items()}), per_cell(loads)
 
@@ -209,66 +202,18 @@ def rbf_edges(
     return edges.withColumn("w", F.exp(F.lit(-float(gamma)) * F.col("dist") * F.col("dist")))
 
 
-def kernel_sums(
-    queries: DataFrame, data: DataFrame, gamma: float, values: list[str],
-    zero_diagonal: bool = False, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Σ_j exp(−γ·d(q, j)²) · value_j for every query row, summed block by block.
-
-    No pair leaves a block. Both tables have columns id and v. Meant for tables within
-    ``DENSE_ROWS``; larger ones use neighbour edges.
-    """
-    n_q = max(1, math.ceil(queries.count() / block_rows))
-    n_d = max(1, math.ceil(data.count() / block_rows))
-
-    def slot(n):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-
-    def spread(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    # aliases give both sides their own columns when they come from one table
-    fresh = lambda names: [F.col(c).alias(c) for c in names]
-    left = queries.select(*fresh(["id", "v"]), slot(n_q).alias("a"), spread(n_d).alias("b"))
-    right = data.select(
-        *fresh(["id", "v", *values]), slot(n_d).alias("b"), spread(n_q).alias("a")
-    )
-
-    def weigh(q, d):
-        if len(q) == 0 or len(d) == 0:
-            return pd.DataFrame({"id": [], **{c: [] for c in values}})
-        w = np.exp(-gamma * _squared(_matrix(q["v"]), _matrix(d["v"])))
-        same = q["id"].to_numpy()[:, None] == d["id"].to_numpy()[None, :]
-        w[same] = 0.0 if zero_diagonal else 1.0
-        sums = w @ d[values].to_numpy(dtype=float)
-        return pd.DataFrame({"id": q["id"], **{c: sums[:, i] for i, c in enumerate(values)}})
-
-    schema = "id long, " + ", ".join(f"{c} double" for c in values)
-    return (
-        left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(weigh, schema)
-        .groupBy("id").agg(*[F.sum(c).alias(c) for c in values])
-    )
-
-
 # --- propagation ---------------------------------------------------------------------------
 
 
 def _start(nodes: DataFrame) -> DataFrame:
-    """One-hot distributions of labelled rows; (0, 0) for the rest."""
+    """One-hot distributions of labelled rows as first state and as target; (0, 0) for the rest."""
     y = F.col("label")
-    return nodes.select(
+    one_hot = nodes.select(
         "id", y.isNotNull().alias("known"),
-        F.when(y == 0, 1.0).otherwise(0.0).alias("f0"),
-        F.when(y == 1, 1.0).otherwise(0.0).alias("f1"),
+        F.when(y == 0, 1.0).otherwise(0.0).alias("y0"),
+        F.when(y == 1, 1.0).otherwise(0.0).alias("y1"),
     )
-
-
-def _settled(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
-    gap = before.select("id", F.col("f0").alias("b0"), F.col("f1").alias("b1")).join(after, "id")
-    moved = gap.agg(
-        F.sum(F.abs(F.col("f0") - F.col("b0")) + F.abs(F.col("f1") - F.col("b1")))
-    ).first()[0]
-    return moved is None or moved < tolerance
+    return one_hot.withColumns({"f0": F.col("y0"), "f1": F.col("y1")})
 
 
 def _spread_once(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -279,62 +224,42 @@ def _spread_once(edges: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _iterate(start, step, rounds, tolerance, cut_every):
-    state = start
-    for i in range(rounds):
-        moved = step(state)
-        if tolerance is None:
-            state = cut_lineage(moved) if (i + 1) % cut_every == 0 else moved
-            continue
-        moved = cut_lineage(moved)
-        done = _settled(state, moved, tolerance)
-        state = moved
-        if done:
-            break
-    return state
-
+def _iterate(
+    start: DataFrame, edges: DataFrame, update, rounds: int, tolerance: float | None
+) -> DataFrame:
+    """Rounds until the distributions move by less than ``tolerance`` in all, ``rounds`` at most.
 
-def _clamped(start: DataFrame, sums: DataFrame) -> DataFrame:
-    """Rows normalised to 1, then labelled rows put back to their label."""
-    total = F.col("s0") + F.col("s1")
-    part = lambda s: F.coalesce(F.col(s) / F.when(total == 0, 1.0).otherwise(total), F.lit(0.0))
-    base = start.select("id", "known", F.col("f0").alias("y0"), F.col("f1").alias("y1"))
-    return base.join(sums, "id", "left").select(
-        "id", "known",
-        F.when(F.col("known"), F.col("y0")).otherwise(part("s0")).alias("f0"),
-        F.when(F.col("known"), F.col("y1")).otherwise(part("s1")).alias("f1"),
-    )
+    A round is one table: the new state beside how far each row moved. The edges are written before.
+    """
+    state = cut_lineage(start)
+    for _ in range(rounds):
+        moved = state.join(_spread_once(edges, state), "id", "left")
+        f0, f1 = update("s0", "y0"), update("s1", "y1")
+        gap = F.abs(f0 - F.col("f0")) + F.abs(f1 - F.col("f1"))
+        state = cut_lineage(moved.select(
+            "id", "known", "y0", "y1", gap.alias("gap"), f0.alias("f0"), f1.alias("f1")))
+        total = state.agg(F.sum("gap")).first()[0]
+        if tolerance is not None and (total is None or total < tolerance):
+            break
+    return _normalised(state)
 
 
 def label_propagation(
-    nodes: DataFrame, edges: DataFrame, max_iter: int = 100, tolerance: float | None = 1e-3,
-    cut_every: int = 3,
+    nodes: DataFrame, edges: DataFrame, max_iter: int = 1000, tolerance: float | None = 1e-3
 ) -> DataFrame:
     """Hard-clamped propagation over (src, dst, w) edges.
 
-    ``tolerance=None`` runs exactly ``max_iter`` rounds. Returns id, f0, f1 with rows
+    ``tolerance=None`` runs exactly ``max_iter`` rounds. Returns id, known, f0, f1 with rows
     summing to 1 where any label reached them.
     """
-    start = _start(nodes)
-    step = lambda state: _clamped(start, _spread_once(edges, state))
-    return _normalised(_iterate(start, step, max_iter, tolerance, cut_every))
+    total = F.col("s0") + F.col("s1")
 
+    def update(s, y):
+        share = F.coalesce(F.col(s) / F.when(total == 0, 1.0).otherwise(total), F.lit(0.0))
+        return F.when(F.col("known"), F.col(y)).otherwise(share)
 
-def label_propagation_rbf(
-    nodes: DataFrame, gamma: float, max_iter: int = 100, tolerance: float | None = 1e-3,
-    cut_every: int = 3,
-) -> DataFrame:
-    """Propagation with the full kernel; nodes have id, v and label."""
-    start = _start(nodes)
-    vectors = nodes.select("id", "v")
-
-    def step(state):
-        sums = kernel_sums(vectors, vectors.join(state, "id"), gamma, ["f0", "f1"])
-        return _clamped(
-            start, sums.withColumnRenamed("f0", "s0").withColumnRenamed("f1", "s1")
-        )
-
-    return _normalised(_iterate(start, step, max_iter, tolerance, cut_every))
+    return _iterate(_start(nodes), cut_lineage(edges.select("src", "dst", "w")), update, max_iter,
+                    tolerance)
 
 
 def spreading_weights(edges: DataFrame) -> DataFrame:
@@ -350,54 +275,15 @@ def spreading_weights(edges: DataFrame) -> DataFrame:
 
 
 def label_spreading(
-    nodes: DataFrame, edges: DataFrame, alpha: float = 0.2, max_iter: int = 100,
-    tolerance: float | None = 1e-3, cut_every: int = 3,
+    nodes: DataFrame, edges: DataFrame, alpha: float = 0.2, max_iter: int = 1000,
+    tolerance: float | None = 1e-3,
 ) -> DataFrame:
     """F ← α·S·F + (1 − α)·Y over symmetric-normalised edges."""
-    start = _start(nodes)
-    weights = cut_lineage(spreading_weights(edges))
-    return _normalised(
-        _iterate(
-            start,
-            lambda s: _mixed(start, _spread_once(weights, s), alpha),
-            max_iter, tolerance, cut_every,
-        )
-    )
 
+    def update(s, y):
+        return F.coalesce(F.col(s), F.lit(0.0)) * alpha + F.col(y) * (1.0 - alpha)
 
-def label_spreading_rbf(
-    nodes: DataFrame, gamma: float, alpha: float = 0.2, max_iter: int = 100,
-    tolerance: float | None = 1e-3, cut_every: int = 3,
-) -> DataFrame:
-    """Spreading with the full kernel, its diagonal left out."""
-    start = _start(nodes)
-    vectors = nodes.select("id", "v")
-    ones = vectors.withColumn("one", F.lit(1.0))
-    degree = cut_lineage(
-        kernel_sums(vectors, ones, gamma, ["one"], zero_diagonal=True)
-        .select("id", F.sqrt(F.coalesce(F.nullif("one", F.lit(0.0)), F.lit(1.0))).alias("root"))
-    )
-
-    def step(state):
-        scaled = vectors.join(state, "id").join(degree, "id").withColumns(
-            {"f0": F.col("f0") / F.col("root"), "f1": F.col("f1") / F.col("root")}
-        )
-        sums = kernel_sums(vectors, scaled, gamma, ["f0", "f1"], zero_diagonal=True)
-        sums = sums.join(degree, "id").select(
-            "id", (F.col("f0") / F.col("root")).alias("s0"),
-            (F.col("f1") / F.col("root")).alias("s1"),
-        )
-        return _mixed(start, sums, alpha)
-
-    return _normalised(_iterate(start, step, max_iter, tolerance, cut_every))
-
-
-def _mixed(start, sums, alpha):
-    base = start.select("id", "known", F.col("f0").alias("y0"), F.col("f1").alias("y1"))
-    mix = lambda s, y: F.coalesce(F.col(s), F.lit(0.0)) * alpha + F.col(y) * (1.0 - alpha)
-    return base.join(sums, "id", "left").select(
-        "id", "known", mix("s0", "y0").alias("f0"), mix("s1", "y1").alias("f1")
-    )
+    return _iterate(_start(nodes), cut_lineage(spreading_weights(edges)), update, max_iter, tolerance)
 
 
 def _normalised(state: DataFrame) -> DataFrame:

@@ -21,12 +21,10 @@ from halflight.operators.clean import (
     standard_scale,
 )
 from halflight.operators.graph import (
-    DENSE_ROWS,
     knn_edges,
     label_propagation,
-    label_propagation_rbf,
     label_spreading,
-    label_spreading_rbf,
+    rbf_edges,
 )
 from halflight.operators.sample import downsample_majority
 from halflight.session import cut_lineage
@@ -108,19 +106,20 @@ def prepare_labelled(
 
 
 def graph_learn(
-    nodes: DataFrame, method: str, n_features: int, alpha: float = 0.2, k: int = 7,
-    max_iter: int = 100, tolerance: float | None = 1e-3, dense_rows: int = DENSE_ROWS,
+    nodes: DataFrame, method: str, graph: str, n_features: int, alpha: float = 0.2, k: int = 7,
+    max_iter: int = 1000, tolerance: float | None = 1e-3, **kw,
 ) -> DataFrame:
-    """Label propagation or spreading with the full kernel, or with neighbours when large.
+    """Label propagation or spreading over the k nearest neighbours.
 
-    ``nodes`` has id, v and a nullable label.
+    ``method`` is 'propagation' or 'spreading'; ``graph`` is 'knn' for unit weights or 'rbf_knn' for
+    kernel weights with γ = 1 / ``n_features``. ``nodes`` has id, v and a nullable label.
     """
-    gamma = 1.0 / n_features
-    if nodes.count() <= dense_rows:
-        if method == "propagation":
-            return label_propagation_rbf(nodes, gamma, max_iter, tolerance)
-        return label_spreading_rbf(nodes, gamma, alpha, max_iter, tolerance)
-    edges = knn_edges(nodes, "id", "v", k, include_self=True).withColumn("w", F.lit(1.0))
+    if method not in ("propagation", "spreading") or graph not in ("knn", "rbf_knn"):
+        raise ValueError(f"unknown method or graph: {method}, {graph}")
+    if graph == "knn":
+        edges = knn_edges(nodes, "id", "v", k, include_self=True, **kw).withColumn("w", F.lit(1.0))
+    else:
+        edges = rbf_edges(nodes, "id", "v", 1.0 / n_features, k, include_self=True, **kw)
     if method == "propagation":
         return label_propagation(nodes, edges, max_iter, tolerance)
     return label_spreading(nodes, edges, alpha, max_iter, tolerance)

@@ -60,11 +60,11 @@ def test_kernel_propagation_matches_numpy(spark):
         f = w @ f
         f /= f.sum(1, keepdims=True)
         f[[0, 25]] = y[[0, 25]]
-    got = graph.label_propagation_rbf(df, 0.5, 3, tolerance=None).orderBy("id").collect()
+    got = graph.label_propagation(df, graph.rbf_edges(df, "id", "v", 0.5, 40, include_self=True), 3, tolerance=None).orderBy("id").collect()
     assert np.allclose([r.f1 for r in got], f[:, 1])
 
 
 def test_spreading_separates_two_groups(spark):
     _, df = nodes(spark)
-    got = graph.label_spreading_rbf(df, 0.5, max_iter=30).orderBy("id").collect()
+    got = graph.label_spreading(df, graph.rbf_edges(df, "id", "v", 0.5, 40, include_self=True), max_iter=30).orderBy("id").collect()
     assert all((r.f1 > 0.5) == (r.id >= 20) for r in got)
