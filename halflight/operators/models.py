@@ -6,17 +6,17 @@ import json
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halflight.functions.scoring import confidence, decide
 from halflight.operators.evaluate import (
-    class_weights,
     compare_to_baseline,
     evaluate_scores,
     score_curve,
@@ -25,42 +25,130 @@ from halflight.operators.graph import knn_classify
 from halflight.session import cut_lineage
 
 
-def with_class_weight(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    """Balanced weight n / (k · n_c) on every row; the weight table has one row per class."""
-    weight = F.lit(None).cast("double")
-    for r in class_weights(df, target).collect():
-        weight = F.when(F.col(target) == F.lit(r[target]), r["weight"]).otherwise(weight)
+#: More values of a target than this are not classes.
+MAX_CLASSES = 1000
+
+
+class Spread(NamedTuple):
+    """What one pass over the training rows tells: rows per class, and per feature the number, mean
+    and sum of squared deviations of its finite values."""
+
+    classes: dict
+    features: list[tuple[int, float, float]]
+
+
+def _finite(column: str) -> str:
+    x = f"CAST(`{column}` AS DOUBLE)"
+    return f"CASE WHEN abs({x}) < CAST('Infinity' AS DOUBLE) THEN {x} END"
+
+
+def _spread(rows: DataFrame, values: list[Column], target: str) -> Spread:
+    aggs = [f(v).alias(f"{n}{i}") for i, v in enumerate(values)
+            for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]
+    groups = rows.groupBy(target).agg(F.count(F.lit(1)).alias("rows"), *aggs).limit(MAX_CLASSES + 1).collect()
+    if len(groups) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} values")
+    found = []
+    for i in range(len(values)):
+        n, mean, squares = 0, 0.0, 0.0
+        for g in groups:
+            if g[f"n{i}"]:
+                k, gap = g[f"n{i}"], g[f"m{i}"] - mean
+                squares += g[f"v{i}"] * k + gap * gap * n * k / (n + k)
+                mean += gap * k / (n + k)
+                n += k
+        found.append((n, mean, squares))
+    return Spread({g[target]: g["rows"] for g in groups}, found)
+
+
+def _number(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)"
+
+
+def fit_inputs(
+    train: DataFrame, features: list[str], target: str, clip: float | None = None, scale: bool = False
+) -> tuple[SQLTransformer, Spread]:
+    """A transformer that adds ``_x0, _x1, ...``: the features as a model reads them.
+
+    Missing and infinite values become the training mean (0 if the column has none), then values are
+    clipped to mean ± ``clip`` sample deviations, then scaled to mean 0 and deviation 1. All numbers
+    are those of ``train`` and are part of the transformer, so they are saved with the model and
+    hold for every table it scores. No row is dropped.
+    """
+    spread = _spread(train, [F.expr(_finite(c)) for c in features], target)
+    exprs = [f"coalesce({_finite(c)}, {_number(mean)})"
+             for c, (_, mean, _) in zip(features, spread.features, strict=True)]
+    if clip is not None:
+        for i, (n, mean, squares) in enumerate(spread.features):
+            reach = clip * math.sqrt(squares / (n - 1)) if n > 1 else 0.0
+            exprs[i] = (f"least(greatest({exprs[i]}, {_number(mean - reach)}), {_number(mean + reach)})")
+    if scale:
+        clipped = _spread(train, [F.expr(e) for e in exprs], target) if clip is not None else spread
+        for i, (n, mean, squares) in enumerate(clipped.features):
+            deviation = math.sqrt(squares / n) if n else 0.0
+            exprs[i] = f"({exprs[i]} - {_number(mean)}) / {_number(deviation or 1.0)}"
+    named = ", ".join(f"{e} AS _x{i}" for i, e in enumerate(exprs))
+    return SQLTransformer(statement=f"SELECT *, {named} FROM __THIS__"), spread
+
+
+def apply_inputs(df: DataFrame, inputs: SQLTransformer, features: list[str]) -> DataFrame:
+    """``df`` with its features as the fitted transformer makes them."""
+    made = inputs.transform(df)
+    return made.withColumns({c: F.col(f"_x{i}") for i, c in enumerate(features)}).drop(
+        *[f"_x{i}" for i in range(len(features))])
+
+
+def _fitted(rows: DataFrame, inputs: SQLTransformer, features: list[str], model) -> PipelineModel:
+    assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))],
+                                outputCol="features", handleInvalid="error")
+    return Pipeline(stages=[inputs, assembler, model]).fit(rows)
+
+
+def with_class_weight(
+    df: DataFrame, target: str, name: str = "weight", classes: dict | None = None
+) -> DataFrame:
+    """Balanced weight n / (k · n_c) on every row; ``classes`` may give the rows per class."""
+    if classes is None:
+        classes = _spread(df, [], target).classes
+    classes = {c: n for c, n in classes.items() if c is not None}
+    weight, total = F.lit(None).cast("double"), sum(classes.values())
+    for c, n in classes.items():
+        weight = F.when(F.col(target) == F.lit(c), total / (len(classes) * n)).otherwise(weight)
     return df.withColumn(name, weight)
 
 
 def random_forest(
     train: DataFrame, features: list[str], target: str, trees: int = 100, max_depth: int = 10,
     min_leaf: int = 1, subset: str = "sqrt", balanced: bool = True, seed: int = 42,
+    clip: float | None = None, scale: bool = False,
 ) -> PipelineModel:
-    """Forest over the named columns; ``max_depth`` may be at most 30 in Spark."""
-    rows = train.withColumn("_y", F.col(target).cast("double"))
+    """Forest over the named columns; ``max_depth`` may be at most 30 in Spark. Rows without a
+    target do not teach; gaps in features are filled as ``fit_inputs`` says."""
+    rows = train.filter(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
+    inputs, spread = fit_inputs(rows, features, target, clip, scale)
     forest = RandomForestClassifier(
         labelCol="_y", featuresCol="features", numTrees=trees, maxDepth=max_depth,
         minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed,
     )
     if balanced:
-        rows = with_class_weight(rows, target, "_weight")
+        rows = with_class_weight(rows, target, "_weight", spread.classes)
         forest = forest.setWeightCol("_weight")
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, forest]).fit(rows)
+    return _fitted(rows, inputs, features, forest)
 
 
 def logistic_regression(
-    train: DataFrame, features: list[str], target: str, c: float = 1.0, max_iter: int = 1000
+    train: DataFrame, features: list[str], target: str, c: float = 1.0, max_iter: int = 1000,
+    clip: float | None = None, scale: bool = False,
 ) -> PipelineModel:
-    """L2 logistic regression; C of the usual form becomes regParam 1/(C·n)."""
-    rows = train.withColumn("_y", F.col(target).cast("double"))
+    """L2 logistic regression; C of the usual form becomes regParam 1/(C·n). Rows without a target do
+    not teach; gaps in features are filled as ``fit_inputs`` says."""
+    rows = train.filter(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
+    inputs, spread = fit_inputs(rows, features, target, clip, scale)
     model = LogisticRegression(
-        labelCol="_y", maxIter=max_iter, regParam=1.0 / (c * max(1, rows.count())),
-        standardization=False,
+        labelCol="_y", maxIter=max_iter, standardization=False,
+        regParam=1.0 / (c * max(1, sum(spread.classes.values()))),
     )
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, model]).fit(rows)
+    return _fitted(rows, inputs, features, model)
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:

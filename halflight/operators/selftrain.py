@@ -148,31 +148,25 @@ def self_training(
 ):
     """(model, pseudo-label table): fit, label confident pool rows, repeat.
 
-    Only (row id, label, round) of new rows is kept between rounds; features are joined
-    back from the pool, so a round writes no more than the rows it labels.
+    A round scores the rows that are left and writes them once; the confident ones move to the
+    training rows, which are written once, and the others are the next round's pool.
     """
-    base = labelled.select(row_id, *features, F.col(target).cast("int").alias(target))
-    spark = labelled.sparkSession
-    pseudo = spark.createDataFrame(
+    names = [row_id, *features, target]
+    train = cut_lineage(labelled.select(row_id, *features, F.col(target).cast("int").alias(target)))
+    rest = pool.select(row_id, *features)
+    pseudo = labelled.sparkSession.createDataFrame(
         [], f"{row_id} {dict(pool.dtypes)[row_id]}, {target} int, round int, confidence double"
     )
-    model = random_forest(base, features, target, trees, max_depth, seed=seed)
+    model = random_forest(train, features, target, trees, max_depth, seed=seed)
     for i in range(1, max_iter + 1):
-        rest = pool.join(pseudo.select(row_id), row_id, "left_anti")
-        found = cut_lineage(
-            predict(model, rest, [row_id])
-            .filter(F.col("confidence") > threshold)
-            .select(row_id, F.col("prediction").alias(target), F.lit(i).alias("round"),
-                    "confidence")
-        )
+        scored = cut_lineage(predict(model, rest, [row_id, *features]))
+        found = scored.filter(F.col("confidence") > threshold).withColumn(target, F.col("prediction"))
         if found.isEmpty():
             break
-        pseudo = pseudo.unionByName(found)
-        extra = pool.select(row_id, *features).join(pseudo.select(row_id, target), row_id)
-        model = random_forest(
-            base.unionByName(extra.select(*base.columns)), features, target, trees, max_depth,
-            seed=seed,
-        )
+        pseudo = pseudo.unionByName(found.select(row_id, target, F.lit(i).alias("round"), "confidence"))
+        train = cut_lineage(train.unionByName(found.select(names)))
+        rest = scored.filter(~(F.col("confidence") > threshold)).select(row_id, *features)
+        model = random_forest(train, features, target, trees, max_depth, seed=seed)
     return model, pseudo
 
 
@@ -182,9 +176,15 @@ def co_training(
     per_round: int = CO_TRAINING_PER_ROUND, max_iter: int = CO_TRAINING_ROUNDS,
     trees: int = 100, max_depth: int = 10, seed: int = 42,
 ):
-    """((model, model), pseudo-label table): two view models label rows for each other."""
+    """((model, model), pseudo-label table): two view models label rows for each other.
+
+    Both models score one table in turn, without a join. A round moves 2 · ``per_round`` rows at
+    most, so the rows that it takes out are broadcast.
+    """
     features = list(dict.fromkeys(first_view + second_view))
-    base = labelled.select(row_id, *features, F.col(target).cast("int").alias(target))
+    names = [row_id, *features, target]
+    train = cut_lineage(labelled.select(row_id, *features, F.col(target).cast("int").alias(target)))
+    rest = pool.select(row_id, *features)
     pseudo = labelled.sparkSession.createDataFrame(
         [], f"{row_id} {dict(pool.dtypes)[row_id]}, {target} int, teacher int, round int"
     )
@@ -195,24 +195,38 @@ def co_training(
             random_forest(rows, second_view, target, trees, max_depth, seed=seed),
         )
 
-    models = fit(base)
+    models = fit(train)
     for i in range(1, max_iter + 1):
-        rest = pool.join(pseudo.select(row_id), row_id, "left_anti")
-        one = predict(models[0], rest, [row_id]).select(row_id, F.col("p1").alias("p_first"))
-        two = predict(models[1], rest, [row_id]).select(row_id, F.col("p1").alias("p_second"))
+        one = predict(models[0], rest, [row_id, *features]).withColumnRenamed("p1", "p_first")
+        two = predict(models[1], one.drop("prediction", "confidence"), [row_id, *features, "p_first"])
+        scored = cut_lineage(two.select(row_id, *features, "p_first", F.col("p1").alias("p_second")))
         found = cut_lineage(
-            co_training_round(one.join(two, row_id), row_id, ("p_first", "p_second"),
-                              threshold, per_round)
+            co_training_round(scored, row_id, ("p_first", "p_second"), threshold, per_round)
             .select(row_id, F.col("label").alias(target), "teacher", F.lit(i).alias("round"))
         )
         if found.isEmpty():
             break
         pseudo = pseudo.unionByName(found)
-        extra = pool.select(row_id, *features).join(pseudo.select(row_id, target), row_id)
-        models = fit(base.unionByName(extra.select(*base.columns)))
+        taken = F.broadcast(found)
+        extra = scored.join(taken.select(row_id, target), row_id).select(names)
+        train = cut_lineage(train.unionByName(extra))
+        rest = scored.join(taken.select(row_id), row_id, "left_anti").select(row_id, *features)
+        models = fit(train)
     return models, pseudo
 
 
+def co_training_metrics(
+    models: tuple, test: DataFrame, target: str, row_id: str
+) -> DataFrame:
+    """Metrics of the two view models' mean probability on test rows; one row."""
+    keep = [c for c in test.columns]
+    one = predict(models[0], test, keep).withColumnRenamed("p1", "p_first")
+    two = predict(models[1], one.drop("prediction", "confidence"), [*keep, "p_first"])
+    p = (F.col("p_first") + F.col("p1")) / 2
+    both = two.select(row_id, target, p.alias("p1")).withColumn("prediction", decide(F.col("p1")))
+    return evaluate_scores(both, target, "prediction", "p1")
+
+
 def self_training_run(
     train: DataFrame, validate: DataFrame, test: DataFrame, pool: DataFrame | None,
     features: list[str], target: str, row_id: str, threshold: float = 0.8,

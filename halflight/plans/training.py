@@ -26,7 +26,7 @@ from halflight.operators.graph import (
     label_spreading,
     rbf_edges,
 )
-from halflight.operators.sample import downsample_majority
+from halflight.operators.sample import downsample_majority, stratified_split
 from halflight.session import cut_lineage
 
 
@@ -80,10 +80,19 @@ def process_enhanced(
     clipped_pool = clip_outliers(pool_numbers, features, settings.clip_deviations).table
     rows = finite_rows(clipped, features)
     pool_rows = finite_rows(clipped_pool, features)
+    fit_on = rows
+    if settings.fit_on == "train":
+        # the share of test rows is set apart before any number is fitted
+        split = stratified_split(
+            rows, settings.target, settings.row_id, settings.test_share, settings.seed)
+        fit_on = split.filter("split = 'train'").drop("split")
+    elif settings.fit_on != "all":
+        raise ValueError(f"fit_on is 'all' or 'train', not {settings.fit_on!r}")
+    fit_on = cut_lineage(fit_on)
     return Prepared(
-        cut_lineage(standard_scale(rows, features, fit_on=rows)),
+        cut_lineage(standard_scale(rows, features, fit_on=fit_on)),
         cut_lineage(
-            null_target(standard_scale(pool_rows, features, fit_on=rows), settings.target)
+            null_target(standard_scale(pool_rows, features, fit_on=fit_on), settings.target)
         ),
         features,
         missing,

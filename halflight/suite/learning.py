@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from halflight.functions.text import VIEW_SIZE, VIEW_STYLE
 from halflight.operators import domain, evaluate, graph, models, sample, selftrain
-from halflight.operators.clean import standard_scale
 from halflight.plans import training
 from halflight.session import cut_lineage
 from halflight.suite.base import (
@@ -27,7 +26,7 @@ from halflight.suite.base import (
 from halflight.suite.cleaning import rounded
 from halflight.suite.sampling import hash_rank
 
-TREES = 20  # forests of the registered queries; the operators default to 100
+TREES = 100
 
 
 # --- graphs --------------------------------------------------------------------------------
@@ -257,20 +256,30 @@ def prepared(spark, sf):
         labelled_docs(spark, sf), pool_docs(spark, sf), training.Experiment(row_id="doc_id"))
 
 
+def labelled_parts(spark, sf):
+    """(train, test) of the labelled documents; clipped and scaled by the training rows."""
+    split = cut_lineage(
+        sample.stratified_split(labelled_docs(spark, sf), "label", "doc_id", 0.3))
+    train = split.filter("split = 'train'").drop("split")
+    inputs, _ = models.fit_inputs(train, DESC, "label", clip=3.0, scale=True)
+    made = cut_lineage(models.apply_inputs(split, inputs, DESC))
+    take = lambda name: made.filter(F.col("split") == name).drop("split")
+    return take("train"), take("test"), inputs
+
+
 def split_docs(spark, sf):
-    done = prepared(spark, sf)
-    split = sample.stratified_split(done.labelled, "label", "doc_id", 0.3)
-    return cut_lineage(split), done.pool
+    train, test, _ = labelled_parts(spark, sf)
+    return train.withColumn("split", F.lit("train")).unionByName(
+        test.withColumn("split", F.lit("test")))
 
 
 def parts(spark, sf):
-    split, pool = split_docs(spark, sf)
-    return (split.filter("split = 'train'").drop("split"),
-            split.filter("split = 'test'").drop("split"), pool)
+    train, test, inputs = labelled_parts(spark, sf)
+    return train, test, cut_lineage(models.apply_inputs(pool_docs(spark, sf), inputs, DESC))
 
 
 def flagship(spark, sf):
-    train, test, _ = parts(spark, sf)
+    train, test, _ = labelled_parts(spark, sf)
     model = models.random_forest(train, DESC, "label", trees=TREES)
     scored = models.predict(model, test, ["doc_id", "label"])
     return evaluate.evaluate_scores(scored, "label", "prediction", "p1")
@@ -278,37 +287,39 @@ def flagship(spark, sf):
 
 @query("random_forest")
 def random_forest(spark, sf):
-    train, test, _ = parts(spark, sf)
+    train, test, _ = labelled_parts(spark, sf)
     return models.predict(
         models.random_forest(train, DESC, "label", trees=TREES), test, ["doc_id", "label"])
 
 
 @query("logistic_regression")
 def logistic_regression(spark, sf):
-    train, test, _ = parts(spark, sf)
+    train, test, _ = labelled_parts(spark, sf)
     return models.predict(
         models.logistic_regression(train, DESC, "label"), test, ["doc_id", "label"])
 
 
 @query("rbf_svm")
 def rbf_svm(spark, sf):
-    train, test, _ = parts(spark, sf)
+    train, test, _ = labelled_parts(spark, sf)
     return models.rbf_svm(train, test, DESC, "label", ["doc_id", "label"])
 
 
 @query("compare_models")
 def compare_models(spark, sf):
-    split, _ = split_docs(spark, sf)
+    split = split_docs(spark, sf)
     return models.compare_models(
         split, {"all": DESC, "size": VIEW_SIZE}, "label", "doc_id", trees=TREES)
 
 
 @query("hyperparameter_search")
 def hyperparameter_search(spark, sf):
-    train, test, _ = parts(spark, sf)
+    train, test, _ = labelled_parts(spark, sf)
     trials = models.draw_trials(
-        {"trees": [10, 20, 30], "max_depth": [4, 6, 8], "min_leaf": [1, 2, 4]}, 4)
-    return models.hyperparameter_search(train, test, DESC, "label", trials)
+        {"trees": [10, 20, 30], "max_depth": [4, 6, 8], "min_leaf": [1, 2, 4]}, 20)
+    inner = cut_lineage(sample.stratified_split(train, "label", "doc_id", 0.25, seed=43))
+    take = lambda name: inner.filter(F.col("split") == name).drop("split")
+    return models.hyperparameter_search(take("train"), take("test"), DESC, "label", trials)
 
 
 def half_folds(spark, sf):
@@ -372,7 +383,7 @@ def ga_feature_select(spark, sf):
 
 @query("retrain_selected")
 def retrain_selected(spark, sf):
-    split, _ = split_docs(spark, sf)
+    split = split_docs(spark, sf)
     return models.retrain_selected(split, DESC, VIEW_STYLE, "label", "doc_id", trees=TREES)
 
 
@@ -415,8 +426,7 @@ def best_of_generation_delta(spark, sf):
 @query("self_training")
 def self_training(spark, sf):
     train, _, pool = parts(spark, sf)
-    _, pseudo = selftrain.self_training(train, pool, DESC, "label", "doc_id", 0.75, max_iter=3,
-                                        trees=TREES)
+    _, pseudo = selftrain.self_training(train, pool, DESC, "label", "doc_id", 0.75, trees=TREES)
     return pseudo
 
 
@@ -427,14 +437,14 @@ def self_training_run(spark, sf):
     take = lambda name: split.filter(F.col("split") == name).drop("split")
     return selftrain.self_training_run(
         take("train"), take("val"), take("test"), done.pool, DESC, "label", "doc_id",
-        threshold=0.8, target_size=2500, trees=TREES, max_iter=2)
+        threshold=0.8, target_size=2500, trees=TREES)
 
 
 @query("co_training")
 def co_training(spark, sf):
     train, _, pool = parts(spark, sf)
     _, pseudo = selftrain.co_training(train, pool, VIEW_SIZE, VIEW_STYLE, "label", "doc_id",
-                                      max_iter=3, trees=TREES)
+                                      trees=TREES)
     return pseudo
 
 

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from halflight.operators.clean import standard_scale
-from halflight.operators.models import logistic_regression
+from halflight.operators.models import logistic_regression, predict
 from halflight.session import cut_lineage, scratch_path
 from halflight.streaming import monitor
 from halflight.suite.base import (
     DESC,
+    LABELLED,
     LOG,
     labelled_docs,
     monitoring_log,
@@ -127,11 +127,20 @@ def run_drift(spark, sf):
                               "d", "n_window"), ["d"])
 
 
-@query("score_stream")
+@query("score_stream", f"""
+WITH {LABELLED} SELECT doc_id, 0.0 AS gap, true AS consistent FROM pool""")
 def score_stream(spark, sf):
+    """Scores of pool rows that arrive as a stream, against the same model's batch scores."""
     train = cut_lineage(labelled_docs(spark, sf))
-    model = logistic_regression(standard_scale(train, DESC), DESC, "label", max_iter=50)
+    model = logistic_regression(train, DESC, "label", clip=3.0, scale=True)
     path = scratch_path(spark, "arrivals")
-    standard_scale(pool_docs(spark, sf), DESC, fit_on=train).write.parquet(path)
+    pool_docs(spark, sf).write.parquet(path)
     arrivals = monitor.read_log_stream(spark, path, spark.read.parquet(path).schema)
-    return monitor.run_to_table(monitor.score_stream(arrivals, model, ["doc_id"]), "scores")
+    scored = monitor.run_to_table(monitor.score_stream(arrivals, model, ["doc_id"]), "scores")
+    batch = predict(model, spark.read.parquet(path), ["doc_id"]).select(
+        "doc_id", F.col("p1").alias("p_batch"))
+    p = F.col("p1")
+    same = (F.col("prediction") == (p >= 0.5).cast("int")) & (
+        F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-12)
+    return scored.join(batch, "doc_id").select(
+        "doc_id", r6(F.abs(p - F.col("p_batch")), "gap"), same.alias("consistent"))

@@ -6,10 +6,9 @@ from halflight.functions import scoring as fn
 from halflight.functions import structure as st
 from halflight.operators import featurize as feat
 from halflight.operators import score
-from halflight.operators.clean import standard_scale
 from halflight.operators.domain import class_centres, domain_threshold
 from halflight.operators.domain import nearest_centroid as nearest
-from halflight.operators.models import logistic_regression
+from halflight.operators.models import apply_inputs, fit_inputs, logistic_regression
 from halflight.operators.selftrain import view_ensemble as ensemble
 from halflight.session import cut_lineage
 from halflight.suite.base import (
@@ -325,9 +324,9 @@ def featurize(spark, sf):
 @query("score_batch")
 def score_batch(spark, sf):
     train = cut_lineage(labelled_docs(spark, sf))
-    model = logistic_regression(standard_scale(train, DESC), DESC, "label", max_iter=50)
+    model = logistic_regression(train, DESC, "label", clip=3.0, scale=True)
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    rows = standard_scale(descriptors(spark, sf), DESC, fit_on=train).join(docs, "doc_id")
+    rows = descriptors(spark, sf).join(docs, "doc_id")
     done, bad = score.score_batch(rows, model, DESC, "doc_id", "text",
                                   F.length(F.trim("text")) > 20)
     return done.unionByName(bad.drop("input"), allowMissingColumns=True)
@@ -336,14 +335,14 @@ def score_batch(spark, sf):
 @query("score_with_domain")
 def score_with_domain(spark, sf):
     raw = cut_lineage(labelled_docs(spark, sf))
-    train = standard_scale(raw, DESC)
-    model = logistic_regression(train, DESC, "label", max_iter=50)
+    inputs, _ = fit_inputs(raw, DESC, "label", clip=3.0, scale=True)
+    train = cut_lineage(apply_inputs(raw, inputs, DESC))
+    model = logistic_regression(train, DESC, "label")
     placed = train.withColumn("x", F.array(*[F.col(c) for c in DESC]))
     centres = class_centres(placed, "x", "label")
     threshold = domain_threshold(nearest(placed, "x", centres))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    rows = standard_scale(
-        descriptors(spark, sf), DESC, fit_on=raw).join(docs, "doc_id")
+    rows = apply_inputs(descriptors(spark, sf), inputs, DESC).join(docs, "doc_id")
     done, bad = score.score_with_domain(
         rows, model, DESC, "doc_id", "text", F.length(F.trim("text")) > 20, centres, threshold)
     return done.unionByName(bad.drop("input"), allowMissingColumns=True)

@@ -9,6 +9,7 @@ from halflight.sources import tables as io
 from halflight.suite.base import (
     DESC,
     FEATS,
+    LABELLED,
     LINES,
     STRUCTURES,
     descriptors,
@@ -100,16 +101,22 @@ def versioned_dataset(spark, sf):
         "version", F.lit(io.latest_version(spark, base, "labels")))
 
 
-@query("save_model")
+@query("save_model", f"""
+WITH {LABELLED} SELECT doc_id, 'documents' AS dataset, 0.0 AS gap FROM pool""")
 def save_model(spark, sf):
+    """Scores of a saved and loaded model with its clipping and scaling, against those before."""
     train = cut_lineage(labelled_docs(spark, sf))
-    model = logistic_regression(train, DESC, "label", max_iter=50)
+    model = logistic_regression(train, DESC, "label", clip=3.0, scale=True)
     path = scratch_path(spark, "model")
     bundles.save_model(model, path, "documents", "Logistic", "documents", "toxic", DESC,
                        {"rows": float(train.count())}, spark)
     loaded, info = bundles.load_model(spark, path)
     dataset = info.select("dataset").scalar()
-    return predict(loaded, pool_docs(spark, sf), ["doc_id"]).withColumn("dataset", dataset)
+    rows = cut_lineage(pool_docs(spark, sf))
+    before = predict(model, rows, ["doc_id", *DESC]).withColumnRenamed("p1", "p_before")
+    after = predict(loaded, before.drop("prediction", "confidence"), ["doc_id", "p_before"])
+    return after.select("doc_id", dataset.alias("dataset"),
+                        r6(F.abs(F.col("p1") - F.col("p_before")), "gap"))
 
 
 @query("results_table", f"""
