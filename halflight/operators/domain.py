@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halflight.operators.quantiles import exact_quantiles
 
-MAX_CENTRES = 1000
+CENTRE_BLOCK = 5000
+# Seedings of a clustering, and rounds of each at most.
+SEEDINGS, ROUNDS = 10, 300
 
 
 def pca_project(
@@ -38,55 +45,79 @@ def distance_to(vector: Column, centre: Column) -> Column:
 
 
 def nearest_centroid(df: DataFrame, vector: str, centres: DataFrame) -> DataFrame:
-    """Nearest centre and its distance; ``centres`` has centre_id and an array column centre.
+    """Nearest centre and its distance, ties to the lowest id; ``centres`` has centre_id and an
+    array column centre. A row without a vector, or any row when there is no centre, gets nulls.
 
-    At most ``MAX_CENTRES`` centres are read; they travel as one constant array.
+    Centres go through the driver and to the tasks in blocks of ``CENTRE_BLOCK`` by id, as arrays;
+    each Arrow batch of rows meets a block as one matrix, and the best of all blocks counts.
     """
-    rows = centres.select("centre_id", F.col("centre").cast("array<double>")).limit(
-        MAX_CENTRES + 1
-    ).collect()
-    if len(rows) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} centres")
-    all_centres = F.array(
-        *[F.struct(F.lit(r["centre_id"]).alias("centre_id"),
-                   F.array(*[F.lit(x) for x in r["centre"]]).alias("centre")) for r in rows]
-    )
+    kind = centres.schema["centre_id"].dataType.simpleString()
+    known = centres.select("centre_id", F.col("centre").cast("array<double>")).orderBy("centre_id")
     x = F.col(vector).cast("array<double>")
-    gaps = F.transform(
-        all_centres,
-        lambda c: F.struct(
-            distance_to(x, c["centre"].cast("array<double>")).alias("dist"),
-            c["centre_id"].alias("centre_id"),
-        ),
-    )
-    nearest = F.array_min(gaps)
-    return df.withColumn("_n", nearest).select(
-        *df.columns, F.col("_n.centre_id").alias("centre_id"), F.col("_n.dist").alias("dist")
-    )
+    block, found = [], []
+
+    def matched(rows) -> Column:
+        ids = [r["centre_id"] for r in rows]
+        places = np.array([r["centre"] for r in rows], dtype=float)
+
+        @F.pandas_udf(f"dist double, centre_id {kind}")
+        def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                there = batch.notna().to_numpy()
+                dist, best = np.full(len(batch), np.nan), [None] * len(batch)
+                where = np.flatnonzero(there)
+                step = max(1, 4_000_000 // places.size)
+                for at in range(0, len(where), step):
+                    part = where[at:at + step]
+                    q = np.stack(batch.iloc[part].to_numpy()).astype(float)
+                    gaps = np.sqrt(np.square(q[:, None, :] - places[None]).sum(2))
+                    nearest = gaps.argmin(1)
+                    dist[part] = gaps[np.arange(len(part)), nearest]
+                    for i, j in zip(part, nearest, strict=True):
+                        best[i] = ids[j]
+                yield pd.DataFrame({"dist": dist, "centre_id": pd.Series(best, dtype=object)})
+
+        return match(x)
+
+    for row in known.toLocalIterator():
+        block.append(row)
+        if len(block) == CENTRE_BLOCK:
+            found.append(matched(block))
+            block = []
+    if block:
+        found.append(matched(block))
+    if not found:
+        return df.withColumns({"centre_id": F.lit(None).cast(kind), "dist": F.lit(None).cast("double")})
+    names = [f"_n{i}" for i in range(len(found))]
+    placed = df.withColumns(dict(zip(names, found, strict=True)))
+    best = F.array_min(F.array(*names)) if len(names) > 1 else F.col(names[0])
+    missing = F.col(vector).isNull()
+    return placed.select(
+        *df.columns, F.when(~missing, best["centre_id"]).alias("centre_id"),
+        F.when(~missing, best["dist"]).alias("dist"))
 
 
 def class_centres(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Mean vector per class, one partial sum per class and position."""
-    long = df.select(
-        F.col(label).alias("centre_id"), F.posexplode(F.col(vector).cast("array<double>"))
-    )
-    means = long.groupBy("centre_id", "pos").agg(F.avg("col").alias("m"))
-    return means.groupBy("centre_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]
-        ).alias("centre")
-    )
+    """Mean vector per class; partial means are merged before rows move."""
+    rows = df.select(
+        F.col(label).alias("centre_id"),
+        array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return rows.groupBy("centre_id").agg(
+        vector_to_array(Summarizer.mean(F.col("_v"))).alias("centre"))
 
 
 def inertia_by_k(
     train: DataFrame, features: str, ks: range = range(2, 11), seed: int = 42
 ) -> list[tuple[int, float]]:
     """Within-cluster sum of squares for each k (one control value per fit)."""
-    out = []
-    for k in ks:
-        model = KMeans(featuresCol=features, k=k, seed=seed, maxIter=20).fit(train)
-        out.append((k, float(model.summary.trainingCost)))
-    return out
+    return [(k, float(best_clusters(train, features, k, seed).summary.trainingCost)) for k in ks]
+
+
+def best_clusters(train: DataFrame, features: str, k: int, seed: int = 42) -> KMeansModel:
+    """The best of ``SEEDINGS`` fits with ``ROUNDS`` rounds at most."""
+    fits = [KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=ROUNDS).fit(train)
+            for i in range(SEEDINGS)]
+    return min(fits, key=lambda m: m.summary.trainingCost)
 
 
 def elbow_k(inertias: DataFrame) -> DataFrame:
@@ -115,7 +146,7 @@ def kmeans_assign(
         tried = spark.createDataFrame(inertia_by_k(train, features, seed=seed),
                                       "k int, inertia double")
         k = elbow_k(tried).first()["best_k"]
-    model = KMeans(featuresCol=features, k=k, seed=seed, maxIter=50).fit(train)
+    model = best_clusters(train, features, k, seed)
     centres = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "centre_id int, centre array<double>",

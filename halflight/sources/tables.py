@@ -12,8 +12,8 @@ from halflight.session import path_exists
 #: Quoted fields may hold line breaks, and a quote is written twice. Blanks at the ends stay, and an
 #: empty text is told from a missing one.
 CSV_TEXT = {
-    "multiLine": True, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": None,
-    "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
 }
 
 
@@ -24,7 +24,8 @@ def read_table(
     if ".csv" not in path.rsplit("/", 1)[-1]:
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path)
-    reader = spark.read.options(header=True, nanValue="NaN", **CSV_TEXT)
+    # a field without quotes and characters is missing; the value named here stands in no text
+    reader = spark.read.options(header=True, nanValue="NaN", nullValue="\0", **CSV_TEXT)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
