@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halflight.llm.common import broadcast_if_small, text_of
+from halflight.llm.common import broadcast_if_small, null_safe_key, text_of
 from halflight.session import cut_lineage
 
 # Common words of four languages, the anchors of the chains.
@@ -31,7 +31,7 @@ def normal(text: Column) -> Column:
 
 
 def signatures(words: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """Sorted set of signatures, 32 bits each, of a normal text.
+    """Sorted set of signatures, 31 bits each, of a normal text.
 
     A text without a full chain has one signature, that of all its words, so that equal texts are
     alike and others are not.
@@ -42,11 +42,11 @@ def signatures(words: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, ch
     chains = F.regexp_extract_all(words, F.lit(spot), F.lit(1))
 
     def bits(value: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(value), 32)
+        return F.shiftrightunsigned(F.xxhash64(value), 33).cast("int")
 
     found = F.transform(chains, lambda c: bits(F.regexp_replace(c, common, "")))
     return F.array_sort(F.array_distinct(F.concat(found, F.when(
-        ~words.rlike(spot), F.array(bits(words))).otherwise(F.expr("cast(array() as array<bigint>)")))))
+        ~words.rlike(spot), F.array(bits(words))).otherwise(F.expr("cast(array() as array<int>)")))))
 
 
 def written(sigs: Column) -> Column:
@@ -98,16 +98,19 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     several rows have the next id, the least of their heads is taken; rows of equal id have the same
     next document. Texts move once, by id; of the next document only the head that is needed moves on.
     """
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    texts = docs.select(null_safe_key(id_col).alias("key"), F.col(id_col).alias("id"),
+                        text_of(text_col).alias("text"))
     texts = texts.withColumn("sigs", signatures(normal(F.col("text"))))
     follow = next_ids(docs, id_col)
-    takes = texts.select("id", F.floor(F.length("text") / 3).cast("int").alias("take")).groupBy("id").agg(
+    follow = follow.select(null_safe_key("this").alias("key"), null_safe_key("next").alias("next"))
+    takes = texts.select("key", F.floor(F.length("text") / 3).cast("int").alias("take")).groupBy("key").agg(
         F.max("take").alias("take"))
-    wanted = follow.join(takes, F.col("this").eqNullSafe(F.col("id"))).select("this", "next", "take")
-    heads = texts.join(wanted, F.col("id").eqNullSafe(F.col("next"))).select(
+    wanted = follow.join(takes, "key").select(F.col("key").alias("this"), "next", "take")
+    # plain keys, so that the joins and the grouping share one partitioning of the texts
+    heads = texts.join(wanted, F.col("key") == F.col("next")).select(
         "this", F.expr("substring(text, 1, take)").alias("head"), F.col("sigs").alias("next_sigs"))
     heads = heads.groupBy("this").agg(F.min(F.struct("head", "next_sigs")).alias("given"))
-    rows = texts.join(heads, F.col("id").eqNullSafe(F.col("this")))
+    rows = texts.join(heads, F.col("key") == F.col("this"))
     rows = rows.select("id", "text", "sigs", F.col("given.next_sigs").alias("next_sigs"), F.expr(
         "concat(substring(text, 1, length(text) - cast(floor(length(text) / 3) as int)), "
         "substring(given.head, 1, cast(floor(length(text) / 3) as int)))").alias("edited"))
