@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from halflight.operators.quantiles import exact_quantiles
 CENTRE_BLOCK = 5000
 # Seedings of a clustering, and rounds of each at most.
 SEEDINGS, ROUNDS = 10, 300
+#: Fits that share the cluster.
+PARALLEL_FITS = 5
 
 
 def pca_project(
@@ -115,8 +118,9 @@ def inertia_by_k(
 
 def best_clusters(train: DataFrame, features: str, k: int, seed: int = 42) -> KMeansModel:
     """The best of ``SEEDINGS`` fits with ``ROUNDS`` rounds at most."""
-    fits = [KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=ROUNDS).fit(train)
-            for i in range(SEEDINGS)]
+    one = lambda i: KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=ROUNDS).fit(train)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        fits = list(pool.map(one, range(SEEDINGS)))
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 

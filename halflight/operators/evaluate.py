@@ -226,9 +226,10 @@ def experiment_report(
         ).alias("best_model"),
         "methods_tested",
         "runs",
+        # Texts of the findings.
         F.array(
             F.format_string(
-                "Best Method: %s with %d unlabeled samples.", b[method],
+                "Best Method: %s with %,d unlabeled samples.", b[method],
                 b["n_unlabeled"].cast("long"),
             ),
             F.format_string(

@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -170,63 +173,71 @@ def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fourier_features(
-    features: list[str], gamma: float, size: int = 64, seed: int = 42
+    features: list[str], gamma: float, size: int = 256, seed: int = 42
 ) -> Column:
-    """Random Fourier features of the RBF kernel as one array expression."""
-    rng = random.Random(seed)
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    out = []
-    for _ in range(size):
-        w = F.array(*[F.lit(rng.gauss(0.0, math.sqrt(2.0 * gamma))) for _ in features])
-        shift = rng.uniform(0.0, 2.0 * math.pi)
-        dot = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(shift), lambda s, t: s + t)
-        out.append(F.cos(dot) * math.sqrt(2.0 / size))
-    return F.array(*out)
+    """Random Fourier features of the RBF kernel, one matrix product per Arrow batch."""
+    rng = np.random.default_rng(seed)
+    directions = rng.normal(0.0, math.sqrt(2.0 * gamma), (len(features), size))
+    shifts = rng.uniform(0.0, 2.0 * math.pi, size)
+
+    @F.pandas_udf("array<double>")
+    def lift(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.zeros((0, len(features)))
+            yield pd.Series(list(np.cos(x @ directions + shifts) * math.sqrt(2.0 / size)))
+
+    return lift(F.array(*[F.col(c).cast("double") for c in features]))
 
 
 def rbf_svm(
     train: DataFrame, test: DataFrame, features: list[str], target: str, keep: list[str],
-    c: float = 1.0, size: int = 64, seed: int = 42,
+    c: float = 1.0, size: int = 128, max_iter: int = 100, folds: int = 3, seed: int = 42,
 ) -> DataFrame:
     """RBF-kernel SVM scores with calibrated probabilities.
 
-    γ is 1 / (columns · variance of all values); the kernel is approximated by random
-    Fourier features, the margin calibrated by a one-variable logistic fit.
+    γ is 1 / (columns · variance of all values); the kernel is approximated by random Fourier
+    features. The margin is calibrated by a one-variable logistic fit on rows that the margin's own
+    fit has not seen, fold by fold. Gaps in features are filled by training means.
     """
-    n_row = train.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(F.col(x)).alias(f"m{i}") for i, x in enumerate(features)],
-        *[F.avg(F.col(x) * F.col(x)).alias(f"s{i}") for i, x in enumerate(features)],
-    ).first()
-    k = len(features)
-    mean = sum(n_row[f"m{i}"] for i in range(k)) / k
-    variance = sum(n_row[f"s{i}"] for i in range(k)) / k - mean * mean
+    inputs, spread = fit_inputs(train, features, target)
+    k, n = len(features), max(1, sum(spread.classes.values()))
+    centre = sum(mean for _, mean, _ in spread.features) / k
+    variance = sum(squares / max(1, seen) + (mean - centre) ** 2
+                   for seen, mean, squares in spread.features) / k
     gamma = 1.0 / (k * variance) if variance > 0 else 1.0
-    lift = lambda df: df.withColumn(
-        "lifted", array_to_vector(fourier_features(features, gamma, size, seed))
-    )
-    rows = lift(train).withColumn("_y", F.col(target).cast("double"))
-    svc = LinearSVC(
-        featuresCol="lifted", labelCol="_y", regParam=1.0 / (c * max(1, n_row["n"])), maxIter=50
-    ).fit(rows)
-    margin = lambda df: svc.transform(df).withColumn(
-        "margin", F.slice(vector_to_array("rawPrediction"), 2, 1)
-    ).withColumn("margin_v", array_to_vector("margin"))
-    calibrated = LogisticRegression(featuresCol="margin_v", labelCol="_y",
-                                    rawPredictionCol="_raw", probabilityCol="_prob",
-                                    predictionCol="_pred").fit(
-        margin(rows).select("_y", "margin_v")
-    )
-    scored = calibrated.transform(margin(lift(test)).select(*keep, "margin_v"))
+
+    def lifted(df):
+        return apply_inputs(df, inputs, features).withColumn(
+            "lifted", array_to_vector(fourier_features(features, gamma, size, seed)))
+
+    rows = lifted(train).select("lifted", F.col(target).cast("double").alias("_y"), F.pmod(
+        F.xxhash64("lifted", F.lit(seed)), F.lit(folds)).alias("_fold"))
+    rows = cut_lineage(rows.filter("_y is not null"))
+
+    def margin(fit_on, df):
+        model = LinearSVC(featuresCol="lifted", labelCol="_y", maxIter=max_iter, tol=1e-3,
+                          regParam=1.0 / (c * n)).fit(fit_on)
+        return model.transform(df).withColumn(
+            "margin", array_to_vector(F.slice(vector_to_array("rawPrediction"), 2, 1)))
+
+    unseen = None
+    for fold in range(folds):
+        held, rest = rows.filter(F.col("_fold") == fold), rows.filter(F.col("_fold") != fold)
+        if held.isEmpty() or rest.select("_y").distinct().count() < 2:
+            continue
+        part = margin(rest, held).select("_y", "margin")
+        unseen = part if unseen is None else unseen.unionByName(part)
+    unseen = unseen if unseen is not None else margin(rows, rows).select("_y", "margin")
+    calibrated = LogisticRegression(
+        featuresCol="margin", labelCol="_y", rawPredictionCol="_raw", probabilityCol="_prob",
+        predictionCol="_pred").fit(unseen)
+    scored = calibrated.transform(margin(rows, lifted(test)).select(*keep, "margin"))
     p = F.col("p1")
     return scored.withColumn("p1", vector_to_array("_prob")[1]).select(
         *keep, "p1", decide(p).alias("prediction"), confidence(p).alias("confidence")
     )
 
 
-# --- comparison ----------------------------------------------------------------------------
-
-
 def compare_models(
     split: DataFrame, spaces: dict[str, list[str]], target: str, row_id: str,
     trees: int = 100, seed: int = 42,

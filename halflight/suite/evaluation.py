@@ -214,7 +214,7 @@ SELECT best.method AS method, best.n_unlabeled AS n_unlabeled_used,
   {q6("coalesce((best.roc_auc - b.roc_auc) / b.roc_auc * 100, 0)", "improvement_roc_pct")},
   (SELECT string_agg(DISTINCT method, ',' ORDER BY method) FROM ssl) AS methods,
   (SELECT count(*) FROM ssl) AS runs,
-  printf('Best Method: %s with %d unlabeled samples.', best.method, best.n_unlabeled) AS finding
+  format('Best Method: {{}} with {{:,}} unlabeled samples.', best.method, best.n_unlabeled) AS finding
 FROM best, b""")
 def experiment_report(spark, sf):
     results = runs(spark, sf)

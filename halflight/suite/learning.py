@@ -377,8 +377,8 @@ def ga_fitness(spark, sf):
 
 @query("ga_feature_select")
 def ga_feature_select(spark, sf):
-    return models.ga_feature_select(half_folds(spark, sf), DESC, "label", population_size=20,
-                                    generations=3, elite_size=2)
+    return models.ga_feature_select(half_folds(spark, sf), DESC, "label", population_size=100,
+                                    generations=20)
 
 
 @query("retrain_selected")
@@ -448,6 +448,17 @@ def co_training(spark, sf):
     return pseudo
 
 
+@query("co_training_result")
+def co_training_result(spark, sf):
+    """Test metrics of the two view models together, with what they were taught."""
+    train, test, pool = parts(spark, sf)
+    pair, pseudo = selftrain.co_training(train, pool, VIEW_SIZE, VIEW_STYLE, "label", "doc_id",
+                                         max_iter=5, trees=TREES)
+    added = pseudo.count()
+    return selftrain.co_training_metrics(pair, test, "label", "doc_id").withColumns(
+        {"n_pseudo_labeled": F.lit(added), "final_train_size": F.lit(train.count() + added)})
+
+
 @query("unlabelled_size_sweep")
 def unlabelled_size_sweep(spark, sf):
     train, test, pool = parts(spark, sf)
