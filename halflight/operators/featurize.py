@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +38,40 @@ def featurize(
 def hashed_fingerprint(
     df: DataFrame, tokens: str, radius: int = 2, bits: int = 2048, name: str = "fingerprint"
 ) -> DataFrame:
-    """Fixed-length bit set of all token runs up to radius + 1 tokens long."""
-    out, parts = df, []
-    for n in range(1, radius + 2):
-        out = NGram(n=n, inputCol=tokens, outputCol=f"_g{n}").transform(out)
-        parts.append(f"_g{n}")
-    out = out.withColumn("_grams", F.concat(*[F.col(p) for p in parts]))
-    hashed = HashingTF(inputCol="_grams", outputCol=name, numFeatures=bits, binary=True)
-    return hashed.transform(out).drop("_grams", *parts)
-
-
-def set_bits(df: DataFrame, fingerprint: str = "fingerprint") -> Column:
-    return F.aggregate(vector_to_array(fingerprint), F.lit(0.0), lambda a, x: a + x).cast("int")
+    """Set bits, sorted, of a fixed-length fingerprint of all token runs up to radius + 1 tokens.
+
+    A run's bit is the first eight digits of its md5 modulo ``bits``, so that any engine can
+    make it again. A row without tokens has no bits; a null list gives null.
+    """
+    t = F.col(tokens)
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+
+    def bit(run: Column) -> Column:
+        return (F.conv(F.substring(F.md5(run), 1, 8), 16, 10).cast("long") % bits).cast("int")
+
+    made = F.array_sort(F.array_distinct(F.transform(F.concat(*[runs_of(n) for n in range(1, radius + 2)]), bit)))
+    return df.withColumn(name, F.when(t.isNotNull(), made))
+
+
+def set_bits(fingerprint: str = "fingerprint") -> Column:
+    return F.size(fingerprint)
+
+
+def fingerprint_vector(fingerprint: str = "fingerprint", bits: int = 2048) -> Column:
+    """The fingerprint as a vector of 0 and 1 for a model."""
+
+    @F.pandas_udf("array<double>")
+    def dense(batch: pd.Series) -> pd.Series:
+        out = np.zeros((len(batch), bits))
+        for i, ones in enumerate(batch):
+            out[i, np.asarray(ones, dtype=int)] = 1.0
+        return pd.Series(list(out))
+
+    return array_to_vector(dense(F.coalesce(F.col(fingerprint), F.array().cast("array<int>"))))
 
 
 def view_vectors(df: DataFrame, first: list[str], second: list[str]) -> DataFrame:

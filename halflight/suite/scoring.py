@@ -242,10 +242,22 @@ def aromatic_and_branch_counts(spark, sf):
         st.component_count(s).alias("components"), st.charged_count(t).alias("charged"))
 
 
-@query("hashed_fingerprint")
+_RUNS = " || ".join(
+    f"list_transform(range(1, greatest(len(tokens) - {n} + 2, 1)), "
+    f"lambda i: array_to_string(tokens[i:i + {n} - 1], ' '))" for n in (1, 2, 3))
+
+
+@query("hashed_fingerprint", f"""
+WITH {TOKENS}, runs AS (SELECT row_id, unnest({_RUNS}) AS run FROM tok),
+hashed AS (SELECT DISTINCT row_id, ('0x' || substr(md5(run), 1, 8))::BIGINT % 2048 AS b FROM runs),
+made AS (SELECT row_id, count(*)::INT AS bits, string_agg(b, ',' ORDER BY b) AS fingerprint
+  FROM hashed GROUP BY row_id)
+SELECT row_id, coalesce(bits, 0) AS bits, coalesce(fingerprint, '') AS fingerprint
+FROM tok LEFT JOIN made USING (row_id)""")
 def hashed_fingerprint(spark, sf):
     out = feat.hashed_fingerprint(tokens(spark, sf), "tokens")
-    return out.select("row_id", feat.set_bits(out).alias("bits"))
+    return out.select("row_id", feat.set_bits().alias("bits"),
+                      F.array_join("fingerprint", ",").alias("fingerprint"))
 
 
 @query("text_descriptors", f"WITH {FEATS} SELECT doc_id, {R6_DESC} FROM feats")
@@ -321,15 +333,23 @@ def featurize(spark, sf):
 # --- batch scoring -------------------------------------------------------------------------
 
 
-@query("score_batch")
+@query("score_batch", """
+SELECT doc_id, CASE WHEN length(trim(text)) > 20 THEN NULL ELSE 'invalid input' END AS error,
+  CASE WHEN length(trim(text)) > 20 THEN true END AS consistent FROM documents""")
 def score_batch(spark, sf):
+    """Every document once: scored, with a decision and a confidence that follow from the score, or
+    rejected with an error."""
     train = cut_lineage(labelled_docs(spark, sf))
     model = logistic_regression(train, DESC, "label", clip=3.0, scale=True)
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     rows = descriptors(spark, sf).join(docs, "doc_id")
     done, bad = score.score_batch(rows, model, DESC, "doc_id", "text",
                                   F.length(F.trim("text")) > 20)
-    return done.unionByName(bad.drop("input"), allowMissingColumns=True)
+    p = F.col("p1")
+    same = p.between(0, 1) & (F.col("prediction") == (p >= 0.5).cast("int")) & (
+        F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-12)
+    return done.select("doc_id", F.lit(None).cast("string").alias("error"), same.alias("consistent")).unionByName(
+        bad.select("doc_id", "error", F.lit(None).cast("boolean").alias("consistent")))
 
 
 @query("score_with_domain")
