@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halflight.llm.common import broadcast_if_small, computed_once, null_safe_key, text_of
+from halflight.llm.common import computed_once, null_safe_key, text_of
+from halflight.operators.keys import broadcast_if_small
 from halflight.session import cut_lineage
 
 #: Selected token positions. Spans are 8 and 9 tokens, weights 6.

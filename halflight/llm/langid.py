@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halflight.llm.common import broadcast_if_small
+from halflight.operators.keys import broadcast_if_small
 from halflight.session import cut_lineage
 
 #: Hashed n-grams, and their lengths.

@@ -13,7 +13,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halflight.llm.common import broadcast_if_small, null_safe_key
+from halflight.llm.common import null_safe_key
+from halflight.operators.keys import broadcast_if_small
 from halflight.session import cut_lineage
 
 #: No source is dealt out more often than this, while the largest is dealt out once.

@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halflight.llm.common import broadcast_if_small, null_safe_key, text_of
+from halflight.llm.common import null_safe_key, text_of
+from halflight.operators.keys import broadcast_if_small
 from halflight.session import cut_lineage
 
 # Common words of four languages, the anchors of the chains.
