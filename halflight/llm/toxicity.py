@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halflight.llm.common import null_safe_key
+from halflight.operators.keys import broadcast_if_small
+from halflight.session import cut_lineage
 
 # Words that are insults by themselves.
 INSULTS = (
@@ -119,9 +121,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         null_safe_key(id_col).alias("_t_key")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     n = known.count()
     draw = F.pmod(F.xxhash64("_t_key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    known = known.filter(draw < min(1.0, rows / max(n, 1)))
+    known = cut_lineage(known.filter(draw < min(1.0, rows / max(n, 1))))  # about ``rows``, so texts stay
     return docs.select(null_safe_key(id_col).alias("_t_key"), F.col(text_col).alias("text")).join(
-        known, "_t_key").select("text", "toxic")
+        broadcast_if_small(known), "_t_key").select("text", "toxic")
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
