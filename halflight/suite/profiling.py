@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from halflight.functions.scoring import LIPINSKI_LIMITS, rule_flag
 from halflight.operators import profile
+from halflight.operators.quantiles import exact_quantiles
 from halflight.suite.base import (
     DESC,
     FEATS,
@@ -228,3 +229,22 @@ def cumulative_share(spark, sf):
     rows = table(spark, sf, "events").select(
         "value", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("flag"))
     return profile.cumulative_share(rows, "value", "flag").withColumn("value", r6("value"))
+
+
+PROBS = [0.0, 0.05, 0.5, 0.95, 1.0]
+
+
+@query("bracketed_quantiles", "WITH l AS (UNPIVOT (SELECT l_quantity::DOUBLE AS l_quantity, "
+       "l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount "
+       "INTO NAME feature VALUE x), p AS (SELECT unnest([0.0, 0.05, 0.5, 0.95, 1.0]::DOUBLE[]) AS prob) "
+       "SELECT feature, prob, round(CASE prob WHEN 0.0 THEN quantile_cont(x, 0.0) "
+       "WHEN 0.05 THEN quantile_cont(x, 0.05) WHEN 0.5 THEN quantile_cont(x, 0.5) "
+       "WHEN 0.95 THEN quantile_cont(x, 0.95) ELSE quantile_cont(x, 1.0) END, 6) + 0.0 AS value "
+       "FROM l, p GROUP BY feature, prob")
+def bracketed_quantiles(spark, sf):
+    """Quantiles by the way of large tables: ranks bracketed by the sketch, few rows inside."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    found = exact_quantiles(table(spark, sf, "lineitem"), cols, PROBS, direct_rows=500)
+    rows = [(c, p, v) for c, values in found.items() for p, v in zip(PROBS, values, strict=True)]
+    return spark.createDataFrame(rows, "feature string, prob double, value double").withColumn(
+        "value", F.round("value", 6))
