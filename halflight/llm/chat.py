@@ -231,3 +231,47 @@ def _digests(out: list[tuple], columns: list[str], kind: str) -> pd.DataFrame:
     if kind in ("bigint", "int"):
         df["conv_id"] = df["conv_id"].astype("Int64")
     return df
+
+
+def oracle(template: Template | None = None) -> str:
+    """DuckDB: what ``read_back`` reads from the formatted table, counted from the table itself."""
+    t = template or Template()
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def escaped_length(column: str) -> str:
+        counts = [f"(length({column}) - length(replace({column}, {quoted(c)}, ''))) // {len(c)}"
+                  for c in [t.escape, *t.controls()]]
+        return f"(length({column}) + {' + '.join(counts)})"
+
+    def marks(sizes: dict[str, int], other: str) -> str:
+        return "CASE r " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in sizes.items()) + f" ELSE {other} END"
+
+    around = marks({k: len(a) + len(b) for k, (a, b) in t.marks.items()},
+                   f"{len(t.other_open) + len(t.other_name_end) + len(t.other_close)} + {escaped_length('r')}")
+    allowed = " OR ".join(
+        f"(prev = {quoted(state)} AND r IN ({', '.join(map(quoted, roles))}))"
+        for state, roles in t.next_roles.items())
+    learnt = f"r IN ({', '.join(map(quoted, t.loss_roles))})"
+    ending = f"last NOT IN ({', '.join(map(quoted, t.end_roles))})"
+    said = quoted("</s>[INST] ok [/INST]")
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT * FROM (VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))),
+x AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS s, row_number() OVER (
+  PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM turns),
+y AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY conv_id ORDER BY n), '') AS prev FROM x),
+z AS (SELECT *, CASE WHEN NOT ({allowed}) THEN coalesce(nullif(r, ''), 'no role') || ' after '
+  || coalesce(nullif(prev, ''), 'the start') END AS error, {around} + {escaped_length('s')} AS chars FROM y),
+c AS (SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(r || chr(10) || s || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(s)) FILTER ({learnt}), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(s, '' ORDER BY n) FILTER ({learnt}), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, count(error)::BIGINT AS errors,
+  arg_min(error, n) AS early, arg_max(r, n) AS last FROM z GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
+  errors + CASE WHEN {ending} THEN 1 ELSE 0 END AS n_errors,
+  coalesce(early, CASE WHEN {ending} THEN 'ends after ' || coalesce(nullif(last, ''), 'nothing') END)
+    AS first_error FROM c"""

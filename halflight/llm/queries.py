@@ -97,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.oracle(),
+    "op4_chat_formatting": chat.oracle(),
     "op9_mixing": mixing.oracle(),
 }

@@ -3,6 +3,7 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,3 +66,8 @@ def test_machine_and_odd_rows(spark):
     assert got[3].n_turns == 2 and got[3].turns_sha256 == sha("\nno role\n" * 2)
     assert got[None].turns_sha256 == sha("assistant\n\nuser\nu\n") and got[None].n_errors == 2
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = {r[0]: r for r in con.execute(chat.oracle()).fetchall()}
+    assert {c: tuple(r) for c, r in got.items()} == {c: r for c, r in want.items() if c != -1}
