@@ -99,20 +99,20 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     several rows have the next id, the least of their heads is taken; rows of equal id have the same
     next document. Texts move once, by id; of the next document only the head that is needed moves on.
     """
-    texts = docs.select(null_safe_key(id_col).alias("key"), F.col(id_col).alias("id"),
-                        text_of(text_col).alias("text"))
+    # the key alone names a row until the end: both joins read the same columns of one shuffle
+    texts = docs.select(null_safe_key(id_col).alias("key"), text_of(text_col).alias("text"))
     texts = texts.withColumn("sigs", signatures(normal(F.col("text"))))
     follow = next_ids(docs, id_col)
     follow = follow.select(null_safe_key("this").alias("key"), null_safe_key("next").alias("next"))
     takes = texts.select("key", F.floor(F.length("text") / 3).cast("int").alias("take")).groupBy("key").agg(
         F.max("take").alias("take"))
     wanted = follow.join(takes, "key").select(F.col("key").alias("this"), "next", "take")
-    # plain keys, so that the joins and the grouping share one partitioning of the texts
     heads = texts.join(wanted, F.col("key") == F.col("next")).select(
         "this", F.expr("substring(text, 1, take)").alias("head"), F.col("sigs").alias("next_sigs"))
     heads = heads.groupBy("this").agg(F.min(F.struct("head", "next_sigs")).alias("given"))
     rows = texts.join(heads, F.col("key") == F.col("this"))
-    rows = rows.select("id", "text", "sigs", F.col("given.next_sigs").alias("next_sigs"), F.expr(
+    own = F.when(F.col("key") != "", F.substring("key", 2, 2 ** 31 - 1).cast(docs.schema[id_col].dataType))
+    rows = rows.select(own.alias("id"), "text", "sigs", F.col("given.next_sigs").alias("next_sigs"), F.expr(
         "concat(substring(text, 1, length(text) - cast(floor(length(text) / 3) as int)), "
         "substring(given.head, 1, cast(floor(length(text) / 3) as int)))").alias("edited"))
     return rows.withColumn("edited_sigs", signatures(normal(F.col("edited"))))
