@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -190,10 +192,9 @@ def co_training(
     )
 
     def fit(rows):
-        return (
-            random_forest(rows, first_view, target, trees, max_depth, seed=seed),
-            random_forest(rows, second_view, target, trees, max_depth, seed=seed),
-        )
+        one = lambda view: random_forest(rows, view, target, trees, max_depth, seed=seed)
+        with ThreadPoolExecutor(2) as pool:  # small fits: two share the cluster
+            return tuple(pool.map(one, (first_view, second_view)))
 
     models = fit(train)
     for i in range(1, max_iter + 1):
