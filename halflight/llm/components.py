@@ -11,18 +11,22 @@ from halflight.session import cut_lineage
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, root``: every node of ``links`` with the root of its component.
 
-    Each round, a node hooks onto its smallest neighbour and then onto that one's; linked nodes with
-    different hooks remain as the links of the next round. The number of rounds grows with the
-    logarithm of the longest chain. Rounds hold (node, root) and (root, root) pairs only; minima are
-    taken before rows move, and every round's tables are checkpointed.
+    Each round gives the nodes a new hashed order. A node hooks onto its first neighbour in that order
+    and then onto that one's hook; linked nodes with different hooks remain as the links of the next
+    round. In a hashed order chains of hooks are short however the nodes are numbered, so that each
+    round leaves a fraction of the nodes and the number of rounds is logarithmic. Rounds hold
+    (node, root) and (root, root) pairs only; minima are taken before rows move, and every round's
+    tables are checkpointed.
     """
     edges = cut_lineage(links.select(F.col(a).alias("x"), F.col(b).alias("y"))
                         .filter("x <> y").distinct())
-    roots = None
+    roots, number = None, 0
     while not edges.isEmpty():
+        number += 1
+        order = lambda c, n=number: F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("node"))
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        hooks = cut_lineage(both.groupBy("x").agg(F.min("y").alias("y"))
-                            .select(F.col("x").alias("node"), F.least("x", "y").alias("hook")))
+        hooks = cut_lineage(both.groupBy("x").agg(F.min(order("y")).alias("y")).select(
+            F.col("x").alias("node"), F.least(order("x"), F.col("y"))["node"].alias("hook")))
         further = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("root"))
         hooks = cut_lineage(hooks.join(further, "hook").select("node", "root"))
         if roots is None:
