@@ -143,10 +143,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` without an overlap with ``benchmark``; same columns. Equal ids go together,
-    but rows with a null id are told apart by their text."""
-    key = F.when(F.col(id_col).isNull(), F.concat(F.lit("~"), F.md5(text_of(text_col)))).otherwise(
-        null_safe_key(id_col))
+    """Rows of ``docs`` without an overlap with ``benchmark``; same columns. Rows are told apart by id
+    and text, so that a clean row stays where its id has another text that leaks."""
+    key = F.concat(F.md5(text_of(text_col)), null_safe_key(id_col))
     rows = docs.withColumn("_d_key", key)
     found = find_overlaps(rows, benchmark, "_d_key", text_col, item_col, item_text_col)
     leaks = cut_lineage(found.select(F.col("id").alias("_d_key")).distinct())

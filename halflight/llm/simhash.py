@@ -173,14 +173,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows of ``docs`` of which one stays per group: that with the smallest id.
 
-    A row without an id goes by its text; rows of equal id are one document, and one row of it stays.
+    Rows are told apart by id and text, so that an id with different texts is as many documents: of
+    its rows in one group, that with the least md5 stays. A row without an id goes by its text. Of rows
+    equal in id and text one stays.
     """
     own = F.col(id_col)
     if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         # strings that sort as the numbers do
         own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-2 ** 63))), 16, "0")
-    key = F.when(own.isNull(), F.concat(F.lit("~"), F.md5(text_of(text_col)))).otherwise(
-        F.concat(F.lit("="), own.cast("string")))
+    digest = F.md5(text_of(text_col))
+    # the zero byte sorts an id before those that it begins
+    key = F.when(own.isNull(), F.concat(F.lit("~"), digest)).otherwise(
+        F.concat(F.lit("="), own.cast("string"), F.lit("\0"), digest))
     rows = docs.withColumn("_s_key", key)
     found = near_duplicates(rows, "_s_key", text_col, shingle, max_bits)
     stay = found.select(F.col("component").alias("_s_key")).distinct()

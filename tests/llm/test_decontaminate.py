@@ -90,3 +90,11 @@ def test_nulls_empty_long_ties_and_clashing_names(spark):
     assert d.find_overlaps(docs.limit(0), bench).count() == 0
     assert d.find_overlaps(docs, bench.limit(0)).count() == 0
     assert d.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_a_clean_row_beside_a_leaking_one_of_its_id_stays(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "clean"), (1, f"see {item}"), (2, item), (2, None), (None, item), (None, "clean")]
+    kept = d.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "clean"), (2, None), (None, "clean")]

@@ -111,3 +111,15 @@ def test_long_chain_is_one_component(spark):
     df = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(df, "a", "b")
     assert got.count() == n and got.select("root").distinct().count() == 1
+
+
+def test_an_id_with_different_texts_is_different_documents(spark):
+    a, b, c = (" ".join(f"{w}{n}" for n in range(60)) for w in "abc")
+    for rows, want in (([(1, a), (1, c)], [(1, a), (1, c)]),
+                       ([(0, b), (1, a), (1, b)], [(0, b), (1, a)]),
+                       ([(1, a), (1, a), (2, c), (2, a)], [(1, a), (2, c)]),
+                       ([("x", a), ("x", c), ("xy", c), (None, b)], [("x", a), ("x", c), (None, b)])):
+        kind = "string" if rows[0][0] == "x" else "long"
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+        kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+        assert sorted(kept, key=str) == sorted(want, key=str)
