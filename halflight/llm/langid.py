@@ -162,40 +162,57 @@ def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _parted(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Rows ``(.., .., language, hash)`` that are kept for the temperature, and those that teach.
+
+    The hash decides, so that equal texts stay together. A language of which all texts would be kept
+    is taught by them.
+    """
+    step = round(1 / CALIBRATION)
+    kept = {r[3] for r in rows if (r[3] >> 30) % step == 0}  # the draw looks at the bits below
+    taught = {r[2] for r in rows if r[3] not in kept}
+    kept -= {r[3] for r in rows if r[2] not in taught}
+    return [r for r in rows if r[3] in kept], [r for r in rows if r[3] not in kept]
+
+
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
           rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Model of the rows of ``docs`` that have a label; all rows give document frequencies.
 
-    The fit's sample is drawn by a hash of the text, about ``rows_per_language`` of each label, and
-    goes through one task. Rows without letters and rows with a null label teach nothing.
+    The fit's sample is about ``rows_per_language`` different texts of each label, drawn by a hash of
+    the text, and goes through one task. Copies of a text are one text, however many they are, and are
+    either taught or kept for the temperature. Rows without letters and rows with a null label teach
+    nothing.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.filter("label is not null and text is not null")
-    counts = cut_lineage(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    counts = cut_lineage(rows.select("label", "hash").distinct().groupBy("label").agg(
+        F.count(F.lit(1)).alias("n")))
     languages = sorted(r.label for r in counts.limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    total, held = document_frequencies(rows)
+    total, held = document_frequencies(rows.select("text"))
     idf = np.log((1 + total) / (1 + held)) + 1
     if not languages:
         return Model([], idf, np.zeros((0, BUCKETS)), np.zeros(0))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(broadcast_if_small(counts), "label").filter(
-        draw < F.least(F.lit(1.0), rows_per_language / F.col("n"))).select("text", "label")
+        draw < F.least(F.lit(1.0), rows_per_language / F.col("n"))).select("text", "label", "hash")
+    sample = sample.dropDuplicates(["label", "hash"])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {name: i for i, name in enumerate(languages)}
         seen = []
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
+            for text, label, key in zip(batch["text"], batch["label"], batch["hash"], strict=True):
                 at, x = _tfidf(text, idf)
                 if len(at):
-                    seen.append((at.astype(np.int32), x.astype(np.float32), number[label]))
-        seen.sort(key=lambda r: (r[2], len(r[0]), float(r[1][0])))  # whatever order rows came in
-        step = round(1 / CALIBRATION)
-        kept, taught = seen[::step], [r for i, r in enumerate(seen) if i % step]
-        w, bias = fit(taught or seen, len(languages))
-        logits = np.array([w[:, at] @ x + bias for at, x, _ in kept]).reshape(-1, len(languages))
+                    seen.append((at.astype(np.int32), x.astype(np.float32), number[label], key))
+        seen.sort(key=lambda r: (r[2], r[3]))  # whatever order rows came in
+        kept, taught = _parted(seen)
+        w, bias = fit([r[:3] for r in taught], len(languages))
+        logits = np.array([w[:, at] @ x + bias for at, x, *_ in kept]).reshape(-1, len(languages))
         t = temperature(logits, np.array([r[2] for r in kept], int))
         yield pd.DataFrame({"language": range(len(languages)), "bias": bias, "temperature": t,
                             "weights": list(w.astype(np.float32))})

@@ -53,3 +53,26 @@ def test_odd_rows(spark):
 def test_temperature_flattens_wrong_certainty():
     logits = np.array([[9.0, 0.0], [9.0, 0.0], [0.0, 9.0], [0.0, 9.0]])
     assert langid.temperature(logits, np.array([0, 0, 1, 0])) > 2
+
+
+def test_copies_do_not_thin_their_language(spark):
+    def text(n, words):
+        return " ".join(words[(n * 7 + i * (n % 5 + 1)) % len(words)] for i in range(12)) + f" {n}"
+
+    german = "der hund und die katze schlafen nicht weil ich heute noch arbeiten muss".split()
+    english = "the cat and dog are sleeping because they have been working all day".split()
+    # the hot text is not German, so that only the other texts can teach the language
+    rows = [("qq zz qq xx", "de")] * 20000 + [(text(n, german), "de") for n in range(100)]
+    rows += [(text(n, english), "en") for n in range(100)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), rows_per_language=200)
+    assert model.predict("die katze und der hund")[0] == "de" and model.predict("the cat and dog")[0] == "en"
+    # the copies weigh as one text; document frequencies count all rows
+    few = langid.train(spark.createDataFrame(rows[19999:], "text string, lang string"), rows_per_language=200)
+    assert (np.sign(few.weights[0]) == np.sign(model.weights[0])).mean() > 0.9
+
+
+def test_copies_stand_on_one_side():
+    rows = [(None, None, n % 3, n * 2 ** 40 // 7) for n in range(300)] + [(None, None, 3, 5 << 30), (None, None, 0, 5 << 30)]
+    kept, taught = langid._parted(rows)
+    assert not {r[3] for r in kept} & {r[3] for r in taught}
+    assert {r[2] for r in taught} == {0, 1, 2, 3} and 30 < len(kept) < 90 and len(kept) + len(taught) == 302
