@@ -199,16 +199,28 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
     draw = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(broadcast_if_small(counts), "label").filter(
         draw < F.least(F.lit(1.0), rows_per_language / F.col("n"))).select("text", "label", "hash")
-    sample = sample.dropDuplicates(["label", "hash"])
+    number = {name: i for i, name in enumerate(languages)}
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = set()  # drawn texts of this partition, so that copies do not travel
+        for batch in batches:
+            rows = []
+            for text, label, key in zip(batch["text"], batch["label"], batch["hash"], strict=True):
+                if (label, key) not in done:
+                    done.add((label, key))
+                    at, x = _tfidf(text, idf)
+                    if len(at):
+                        rows.append((number[label], key, at.astype(np.int32), x.astype(np.float32)))
+            yield pd.DataFrame(rows, columns=["language", "hash", "at", "x"])
+
+    # the draw runs in every partition; only drawn vectors go to the one task
+    sample = sample.mapInPandas(vectors, "language int, hash long, at array<int>, x array<float>")
+    sample = sample.dropDuplicates(["language", "hash"]).repartition(1)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {name: i for i, name in enumerate(languages)}
         seen = []
         for batch in batches:
-            for text, label, key in zip(batch["text"], batch["label"], batch["hash"], strict=True):
-                at, x = _tfidf(text, idf)
-                if len(at):
-                    seen.append((at.astype(np.int32), x.astype(np.float32), number[label], key))
+            seen += zip(batch["at"], batch["x"], batch["language"], batch["hash"], strict=True)
         seen.sort(key=lambda r: (r[2], r[3]))  # whatever order rows came in
         kept, taught = _parted(seen)
         w, bias = fit([r[:3] for r in taught], len(languages))
@@ -217,9 +229,11 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
         yield pd.DataFrame({"language": range(len(languages)), "bias": bias, "temperature": t,
                             "weights": list(w.astype(np.float32))})
 
-    learnt = sample.coalesce(1).mapInPandas(
+    learnt = sample.mapInPandas(
         learn, "language int, bias double, temperature double, weights array<float>")
     got = sorted(learnt.collect())
+    if not got:  # no drawn text has letters, and Spark runs no task for no rows
+        return Model(languages, idf, np.zeros((len(languages), BUCKETS)), np.zeros(len(languages)))
     return Model(languages, idf.astype(np.float32),
                  np.array([r.weights for r in got], np.float32), np.array([r.bias for r in got]),
                  got[0].temperature)

@@ -76,3 +76,28 @@ def test_copies_stand_on_one_side():
     kept, taught = langid._parted(rows)
     assert not {r[3] for r in kept} & {r[3] for r in taught}
     assert {r[2] for r in taught} == {0, 1, 2, 3} and 30 < len(kept) < 90 and len(kept) + len(taught) == 302
+
+
+def test_only_drawn_vectors_reach_the_one_task(spark, monkeypatch):
+    plans = []
+    kind = type(spark.range(1))
+    run = kind.mapInPandas
+
+    def seen(df, f, schema, *more, **named):
+        if f.__name__ == "learn":
+            plans.append((df.columns, df.rdd.getNumPartitions(),
+                          df._jdf.queryExecution().executedPlan().toString()))
+        return run(df, f, schema, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInPandas", seen)
+    rows = [("the cat and the dog " * 3, "en"), ("der hund und die katze " * 3, "de")] * 50
+    langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    (columns, parts, plan), = plans
+    assert "text" not in columns and parts == 1
+    assert "Coalesce 1" not in plan and plan.index("SinglePartition") < plan.index("MapInPandas")
+
+
+def test_labels_without_letters(spark):
+    docs = spark.createDataFrame([("123", "en"), ("?", "de")], "text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en"] and model.predict("the dog")[1] == 0.5
