@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from halflight.functions.scoring import confidence, decide, uncertainty
 from halflight.operators.evaluate import classification_metrics, evaluate_scores
-from halflight.operators.models import predict, random_forest
+from halflight.operators.graph import (
+    inductive_graph_predict,
+    label_propagation,
+    label_spreading,
+    rbf_edges,
+)
+from halflight.operators.models import apply_inputs, fit_inputs, predict, random_forest
 from halflight.operators.ordering import with_global_rank
 from halflight.session import cut_lineage
 
@@ -19,7 +25,9 @@ SELF_TRAINING_ROUNDS = 10
 CO_TRAINING_ROUNDS = 20
 CO_TRAINING_PER_ROUND = 50
 CO_TRAINING_CONFIDENCE = 0.80
+GRAPH_ROUNDS = 100
 KEEP_F1_SHARE = 0.95
+METHODS = ("Self-Training", "Co-Training", "Label Propagation", "Label Spreading")
 
 
 def confidence_rank(
@@ -216,16 +224,20 @@ def co_training(
     return models, pseudo
 
 
-def co_training_metrics(
-    models: tuple, test: DataFrame, target: str, row_id: str
-) -> DataFrame:
-    """Metrics of the two view models' mean probability on test rows; one row."""
+def pair_scores(models: tuple, test: DataFrame, target: str, row_id: str) -> DataFrame:
+    """Row id, target, the two view models' mean probability and its decision."""
     keep = [c for c in test.columns]
     one = predict(models[0], test, keep).withColumnRenamed("p1", "p_first")
     two = predict(models[1], one.drop("prediction", "confidence"), [*keep, "p_first"])
     p = (F.col("p_first") + F.col("p1")) / 2
-    both = two.select(row_id, target, p.alias("p1")).withColumn("prediction", decide(F.col("p1")))
-    return evaluate_scores(both, target, "prediction", "p1")
+    return two.select(row_id, target, p.alias("p1")).withColumn("prediction", decide(F.col("p1")))
+
+
+def co_training_metrics(
+    models: tuple, test: DataFrame, target: str, row_id: str
+) -> DataFrame:
+    """Metrics of the two view models' mean probability on test rows; one row."""
+    return evaluate_scores(pair_scores(models, test, target, row_id), target, "prediction", "p1")
 
 
 def self_training_run(
@@ -271,25 +283,67 @@ def self_training_run(
 
 def unlabelled_size_sweep(
     labelled: DataFrame, test: DataFrame, ordered_pool: DataFrame, features: list[str],
-    target: str, row_id: str, sizes: list[int], position: str = "position",
-    threshold: float = 0.75, trees: int = 100, max_iter: int = SELF_TRAINING_ROUNDS,
-    seed: int = 42,
+    target: str, row_id: str, sizes: list[int], views: tuple[list[str], list[str]],
+    position: str = "position", methods: tuple[str, ...] = METHODS, threshold: float = 0.75,
+    trees: int = 100, max_iter: int = SELF_TRAINING_ROUNDS, co_rounds: int = CO_TRAINING_ROUNDS,
+    graph_rounds: int = GRAPH_ROUNDS, parallel: int = 4, seed: int = 42,
 ) -> DataFrame:
-    """Learning curve of self-training over pool prefixes of growing size."""
-    scored = None
-    for size in sizes:
+    """Learning curves of the methods over pool prefixes of growing size; one row per method and size.
+
+    Sizes are clipped to the pool, and each is run once. Without pool rows the forest of the labelled
+    rows stands for all methods but co-training, which has its two view models. The graph methods
+    score the test rows from kernel weights, γ = 1 / features, to their nearest graph rows;
+    ``n_pseudo_labeled`` is how many pool rows got a label or were reached by one.
+    """
+    if unknown := set(methods) - set(METHODS):
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
+    known, pool_rows = labelled.count(), ordered_pool.count()
+    gamma = 1.0 / len(features)
+    inputs, _ = fit_inputs(labelled, features, target)
+    keep = [row_id, target]
+    baseline = random_forest(labelled, features, target, trees, seed=seed)
+
+    def as_nodes(df: DataFrame, label) -> DataFrame:
+        vector = F.array(*[F.col(c).cast("double") for c in features]).alias("v")
+        return apply_inputs(df, inputs, features).select(
+            F.col(row_id).alias("id"), vector, label.cast("int").alias("label"))
+
+    def graph_scores(method: str, part: DataFrame):
+        nodes = cut_lineage(as_nodes(labelled, F.col(target)).unionByName(
+            as_nodes(part, F.lit(None))))
+        edges = rbf_edges(nodes, "id", "v", gamma, include_self=True)
+        learn = label_propagation if method == "Label Propagation" else label_spreading
+        reached = learn(nodes, edges, max_iter=graph_rounds)
+        seen = as_nodes(test, F.lit(None)).select("id", "v")
+        p = inductive_graph_predict(seen, nodes.select("id", "v"), reached, gamma=gamma)
+        rows = test.select(keep).join(p.withColumnRenamed("id", row_id), row_id)
+        return (rows.withColumn("prediction", decide(F.col("p1"))),
+                reached.filter("not known and f0 + f1 > 0").count())
+
+    def run(item):
+        method, size = item
         part = ordered_pool.filter(F.col(position) <= size)
-        if size == 0:
-            model, added = random_forest(labelled, features, target, trees, seed=seed), 0
-        else:
+        if method == "Co-Training":
+            pair, pseudo = co_training(labelled, part, *views, target, row_id, trees=trees, seed=seed,
+                                       max_iter=co_rounds if size else 0)
+            rows, added = pair_scores(pair, test, target, row_id), pseudo.count()
+        elif size == 0:
+            rows, added = predict(baseline, test, keep), 0
+        elif method == "Self-Training":
             model, pseudo = self_training(labelled, part, features, target, row_id, threshold,
                                           max_iter, trees, seed=seed)
-            added = pseudo.count()
-        rows = predict(model, test, [row_id, target]).withColumns(
-            {"method": F.lit("Self-Training"), "n_unlabeled": F.lit(size),
-             "n_pseudo_labeled": F.lit(added)}
-        )
-        scored = rows if scored is None else scored.unionByName(rows)
-    return evaluate_scores(
-        scored, target, "prediction", "p1", ["method", "n_unlabeled", "n_pseudo_labeled"]
-    )
+            rows, added = predict(model, test, keep), pseudo.count()
+        else:
+            rows, added = graph_scores(method, part)
+        return cut_lineage(rows.select(*keep, "p1", "prediction").withColumns(
+            {"method": F.lit(method), "n_unlabeled": F.lit(size), "n_pseudo_labeled": F.lit(added),
+             "final_train_size": F.lit(known + added)}))
+
+    items = [(m, n) for n in sorted({min(n, pool_rows) for n in sizes}) for m in methods]
+    with ThreadPoolExecutor(parallel) as threads:  # small fits: a few share the cluster
+        parts = list(threads.map(run, items))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    return evaluate_scores(scored, target, "prediction", "p1",
+                           ["method", "n_unlabeled", "n_pseudo_labeled", "final_train_size"])

@@ -453,18 +453,23 @@ def co_training_result(spark, sf):
     """Test metrics of the two view models together, with what they were taught."""
     train, test, pool = parts(spark, sf)
     pair, pseudo = selftrain.co_training(train, pool, VIEW_SIZE, VIEW_STYLE, "label", "doc_id",
-                                         max_iter=5, trees=TREES)
+                                         trees=TREES)
     added = pseudo.count()
     return selftrain.co_training_metrics(pair, test, "label", "doc_id").withColumns(
         {"n_pseudo_labeled": F.lit(added), "final_train_size": F.lit(train.count() + added)})
 
 
+#: Pool rows of the learning curves, clipped to the pool.
+SWEEP_SIZES = [0, 500, 1000, 2500, 5000, 10000, 15000, 20000, 25000, 30000]
+
+
 @query("unlabelled_size_sweep")
 def unlabelled_size_sweep(spark, sf):
     train, test, pool = parts(spark, sf)
     ordered = cut_lineage(sample.shuffle_order(pool, "doc_id"))
     return selftrain.unlabelled_size_sweep(
-        train, test, ordered, DESC, "label", "doc_id", [0, 100, 500], trees=TREES, max_iter=1)
+        train, test, ordered, DESC, "label", "doc_id", SWEEP_SIZES, (VIEW_SIZE, VIEW_STYLE),
+        trees=TREES)
 
 
 # --- domain --------------------------------------------------------------------------------

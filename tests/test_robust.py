@@ -125,3 +125,38 @@ def test_co_training_metrics(spark):
     models, pseudo = selftrain.co_training(train, pool, ["a"], ["b"], "y", "id", threshold=0.6, max_iter=2, trees=5)
     row = selftrain.co_training_metrics(models, df.filter("id >= 30"), "y", "id").first()
     assert row.n == 30 and row.accuracy > 0.7 and pseudo.count() == pseudo.select("id").distinct().count()
+
+
+def test_sweep_runs_all_methods_over_clipped_sizes(spark):
+    from halflight.operators import selftrain
+
+    df = spark.range(80).select("id", (F.col("id") % 10).cast("double").alias("a"),
+                                (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 10 > 4).cast("int").alias("y"))
+    pool = df.filter("id >= 40").drop("y").withColumn("position", F.col("id") - 39)
+    got = selftrain.unlabelled_size_sweep(
+        df.filter("id < 20"), df.filter("id between 20 and 39"), pool, ["a", "b"], "y", "id", [0, 10, 500, 1000],
+        (["a"], ["b"]), trees=5, max_iter=2, co_rounds=2).collect()
+    assert sorted((r.method, r.n_unlabeled) for r in got) == sorted(
+        (m, n) for m in selftrain.METHODS for n in (0, 10, 40))
+    assert all(r.n == 20 and r.final_train_size == 20 + r.n_pseudo_labeled for r in got)
+
+
+def test_learning_queries_run_full_rounds_and_sizes(spark, monkeypatch):
+    from halflight.suite import learning
+
+    class Stop(Exception):
+        pass
+
+    def seen(*args, **named):
+        raise Stop(args, named)
+
+    df = spark.range(3).withColumnRenamed("id", "doc_id")
+    monkeypatch.setattr(learning, "parts", lambda spark, sf: (df, df, df))
+    for name, query in (("co_training", learning.co_training_result),
+                        ("unlabelled_size_sweep", learning.unlabelled_size_sweep)):
+        monkeypatch.setattr(learning.selftrain, name, seen)
+        with pytest.raises(Stop) as stop:
+            query(spark, "")
+        args, named = stop.value.args
+        assert "max_iter" not in named and named["trees"] == 100
+    assert 10000 in args[6] and args[6][-1] == 30000
