@@ -313,6 +313,14 @@ def hyperparameter_search(
     return table.withColumn("is_best", F.col("trial") == best)
 
 
+def refit_best(
+    search: DataFrame, train: DataFrame, features: list[str], target: str, seed: int = 42, **named
+) -> tuple[PipelineModel, dict]:
+    """(forest of the settings that ``hyperparameter_search`` marked, fitted on ``train``; settings)."""
+    settings = json.loads(search.filter("is_best").first()["settings"])
+    return random_forest(train, features, target, seed=seed, **settings, **named), settings
+
+
 # --- search over feature subsets -----------------------------------------------------------
 
 

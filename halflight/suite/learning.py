@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from halflight.functions.text import VIEW_SIZE, VIEW_STYLE
 from halflight.operators import domain, evaluate, graph, models, sample, selftrain
 from halflight.plans import training
-from halflight.session import cut_lineage
+from halflight.session import cut_lineage, scratch_path
+from halflight.sources import models as bundles
 from halflight.suite.base import (
     DESC,
     LABELLED,
@@ -312,14 +313,31 @@ def compare_models(spark, sf):
         split, {"all": DESC, "size": VIEW_SIZE}, "label", "doc_id", trees=TREES)
 
 
+#: Values of the settings search.
+FOREST_SPACE = {"trees": [50, 100, 150, 200], "max_depth": [10, 15, 20, 25, 30],
+                "min_leaf": [1, 2, 4], "subset": ["sqrt", "log2"]}
+
+
 @query("hyperparameter_search")
 def hyperparameter_search(spark, sf):
-    train, test, _ = labelled_parts(spark, sf)
-    trials = models.draw_trials(
-        {"trees": [10, 20, 30], "max_depth": [4, 6, 8], "min_leaf": [1, 2, 4]}, 20)
-    inner = cut_lineage(sample.stratified_split(train, "label", "doc_id", 0.25, seed=43))
-    take = lambda name: inner.filter(F.col("split") == name).drop("split")
-    return models.hyperparameter_search(take("train"), take("test"), DESC, "label", trials)
+    """The trials; the best is fitted again on all training rows and stored with its test metrics."""
+    split = cut_lineage(sample.stratified_split(labelled_docs(spark, sf), "label", "doc_id", 0.3))
+    part = lambda df, name: df.filter(F.col("split") == name).drop("split")
+    train, test = part(split, "train"), part(split, "test")
+    inputs, _ = models.fit_inputs(train, DESC, "label", clip=3.0, scale=True)
+    ready = models.apply_inputs(train, inputs, DESC)
+    inner = cut_lineage(sample.stratified_split(ready, "label", "doc_id", 0.25, seed=43))
+    tried = cut_lineage(models.hyperparameter_search(
+        part(inner, "train"), part(inner, "test"), DESC, "label",
+        models.draw_trials(FOREST_SPACE, 20)))
+    # clipping and scaling become part of the stored model
+    model, _ = models.refit_best(tried, train, DESC, "label", clip=3.0, scale=True)
+    scored = models.predict(model, test, ["doc_id", "label"])
+    got = evaluate.evaluate_scores(scored, "label", "prediction", "p1").first()
+    path = scratch_path(spark, "best-forest")
+    bundles.save_model(model, path, "best-forest", "RandomForest", "documents", "toxic", DESC,
+                       {"f1": got["f1"], "roc_auc": got["roc_auc"]}, spark)
+    return tried.withColumn("best_model", F.when(F.col("is_best"), F.lit(path)))
 
 
 def half_folds(spark, sf):

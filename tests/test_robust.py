@@ -160,3 +160,31 @@ def test_learning_queries_run_full_rounds_and_sizes(spark, monkeypatch):
         args, named = stop.value.args
         assert "max_iter" not in named and named["trees"] == 100
     assert 10000 in args[6] and args[6][-1] == 30000
+
+
+def test_settings_search_spans_the_space_and_stores_the_winner(spark, monkeypatch):
+    from halflight.sources import models as bundles
+    from halflight.suite import learning
+
+    space, drawn = learning.FOREST_SPACE, learning.models.draw_trials(learning.FOREST_SPACE, 20)
+    assert max(space["trees"]) == 200 and max(space["max_depth"]) == 30
+    assert len(drawn) == 20 and all(t[k] in v for t in drawn for k, v in space.items())
+    few = [{"trees": 3, "max_depth": d, "min_leaf": 1, "subset": "log2"} for d in (1, 12)]
+    asked = []
+    monkeypatch.setattr(learning.models, "draw_trials", lambda *args: asked.append(args) or few)
+    rows = learning.hyperparameter_search(spark, SF).collect()
+    assert asked == [(space, 20)] and len(rows) == 2
+    best, = [r for r in rows if r.is_best]
+    model, info = bundles.load_model(spark, best.best_model)
+    settings = few[best.trial]
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 3 and forest.getOrDefault("maxDepth") == settings["max_depth"]
+    assert set(info.first()["metrics"]) == {"f1", "roc_auc"}
+    assert models_score(model, spark) > 0
+
+
+def models_score(model, spark):
+    from halflight.operators.models import predict
+    from halflight.suite.base import pool_docs
+
+    return predict(model, pool_docs(spark, SF), ["doc_id"]).count()
