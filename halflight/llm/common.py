@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halflight.session import scratch_path
+
 
 def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -24,3 +26,11 @@ def computed_once(value: Column) -> Column:
     that depend on the row's place, as this one seems to; the condition is always true.
     """
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def hand_over(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read from there: columns of arrays take far
+    less room than in a checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

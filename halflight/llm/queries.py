@@ -13,6 +13,7 @@ from halflight.llm import (
     langid,
     licenses,
     mixing,
+    pieces,
     secret_scan,
     sharding,
     simhash,
@@ -90,10 +91,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+#: Vocabulary files of public tokenizers, by their names in the installed package.
+PIECES = "piece_bpe_32k.model"
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary(PIECES)
+    encoded = pieces.encode_pieces(F.col("text"), path)
+    found = _table(spark, sf_dir, "documents").select(
+        "doc_id", pieces.piece_digest(encoded, path).alias("d"))
+    return found.select("doc_id", "d.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_secret_scan, op3_spotsigs, op4_chat_formatting,
-        op5_language_id, op6_toxicity, op7_decontamination, op8_license_scan, op9_mixing, op10_simhash)}
+        op5_language_id, op6_toxicity, op7_decontamination, op8_license_scan, op9_mixing, op10_simhash,
+        op12_sentencepiece)}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.oracle(),
