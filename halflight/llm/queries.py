@@ -18,6 +18,7 @@ from halflight.llm import (
     sharding,
     simhash,
     spotsigs,
+    token_alignment,
     toxicity,
 )
 
@@ -93,6 +94,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Vocabulary files of public tokenizers, by their names in the installed package.
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def _vocabulary(name: str) -> str:
@@ -101,6 +103,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(
+        _table(spark, sf_dir, "documents"), _vocabulary(BYTES), _vocabulary(PIECES))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary(PIECES)
     encoded = pieces.encode_pieces(F.col("text"), path)
@@ -113,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_secret_scan, op3_spotsigs, op4_chat_formatting,
         op5_language_id, op6_toxicity, op7_decontamination, op8_license_scan, op9_mixing, op10_simhash,
-        op12_sentencepiece)}
+        op11_token_alignment, op12_sentencepiece)}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.oracle(),
