@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from halflight.llm import (
     chat,
+    collocations,
     decontaminate,
     langid,
     licenses,
@@ -116,14 +117,19 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "d.*")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_secret_scan, op3_spotsigs, op4_chat_formatting,
         op5_language_id, op6_toxicity, op7_decontamination, op8_license_scan, op9_mixing, op10_simhash,
-        op11_token_alignment, op12_sentencepiece)}
+        op11_token_alignment, op12_sentencepiece, op13_collocations)}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.oracle(),
     "op4_chat_formatting": chat.oracle(),
     "op9_mixing": mixing.oracle(),
+    "op13_collocations": collocations.oracle(),
 }
