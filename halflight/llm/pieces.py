@@ -18,6 +18,7 @@ import heapq
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Looked-up cuts, and the longest that is kept.
-MEMO, MEMO_CHARS = 200_000, 64
+#: Characters of the cuts that are looked up, and how long a cut is merged pair by pair.
+MEMO_CHARS, SHORT = 4_000_000, 64
 #: Below every score.
 NEVER = float("-inf")
 _CUTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -135,6 +136,7 @@ class PieceModel:
     """A BPE model of sentence pieces: encodes with source spans, decodes ids."""
 
     def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
         model = ModelProto()
@@ -153,14 +155,24 @@ class PieceModel:
         self.unknown_text = trainer.unk_surface
         self.begin, self.end = trainer.bos_id, trainer.eos_id
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
+        self.size_table = np.array(self.sizes)
+        self.byte_table = np.full(len(self.names), -1)
+        self.byte_table[list(self.byte_ids.values())] = list(self.byte_ids)
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         splits = MARK in self.ids and not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.cuts = _CUTS if splits else _CUTS_OF_PLAIN
-        self.memo: dict[str, tuple[list[int], list[int]]] = {}
+        # what the library makes of a cut is what stands in it, if its normaliser only marks spaces
+        plain = self.normaliser
+        alike = splits and plain.prefix and not (plain.map.units or plain.squeeze or plain.mark_after)
+        self.library = SentencePieceProcessor(model_file=path) if alike and self.byte_ids else None
+        self.texts = [n.replace(MARK, " ") if k == NORMAL else "" if k == CONTROL else None
+                      for n, k in zip(self.names, self.kinds, strict=True)]
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.kept = 0
 
     def merged(self, text: str) -> list[str]:
         """Adjacent pieces merged by score, the leftmost of equal ones first."""
-        return self._merged_short(text) if len(text) <= MEMO_CHARS else self._merged_long(text)
+        return self._merged_short(text) if len(text) <= SHORT else self._merged_long(text)
 
     def _merged_short(self, text: str) -> list[str]:
         """All pairs looked at for every merge."""
@@ -205,10 +217,7 @@ class PieceModel:
         return [s for s in symbols if s]
 
     def _pieces_of(self, cut: str) -> tuple[list[int], list[int]]:
-        """Ids of one cut and how many normalised bytes each covers.
-
-        Of the bytes of a character without a piece, the last covers it; the others cover nothing.
-        """
+        """Ids of one cut and how many normalised bytes each covers, by the scores."""
         ids, sizes = [], []
         for piece in self.merged(cut):
             known = self.ids.get(piece)
@@ -227,29 +236,62 @@ class PieceModel:
                 sizes.append(len(raw))
         return ids, sizes
 
+    def _sizes_of(self, ids: np.ndarray) -> np.ndarray:
+        """How many normalised bytes each id covers. Of the bytes of a character without a piece, the
+        last covers it; the others cover nothing."""
+        sizes, byte = self.size_table[ids], self.byte_table[ids]
+        is_byte = byte >= 0
+        if is_byte.any():
+            follows = is_byte & (byte & 0xC0 == 0x80)
+            at = np.arange(len(ids))
+            first = np.maximum.accumulate(np.where(is_byte & ~follows, at, 0))
+            last = is_byte & ~np.append(follows[1:], False)
+            sizes = np.where(last, at - first + 1, np.where(is_byte, 0, sizes))
+        return sizes
+
+    def _learn(self, cuts: list[str]) -> None:
+        """Pieces of the cuts, packed. The library merges those that begin with the mark that it puts
+        there itself."""
+        theirs = [] if self.library is None else [c for c in cuts if len(c) > 1 and c[0] == MARK]
+        if theirs:
+            found = self.library.encode([c[1:] for c in theirs], num_threads=1)
+            ids = np.array(list(chain.from_iterable(found)), np.int32)
+            raw, sizes, at = ids.tobytes(), self._sizes_of(ids).astype(np.int32).tobytes(), 0
+            for cut, row in zip(theirs, found, strict=True):
+                to = at + 4 * len(row)
+                self.memo[cut] = raw[at:to], sizes[at:to]
+                at = to
+        for cut in set(cuts).difference(theirs):
+            row, sizes = self._pieces_of(cut)
+            self.memo[cut] = np.array(row, np.int32).tobytes(), np.array(sizes, np.int32).tobytes()
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the source bytes where each begins and ends."""
         marked, places = self.normaliser(text)
-        ids: list[int] = []
-        sizes: list[int] = []
-        memo = self.memo
-        for cut in self.cuts.findall(marked):
-            found = memo.get(cut)
-            if found is None:
-                found = self._pieces_of(cut)
-                if len(cut) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[cut] = found
-            ids += found[0]
-            sizes += found[1]
-        ends = np.cumsum(np.array(sizes, np.int64))
-        starts = ends - np.array(sizes, np.int64)
-        return np.array(ids, np.int32), places[starts].astype(np.int32), places[ends].astype(np.int32)
+        cuts = self.cuts.findall(marked)
+        missing = set(cuts).difference(self.memo)
+        if missing:
+            if self.kept > MEMO_CHARS:
+                self.memo.clear()
+                self.kept, missing = 0, set(cuts)
+            self.kept += sum(map(len, missing))
+            self._learn(list(missing))
+        found = [self.memo[c] for c in cuts]
+        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+        sizes = np.frombuffer(b"".join([f[1] for f in found]), np.int32).astype(np.int64)
+        ends = np.cumsum(sizes)
+        return ids, places[ends - sizes].astype(np.int32), places[ends].astype(np.int32)
 
     def decode(self, ids) -> str:
         """The text of any ids: begin and end ids say nothing, bytes that are no character become
         U+FFFD each, the mark at the beginning is dropped."""
+        said = [self.texts[i] for i in ids]
+        if None not in said:  # neither bytes nor unknown pieces
+            text = "".join(said)
+            first = next((i for i, t in zip(ids, said, strict=True) if t), None)
+            drops = self.normaliser.prefix and not self.normaliser.squeeze and first is not None
+            if drops or first is None:
+                return text[1:] if drops and self.names[first].startswith(MARK) else text
         out, pending = [], bytearray()
         at_start, seen, empty = True, False, True
 
