@@ -3,7 +3,7 @@
 Both tokenizers encode a document as a whole. Places where a token of both ends and the next token of
 both begins with a space are anchors, verified by their byte offsets; they cut the document into
 windows, pairs of token-id runs. What is linked inside a window depends on its ids alone, so it is
-worked out once and looked up by the two id tuples afterwards.
+worked out once and looked up by the two tuples of ids, packed into bytes, afterwards.
 
 Tokens whose bytes end together are linked. Byte offsets where tokens of both end cut a document into
 groups. A document whose tokens do not spell its text, byte for byte, has no tokens, like an empty or
@@ -12,8 +12,8 @@ null one.
 
 from __future__ import annotations
 
-import os
-from collections import Counter
+import json
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -27,32 +27,41 @@ from halflight.session import cut_lineage
 
 #: Bytes of text that are tokenised and handed on together.
 CHUNK_BYTES = 1 << 19
-#: Window alignments kept in a process, and the most ids in one that is kept.
-MEMO, MEMO_IDS = 300_000, 64
+#: Window alignments kept in a process.
+MEMO = 300_000
+PAIR, NONE = struct.Struct("<ii"), np.zeros(0, np.int64)
 #: Id pairs whose counts are sent to every executor; 24 bytes each.
 HOT_PAIRS = 400_000
+# Fixed value: where the byte-level vocabulary may not merge.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _FIELDS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()),
            ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
 _SCHEMA = "n_a long, n_b long, n_groups long, groups string, a array<int>, b array<int>, times array<int>"
 
 
 class ByteTokens:
-    """A byte-level vocabulary; a space stands before the text."""
+    """A byte-level vocabulary; a space stands before the text.
+
+    Its merges come in the order of their ids, which is checked, so that ids are ranks to merge by.
+    """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs in parallel
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         byte_of = byte_letters()
-        names = (self.model.id_to_token(i) for i in range(self.model.get_vocab_size()))
-        self.bytes = [bytes(byte_of[c] for c in n) if n and all(c in byte_of for c in n) else
-                      (n or "").encode() for n in names]
+        ids, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if any(ids[a + b] != len(byte_of) + i for i, (a, b) in enumerate(merges)):
+            raise ValueError("merges are not in the order of their ids")
+        ranks = {bytes(byte_of[c] for c in name): i for name, i in ids.items()}
+        self.model = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            self.bytes[i] = raw
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        spaced = [" " + t for t in texts]
-        return [e.ids for e in self.model.encode_batch_fast(spaced, add_special_tokens=False)]
+        return [self.model.encode_ordinary(" " + t) for t in texts]
 
 
 class PieceTokens:
@@ -84,62 +93,67 @@ class Aligner:
 
     def __init__(self, a, b):
         self.a, self.b = a, b
-        self.sizes = [np.array([len(x) for x in t.bytes]) for t in (a, b)]
+        self.sizes = [[len(x) for x in t.bytes] for t in (a, b)]
+        self.size_arrays = [np.array(x) for x in self.sizes]
+        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
         self.spaced = [np.array([x.startswith(b" ") for x in t.bytes]) for t in (a, b)]
-        self.memo: dict[tuple, tuple] = {}
-
-    def _window(self, ids_a: tuple, ids_b: tuple) -> tuple[str, list[tuple[int, int]], int]:
-        """(groups, linked pairs, number of groups) of a window, whose last tokens end together."""
-        size_a, size_b = self.sizes
-        groups, links, i, j = [], [], 0, 0
-        from_a = from_b = end_a = end_b = 0
-        while i < len(ids_a) or j < len(ids_b):
-            if j == len(ids_b) or (i < len(ids_a) and end_a <= end_b):
-                end_a += size_a[ids_a[i]]
-                i += 1
-            else:
+        self.memo: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+
+    def _window(self, packed_a: bytes, packed_b: bytes) -> tuple[str, bytes]:
+        """(groups, linked pairs) of a window, whose last tokens end together."""
+        ids_a, ids_b = (memoryview(ids).cast("i").tolist() for ids in (packed_a, packed_b))
+        (size_a, size_b), names = self.sizes, self.names
+        if len(ids_a) == 1 or len(ids_b) == 1:  # one group
+            group = ",".join([names[i] for i in ids_a]) + "|" + ",".join([names[i] for i in ids_b])
+            return group, PAIR.pack(ids_b[-1], ids_a[-1])
+        groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
+        end_a = end_b = 0
+        while i < len(ids_a):
+            end_a += size_a[ids_a[i]]
+            i += 1
+            while end_b < end_a:
                 end_b += size_b[ids_b[j]]
                 j += 1
-            if end_a == end_b and i > from_a and j > from_b:
-                groups.append(",".join(map(str, ids_a[from_a:i])) + "|"
-                              + ",".join(map(str, ids_b[from_b:j])))
-                links.append((ids_a[i - 1], ids_b[j - 1]))
+            if end_a == end_b:
+                groups.append(",".join([names[x] for x in ids_a[from_a:i]]) + "|"
+                              + ",".join([names[x] for x in ids_b[from_b:j]]))
+                links.append(PAIR.pack(ids_b[j - 1], ids_a[i - 1]))
                 from_a, from_b = i, j
-        return ";".join(groups), links, len(groups)
+        return ";".join(groups), b"".join(links)
 
-    def anchors(self, ids_a: list[int], ids_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of each stand before every anchor, the document's end included."""
         cuts = []
-        for ids, sizes, spaced in zip((ids_a, ids_b), self.sizes, self.spaced, strict=True):
-            seen = np.array(ids)
-            before = np.flatnonzero(spaced[seen[1:]]) + 1
-            cuts.append((before, np.cumsum(sizes[seen])[before - 1]))
+        for ids, sizes, spaced in zip((ids_a, ids_b), self.size_arrays, self.spaced, strict=True):
+            before = np.flatnonzero(spaced[ids[1:]]) + 1
+            cuts.append((before, np.cumsum(sizes[ids])[before - 1]))
         _, at_a, at_b = np.intersect1d(cuts[0][1], cuts[1][1], assume_unique=True, return_indices=True)
         return np.append(cuts[0][0][at_a], len(ids_a)), np.append(cuts[1][0][at_b], len(ids_b))
 
     def align(self, text: str, ids_a: list[int], ids_b: list[int]):
-        """(tokens of A, of B, groups, groups written out, {linked pair: times}) of a document."""
+        """(tokens of A, of B, groups, groups written out, linked pairs, how often each) of a document;
+        a pair is one number, the id of A above that of B."""
         raw = b" " + text.encode()
-        spelt = lambda t, ids: b"".join([t.bytes[i] for i in ids])
+        spelt = lambda t, ids: b"".join(map(t.bytes.__getitem__, ids))
         if not text or spelt(self.a, ids_a) != raw or spelt(self.b, ids_b) != raw:
-            return 0, 0, 0, "", {}
-        memo, parts, links, n_groups = self.memo, [], [], 0
-        from_a = from_b = 0
-        ends_a, ends_b = self.anchors(ids_a, ids_b)
-        for i, j in zip(ends_a.tolist(), ends_b.tolist(), strict=True):
-            key = tuple(ids_a[from_a:i]), tuple(ids_b[from_b:j])
-            found = memo.get(key)
-            if found is None:
-                found = self._window(*key)
-                if i - from_a + j - from_b <= MEMO_IDS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[key] = found
-            parts.append(found[0])
-            links += found[1]
-            n_groups += found[2]
+            return 0, 0, 0, "", NONE, NONE
+        array_a, array_b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
+        packed_a, packed_b = array_a.tobytes(), array_b.tobytes()
+        memo, found, from_a, from_b = self.memo, [], 0, 0
+        ends_a, ends_b = self.anchors(array_a, array_b)
+        for i, j in zip((ends_a * 4).tolist(), (ends_b * 4).tolist(), strict=True):
+            key = packed_a[from_a:i], packed_b[from_b:j]
+            window = memo.get(key)
+            if window is None:
+                window = self._window(*key)
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[key] = window
+            found.append(window)
             from_a, from_b = i, j
-        return len(ids_a), len(ids_b), n_groups, ";".join(parts), Counter(links)
+        links = np.frombuffer(b"".join([w[1] for w in found]), "<i8")
+        pairs, times = np.unique(links, return_counts=True)
+        return len(ids_a), len(ids_b), len(links), ";".join([w[0] for w in found]), pairs, times
 
 
 @lru_cache(maxsize=2)
@@ -176,10 +190,11 @@ def _aligned(batches, byte_path: str, piece_path: str):
             rows = [work.align(*row) for row in zip(
                 part, work.a.encode(part), work.b.encode(part), strict=True)]
             found = [list(c) for c in zip(*[r[:4] for r in rows], strict=True)]
-            found.append([[a for a, _ in r[4]] for r in rows])
-            found.append([[b for _, b in r[4]] for r in rows])
-            found.append([list(r[4].values()) for r in rows])
-            arrays = [pa.array(x, kind) for x, (_, kind) in zip(found, _FIELDS, strict=True)]
+            arrays = [pa.array(x, kind) for x, (_, kind) in zip(found, _FIELDS, strict=False)]
+            ends = np.cumsum([0, *[len(r[4]) for r in rows]]).astype(np.int32)
+            pairs = np.concatenate([r[4] for r in rows])
+            for values in (pairs >> 32, pairs & 0xFFFFFFFF, np.concatenate([r[5] for r in rows])):
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(values.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, to - at), *arrays], ["id", *[n for n, _ in _FIELDS]])
             at = to

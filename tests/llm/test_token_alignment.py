@@ -4,10 +4,12 @@ import base64
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+import tokenizers
 
 from halflight.llm import queries, token_alignment
 
@@ -99,11 +101,22 @@ def test_rows_without_id_repeated_rows_and_empty_tables(spark):
     assert token_alignment.alignment_report(docs.limit(0), A, B).count() == 0
 
 
+def test_every_character_splits_as_in_the_vocabulary_file():
+    model = tokenizers.Tokenizer.from_file(A)
+    model.encode_special_tokens = True
+    work = token_alignment.ByteTokens(A)
+    letters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(letters), 20_000):
+        texts = [f"a{c}1{c} {c}.{c}{c} b{c}" for c in letters[at:at + 20_000]]
+        want = model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        assert work.encode(texts) == [e.ids for e in want]
+
+
 def test_windows_end_at_anchors():
     work = token_alignment.aligner(A, B)
     text = "Some ordinary words, and 12345 more of them."
     ids_a, ids_b = work.a.encode([text])[0], work.b.encode([text])[0]
-    ends_a, ends_b = work.anchors(ids_a, ids_b)
+    ends_a, ends_b = work.anchors(np.array(ids_a), np.array(ids_b))
     assert len(ends_a) == len(ends_b) == text.count(" ") + 1
     i = j = 0
     for k, m in zip(ends_a, ends_b, strict=True):
