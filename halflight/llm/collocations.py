@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halflight.llm.common import hand_over, text_of
-from halflight.llm.transducer import Transducer, compose, pack
+from halflight.llm.transducer import Transducer, compose, pack, pack_rows
 from halflight.operators.keys import broadcast_if_small
 from halflight.session import cut_lineage
 
@@ -119,67 +119,89 @@ def _unique_rows(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np
 
 
 class Shard:
-    """Words of a bounded number of texts, and the blocks of their sorted phrases."""
+    """Words of a bounded number of texts, and the blocks of their sorted phrases.
 
-    def __init__(self, order: int, bit_map: np.ndarray | None):
-        self.order, self.bit_map = order, bit_map
+    ``orders`` are the lengths that are counted, in words; ``maps`` are the bit maps of frequent words
+    and of frequent phrases of one word less than the least of the lengths, None where nothing is known.
+    """
+
+    def __init__(self, orders: tuple[int, ...], maps: tuple[np.ndarray | None, np.ndarray | None]):
+        self.orders, (self.word_map, self.phrase_map) = orders, maps
         self.clear()
 
     def clear(self) -> None:
-        self.words = _Vocabulary()
-        self.words[b"."] = 0
+        self.words: dict[str, _Vocabulary] = {}
         self.parts: dict[str, list[np.ndarray]] = {}
         self.size = 0
 
     def add(self, lang: str, texts: list[str]) -> None:
         found = split_words("\n".join([*texts, ""]).encode())
-        self.parts.setdefault(lang, []).append(
-            np.array(list(map(self.words.__getitem__, found)), np.int32))
+        if lang not in self.words:
+            self.words[lang], self.parts[lang] = _Vocabulary({b".": 0}), []
+        number = self.words[lang].__getitem__
+        self.parts[lang].append(np.fromiter(map(number, found), np.int32, len(found)))
         self.size += len(found)
 
     def blocks(self):
         """Rows of ``_BLOCK_SCHEMA``; forgets the texts."""
-        names = list(self.words)
-        sorted_ids = sorted(range(1, len(names)), key=names.__getitem__)
-        rank = np.empty(len(names), np.int64)
-        rank[0] = -1
-        rank[sorted_ids] = np.arange(len(sorted_ids))
-        words = [names[i] for i in sorted_ids]
-        hashes = np.array([_word_hash(w) for w in words], np.uint64) if self.bit_map is not None else None
         for lang, parts in self.parts.items():
-            rows, counts = _unique_rows(self._phrases(lang, rank[np.concatenate(parts)], hashes))
-            yield from _block_rows(lang, words, rows, counts)
+            names = list(self.words[lang])
+            hashes, kept = None, np.arange(1, len(names))
+            if self.word_map is not None:  # rare words end a piece, as no frequent phrase holds them
+                hashes = np.array([_word_hash(w) for w in names], np.uint64)
+                kept = kept[_in_map(self.word_map, _hashes(lang, [kept], hashes))]
+            sorted_ids = sorted(kept.tolist(), key=names.__getitem__)
+            rank = np.full(len(names), -1, np.int64)
+            rank[sorted_ids] = np.arange(len(sorted_ids))
+            seen = rank[np.concatenate(parts)]
+            words = [names[i] for i in sorted_ids]
+            fits = self._frequent_within(lang, seen, None if hashes is None else hashes[sorted_ids])
+            for order in self.orders:
+                yield from _block_rows(lang, words, *_unique_rows(self._phrases(seen, order, fits)))
         self.clear()
 
-    def _phrases(self, lang: str, seen: np.ndarray, hashes) -> np.ndarray:
+    def _frequent_within(self, lang: str, seen: np.ndarray, hashes) -> np.ndarray | None:
+        """For each place whether the phrase of one word less that begins there may be frequent."""
+        if self.phrase_map is None:
+            return None
+        size = self.orders[0] - 1
+        at = _places(seen, size)
+        found = np.zeros(len(seen), bool)
+        found[at[_in_map(self.phrase_map, _hashes(lang, [seen[at + i] for i in range(size)], hashes))]] = True
+        return found
+
+    def _phrases(self, seen: np.ndarray, order: int, fits: np.ndarray | None) -> np.ndarray:
         """Word numbers of all places of a phrase, one row each; without those that cannot be frequent."""
-        order = self.order
-        n = max(0, len(seen) - order + 1)
-        at = np.flatnonzero(np.logical_and.reduce([seen[i:i + n] >= 0 for i in range(order)]))
-        if self.bit_map is not None and len(at):
-            for shift in (0, 1):
-                h = _hashes(lang, [seen[at + shift + i] for i in range(order - 1)], hashes)
-                at = at[_in_map(self.bit_map, h)]
+        at = _places(seen, order)
+        for shift in range(order - self.orders[0] + 2) if fits is not None else ():
+            at = at[fits[at + shift]]
         return np.column_stack([seen[at + i] for i in range(order)])
 
 
+def _places(seen: np.ndarray, order: int) -> np.ndarray:
+    """Where ``order`` words stand together."""
+    n = max(0, len(seen) - order + 1)
+    return np.flatnonzero(np.logical_and.reduce([seen[i:i + n] >= 0 for i in range(order)]))
+
+
 def _block_rows(lang: str, words: list[bytes], rows: np.ndarray, counts: np.ndarray):
-    join = lambda row: b" ".join([words[i] for i in row]).decode()
+    join = lambda row: b" ".join([words[i] for i in row.tolist()]).decode()
     for at in range(0, len(rows), BLOCK):
-        part, times = rows[at:at + BLOCK].tolist(), counts[at:at + BLOCK].tolist()
-        blob = pack(zip(map(tuple, part), times, strict=True), words)
-        yield lang, len(part), sum(times), join(part[0]), join(part[-1]), blob
+        part, times = rows[at:at + BLOCK], counts[at:at + BLOCK]
+        yield lang, len(part), int(times.sum()), join(part[0]), join(part[-1]), pack_rows(part, times, words)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lang", "phrases", "occurrences", "first", "last", "blob"])
 
 
-def count_shards(docs: DataFrame, order: int, bit_map: bytes | None) -> DataFrame:
-    """Blocks of the phrases of ``order`` words of every shard of (lang, text)."""
+def count_shards(docs: DataFrame, orders: tuple[int, ...], word_map: bytes | None = None,
+                 phrase_map: bytes | None = None) -> DataFrame:
+    """Blocks of the phrases of ``orders`` words of every shard of (lang, text)."""
 
     def shards(batches):
-        shard = Shard(order, None if bit_map is None else np.frombuffer(bit_map, np.uint8))
+        shard = Shard(orders, tuple(
+            None if m is None else np.frombuffer(m, np.uint8) for m in (word_map, phrase_map)))
         for pdf in batches:
             for lang, texts in pdf.groupby("lang", sort=False)["text"]:
                 chunk, size = [], 0
@@ -318,7 +340,7 @@ def unite(blocks: DataFrame, least: int = 1) -> tuple[DataFrame, list]:
 
     schema = f"range int, {_BLOCK_SCHEMA}"
     names = [f.split(" ")[0] for f in schema.split(", ")]
-    rows = cut_blocks(blocks, bounds).repartition(ranges, "range").sortWithinPartitions("range")
+    rows = cut_blocks(blocks, bounds).repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
     return rows.mapInPandas(united, schema), bounds
 
 
@@ -368,17 +390,22 @@ def count_phrases(
     ``lang, n``: all words of each language)."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANGUAGE)).alias("lang"),
                         text_of(text_col).alias("text"))
-    levels, totals, bit_map = None, None, None
-    for order in range(1, max_words + 1):
-        blocks = hand_over(count_shards(texts, order, bit_map), f"shards-{order}")
-        if order == 1:
+    steps = [(1,), *((n,) for n in range(2, min(max_words, 3) + 1))]
+    if max_words > 3:  # so few are left that the longer ones are counted together
+        steps.append(tuple(range(4, max_words + 1)))
+    levels, totals, word_map, last_map = None, None, None, None
+    for orders in steps:
+        name = "-".join(map(str, orders))
+        blocks = hand_over(count_shards(texts, orders, word_map, last_map), f"shards-{name}")
+        if word_map is None:
             totals = cut_lineage(blocks.groupBy("lang").agg(F.sum("occurrences").alias("n")))
-        found = hand_over(unite(blocks, least)[0], f"phrases-{order}").drop("range")
+        found = hand_over(unite(blocks, least)[0], f"phrases-{name}").drop("range")
         levels = found if levels is None else levels.unionByName(found)
-        if found.isEmpty():
+        if orders == steps[-1] or found.isEmpty():
             break
-        if order < max_words:
-            bit_map = phrase_map(found)
+        last_map = phrase_map(found)
+        if word_map is None:  # a phrase of two words needs no more than frequent words
+            word_map, last_map = last_map, None
     return levels, totals
 
 

@@ -14,6 +14,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 
+#: A state that only ends a phrase.
+NO_ARCS = (0,)
+
+
 class Builder:
     """Takes phrases, tuples of label numbers, in ascending order and without repeats."""
 
@@ -48,6 +52,18 @@ class Builder:
         open_[shared][1][-1][2] = count
         self.last = phrase
 
+    def add_endings(self, prefix: tuple, endings: list[int], counts: list[int]) -> None:
+        """``add`` of all phrases of equal length with this prefix at once: sorted last words."""
+        if NO_ARCS not in self.register:
+            self.register[NO_ARCS] = len(self.states)
+            self.states.append(NO_ARCS)
+        leaf, shared = self.register[NO_ARCS], 0
+        if prefix:
+            shared = min(counts)
+            self.add(prefix, shared)
+            self.open[-1][0] = None  # the prefix itself is no phrase
+        self.open[-1][1] = [(label, leaf, n - shared) for label, n in zip(endings, counts, strict=True)]
+
     def _freeze(self, depth: int) -> None:
         open_, register = self.open, self.register
         while len(open_) - 1 > depth:
@@ -66,11 +82,12 @@ class Builder:
         return self.states
 
 
-def _narrow(values: list[int]) -> bytes:
+def _narrow(values) -> bytes:
     """The numbers in as few bytes each as the largest needs, behind that width."""
-    top = max(values, default=0)
+    values = np.asarray(values, np.int64)
+    top = int(values.max()) if len(values) else 0
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return struct.pack("<BI", width, len(values)) + np.array(values, f"<u{width}").tobytes()
+    return struct.pack("<BI", width, len(values)) + values.astype(f"<u{width}").tobytes()
 
 
 def _wide(blob: bytes, at: int) -> tuple[np.ndarray, int]:
@@ -84,16 +101,29 @@ def pack(phrases: Iterable[tuple[tuple, int]], words: list[bytes]) -> bytes:
     builder = Builder()
     for phrase, count in phrases:
         builder.add(phrase, count)
-    states = builder.finish()
-    used = sorted({arc[0] for s in states for arc in s[1:]})
-    place = {label: i for i, label in enumerate(used)}
+    return _packed(builder.finish(), words)
+
+
+def pack_rows(rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> bytes:
+    """``pack`` of phrases of equal length, given as sorted rows of label numbers."""
+    builder, length = Builder(), rows.shape[1]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)
+    starts = np.flatnonzero(new).tolist()
+    prefixes, endings, counts = rows[starts, :-1].tolist(), rows[:, -1].tolist(), counts.tolist()
+    for prefix, at, to in zip(map(tuple, prefixes), starts, [*starts[1:], len(rows)], strict=True):
+        builder.add_endings(prefix if length > 1 else (), endings[at:to], counts[at:to])
+    return _packed(builder.finish(), words)
+
+
+def _packed(states: list[tuple], words: list[bytes]) -> bytes:
     arcs = [arc for s in states for arc in s[1:]]
-    names = b" ".join([words[i] for i in used])
+    labels, targets, weights = zip(*arcs, strict=True) if arcs else ((), (), ())
+    used, place = np.unique(np.array(labels, np.int64), return_inverse=True)
     return b"".join([
         _narrow([len(s) - 1 for s in states]),
         _narrow([0 if s[0] is None else s[0] + 1 for s in states]),
-        _narrow([place[a[0]] for a in arcs]), _narrow([a[1] for a in arcs]), _narrow([a[2] for a in arcs]),
-        names])
+        _narrow(place), _narrow(targets), _narrow(weights), b" ".join([words[i] for i in used.tolist()])])
 
 
 class Transducer:

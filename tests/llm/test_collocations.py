@@ -9,7 +9,7 @@ import pytest
 from check_queries import compare, connect
 
 from halflight.llm import collocations, queries
-from halflight.llm.transducer import Transducer, compose, pack
+from halflight.llm.transducer import Transducer, compose, pack, pack_rows
 
 
 def brute(rows, least=3, top=2000, max_words=5):
@@ -97,6 +97,18 @@ def test_automaton_gives_back_its_phrases():
     assert got == {p: phrases[p] for p in asked if p in phrases}
 
 
+@pytest.mark.parametrize("length", [1, 2, 4])
+def test_phrases_of_one_length_at_once(length):
+    rng = random.Random(5)
+    words = [b"a", b"b", b"c", b"d", b"e"]
+    phrases = sorted({tuple(rng.randrange(5) for _ in range(length)): rng.randint(1, 9) for _ in range(200)}.items())
+    rows, counts = np.array([p for p, _ in phrases]), np.array([n for _, n in phrases])
+    plain, quick = Transducer(pack(phrases, words)), Transducer(pack_rows(rows, counts, words))
+    for a, b in zip(plain.expand(), quick.expand(), strict=True):
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and (a[1] == counts).all()
+    assert len(plain.starts) == len(quick.starts) and len(plain.labels) == len(quick.labels)
+
+
 def test_equal_endings_share_states():
     words = [b"%03d" % i for i in range(100)]
     t = Transducer(pack([((i, 50, 60), 1) for i in range(100)], words))
