@@ -9,13 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halflight.functions.scoring import confidence, decide, uncertainty
-from halflight.operators.evaluate import classification_metrics, evaluate_scores
-from halflight.operators.graph import (
-    inductive_graph_predict,
-    label_propagation,
-    label_spreading,
-    rbf_edges,
-)
+from halflight.operators.evaluate import evaluate_scores
+from halflight.operators.kernel import LANDMARKS, kernel_learn, kernel_predict
+from halflight.operators.keys import broadcast_if_small
+from halflight.operators.leaves import candidate_f1, forest_leaves
 from halflight.operators.models import apply_inputs, fit_inputs, predict, random_forest
 from halflight.operators.ordering import with_global_rank
 from halflight.session import cut_lineage
@@ -61,20 +58,19 @@ def co_training_round(
     scored: DataFrame, row_id: str, p_cols: tuple[str, str] = ("p_first", "p_second"),
     threshold: float = CO_TRAINING_CONFIDENCE, per_round: int = CO_TRAINING_PER_ROUND,
 ) -> DataFrame:
-    """Rows both teachers hand over in one round: row id, label, teacher."""
-    picks = None
-    for number, p in enumerate(p_cols, start=1):
-        rows = scored.select(
-            row_id, decide(F.col(p)).alias("label"), confidence(F.col(p)).alias("confidence")
-        )
-        chosen = (
-            rows.filter(F.col("confidence") > threshold)
-            .orderBy(F.desc("confidence"), row_id)
-            .limit(per_round)
-            .select(row_id, "label", F.lit(number).alias("teacher"))
-        )
-        picks = chosen if picks is None else picks.unionByName(chosen)
-    return unique_candidates(picks, row_id)
+    """Rows both teachers hand over in one round: row id, label, teacher.
+
+    The scores are read once for all teachers, and each partition keeps ``per_round`` rows a teacher
+    before anything is gathered.
+    """
+    said = F.explode(F.array(*[F.struct(F.lit(n).alias("teacher"), F.col(p).alias("p"))
+                               for n, p in enumerate(p_cols, start=1)])).alias("t")
+    rows = scored.select(row_id, said).select(
+        row_id, decide(F.col("t.p")).alias("label"), F.col("t.teacher").alias("teacher"),
+        confidence(F.col("t.p")).alias("confidence")).filter(F.col("confidence") > threshold)
+    best = W.partitionBy("teacher").orderBy(F.desc("confidence"), row_id)
+    picks = rows.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= per_round)
+    return unique_candidates(picks.select(row_id, "label", "teacher"), row_id)
 
 
 def view_ensemble(first: DataFrame, second: DataFrame, row_id: str) -> DataFrame:
@@ -92,15 +88,14 @@ def view_ensemble(first: DataFrame, second: DataFrame, row_id: str) -> DataFrame
 
 
 def select_beneficial(
-    scored: DataFrame, row_id: str, target_size: int, threshold: float,
-    keeps_quality=None, candidate_batch: int = 1,
+    scored: DataFrame, row_id: str, target_size: int, threshold: float, keeps_quality=None,
 ) -> DataFrame:
     """Choose ``target_size`` pool rows (all when the pool is smaller).
 
     With no more confident rows than the target, testing cannot change the outcome: the
-    result is the most confident ``target_size`` rows. Otherwise ``keeps_quality(rows)``
-    says whether adding a batch keeps validation F1; the first passing rows among the
-    2·target most confident are taken, then the most confident of the rest.
+    result is the most confident ``target_size`` rows. Otherwise ``keeps_quality(rows)`` gives the
+    ``row_id`` of those candidates that, each added alone, keep validation F1; the first of these among
+    the 2·target most confident are taken, then the most confident of the rest.
     """
     confident = scored.filter(F.col("confidence") > threshold).count()
     if confident <= target_size or keeps_quality is None:
@@ -108,46 +103,38 @@ def select_beneficial(
     candidates = cut_lineage(
         confidence_rank(scored, row_id, min(confident, 2 * target_size), threshold)
     )
-    passed: list[tuple[int, int]] = []  # (first rank, last rank) of passing batches
-    taken, at = 0, 1
-    last = min(confident, 2 * target_size)
-    while at <= last and taken < target_size:
-        to = min(at + candidate_batch - 1, last, at + target_size - taken - 1)
-        if keeps_quality(candidates.filter(F.col("rank").between(at, to))):
-            passed.append((at, to))
-            taken += to - at + 1
-        at = to + 1
-    good = F.lit(False)
-    for lo, hi in passed:
-        good = good | F.col("rank").between(lo, hi)
-    order = [F.desc("_good"), F.col("rank")]
-    return (
-        candidates.withColumn("_good", good).orderBy(*order).limit(target_size).drop("_good")
-    )
+    passed = keeps_quality(candidates).select(row_id, F.lit(True).alias("_good"))
+    marked = candidates.join(broadcast_if_small(cut_lineage(passed)), row_id, "left").fillna(False, ["_good"])
+    return marked.orderBy(F.desc("_good"), "rank").limit(target_size).drop("_good")
 
 
-def quality_test(
-    train: DataFrame, pool: DataFrame, validate: DataFrame, features: list[str], target: str,
-    row_id: str, baseline_f1: float, trees: int = 50, seed: int = 42,
+def leaf_quality_test(
+    train_leaves: DataFrame, validate_leaves: DataFrame, leaves_of, target: str, row_id: str,
+    keep_share: float = KEEP_F1_SHARE,
 ):
-    """A ``keeps_quality`` test: refit with the batch's predicted labels, compare F1."""
+    """A ``keeps_quality`` test: F1 with each candidate and its predicted label in its leaves stays at
+    ``keep_share`` of what it is. ``leaves_of(candidates)`` gives their trees and leaves."""
 
-    def keeps(batch: DataFrame) -> bool:
-        extra = pool.join(batch.select(row_id, F.col("prediction").alias(target)), row_id)
-        rows = cut_lineage(
-            train.select(row_id, *features, target).unionByName(
-                extra.select(row_id, *features, target)
-            )
-        )
-        model = random_forest(rows, features, target, trees=trees, seed=seed)
-        got = classification_metrics(
-            predict(model, validate, [target]), target, "prediction"
-        ).first()
-        return got["f1"] >= KEEP_F1_SHARE * baseline_f1
+    def keeps(candidates: DataFrame) -> DataFrame:
+        labels = candidates.select(row_id, F.col("prediction").cast("int").alias(target))
+        beside = leaves_of(candidates).select(row_id, "tree", "leaf").join(labels, row_id)
+        found = candidate_f1(train_leaves, validate_leaves, beside, row_id, target)
+        return found.filter(F.col("f1") >= keep_share * F.col("base_f1")).select(row_id)
 
     return keeps
 
 
+def forest_quality_test(
+    model, train: DataFrame, validate: DataFrame, pool: DataFrame, target: str, row_id: str,
+):
+    """``leaf_quality_test`` over the trees of a fitted forest. Leaf tables are written once."""
+    keep = [row_id, target]
+    return leaf_quality_test(
+        cut_lineage(forest_leaves(model, train, keep)), cut_lineage(forest_leaves(model, validate, keep)),
+        lambda rows: forest_leaves(model, pool.join(rows.select(row_id), row_id, "left_semi"), [row_id]),
+        target, row_id)
+
+
 # --- loops ---------------------------------------------------------------------------------
 
 
@@ -158,24 +145,25 @@ def self_training(
 ):
     """(model, pseudo-label table): fit, label confident pool rows, repeat.
 
-    A round scores the rows that are left and writes them once; the confident ones move to the
-    training rows, which are written once, and the others are the next round's pool.
+    The pool is written once. A round scores the rows that have no label yet and writes those that get
+    one; training rows are written once a round.
     """
     names = [row_id, *features, target]
     train = cut_lineage(labelled.select(row_id, *features, F.col(target).cast("int").alias(target)))
-    rest = pool.select(row_id, *features)
+    whole = cut_lineage(pool.select(row_id, *features))
     pseudo = labelled.sparkSession.createDataFrame(
         [], f"{row_id} {dict(pool.dtypes)[row_id]}, {target} int, round int, confidence double"
     )
     model = random_forest(train, features, target, trees, max_depth, seed=seed)
+    rest = whole
     for i in range(1, max_iter + 1):
-        scored = cut_lineage(predict(model, rest, [row_id, *features]))
-        found = scored.filter(F.col("confidence") > threshold).withColumn(target, F.col("prediction"))
+        scored = predict(model, rest, names[:-1])
+        found = cut_lineage(scored.filter(F.col("confidence") > threshold).withColumn(target, F.col("prediction")))
         if found.isEmpty():
             break
         pseudo = pseudo.unionByName(found.select(row_id, target, F.lit(i).alias("round"), "confidence"))
         train = cut_lineage(train.unionByName(found.select(names)))
-        rest = scored.filter(~(F.col("confidence") > threshold)).select(row_id, *features)
+        rest = whole.join(broadcast_if_small(pseudo.select(row_id)), row_id, "left_anti")
         model = random_forest(train, features, target, trees, max_depth, seed=seed)
     return model, pseudo
 
@@ -188,16 +176,17 @@ def co_training(
 ):
     """((model, model), pseudo-label table): two view models label rows for each other.
 
-    Both models score one table in turn, without a join. A round moves 2 · ``per_round`` rows at
-    most, so the rows that it takes out are broadcast.
+    The pool is written once; a round scores it in one pass by both models, without the rows taken
+    before, and writes the 2 · ``per_round`` rows at most that it takes, which are broadcast.
     """
     features = list(dict.fromkeys(first_view + second_view))
     names = [row_id, *features, target]
     train = cut_lineage(labelled.select(row_id, *features, F.col(target).cast("int").alias(target)))
-    rest = pool.select(row_id, *features)
+    whole = cut_lineage(pool.select(row_id, *features))
     pseudo = labelled.sparkSession.createDataFrame(
         [], f"{row_id} {dict(pool.dtypes)[row_id]}, {target} int, teacher int, round int"
     )
+    rest = whole
 
     def fit(rows):
         one = lambda view: random_forest(rows, view, target, trees, max_depth, seed=seed)
@@ -207,19 +196,19 @@ def co_training(
     models = fit(train)
     for i in range(1, max_iter + 1):
         one = predict(models[0], rest, [row_id, *features]).withColumnRenamed("p1", "p_first")
-        two = predict(models[1], one.drop("prediction", "confidence"), [row_id, *features, "p_first"])
-        scored = cut_lineage(two.select(row_id, *features, "p_first", F.col("p1").alias("p_second")))
+        two = predict(models[1], one.drop("prediction", "confidence"), [row_id, "p_first"])
         found = cut_lineage(
-            co_training_round(scored, row_id, ("p_first", "p_second"), threshold, per_round)
+            co_training_round(two.withColumnRenamed("p1", "p_second"), row_id, ("p_first", "p_second"),
+                              threshold, per_round)
             .select(row_id, F.col("label").alias(target), "teacher", F.lit(i).alias("round"))
         )
         if found.isEmpty():
             break
         pseudo = pseudo.unionByName(found)
-        taken = F.broadcast(found)
-        extra = scored.join(taken.select(row_id, target), row_id).select(names)
+        extra = whole.join(F.broadcast(found.select(row_id, target)), row_id).select(names)
         train = cut_lineage(train.unionByName(extra))
-        rest = scored.join(taken.select(row_id), row_id, "left_anti").select(row_id, *features)
+        # 2 · per_round rows a round at most
+        rest = whole.join(broadcast_if_small(pseudo.select(row_id)), row_id, "left_anti")
         models = fit(train)
     return models, pseudo
 
@@ -243,12 +232,12 @@ def co_training_metrics(
 def self_training_run(
     train: DataFrame, validate: DataFrame, test: DataFrame, pool: DataFrame | None,
     features: list[str], target: str, row_id: str, threshold: float = 0.8,
-    target_size: int = 2500, trees: int = 100, candidate_batch: int | None = None,
-    max_iter: int = SELF_TRAINING_ROUNDS, seed: int = 42,
+    target_size: int = 2500, trees: int = 100, max_iter: int = SELF_TRAINING_ROUNDS, seed: int = 42,
 ) -> DataFrame:
     """Baseline, choice of pool rows, self-training, metrics on validation and test rows.
 
-    Without a pool the baseline is the model. One row per part and evaluated split.
+    Each candidate of the choice is tested alone, in the leaves of the baseline's trees. Without a pool
+    the baseline is the model. One row per part and evaluated split.
     """
     keep = [row_id, target]
     baseline = random_forest(train, features, target, trees=trees, seed=seed)
@@ -260,13 +249,8 @@ def self_training_run(
     ]
     if pool is not None and not pool.isEmpty():
         scored = cut_lineage(predict(baseline, pool, [row_id]))
-        base_f1 = classification_metrics(parts[0], target, "prediction").first()["f1"]
-        keeps = quality_test(train, pool, validate, features, target, row_id, base_f1,
-                             trees=max(1, trees // 2), seed=seed)
-        chosen = select_beneficial(
-            scored, row_id, target_size, threshold, keeps,
-            candidate_batch or max(1, target_size // 4),
-        )
+        keeps = forest_quality_test(baseline, train, validate, pool, target, row_id)
+        chosen = select_beneficial(scored, row_id, target_size, threshold, keeps)
         chosen_pool = pool.join(chosen.select(row_id), row_id, "left_semi")
         model, _ = self_training(train, chosen_pool, features, target, row_id, threshold,
                                  max_iter, trees, seed=seed)
@@ -286,13 +270,13 @@ def unlabelled_size_sweep(
     target: str, row_id: str, sizes: list[int], views: tuple[list[str], list[str]],
     position: str = "position", methods: tuple[str, ...] = METHODS, threshold: float = 0.75,
     trees: int = 100, max_iter: int = SELF_TRAINING_ROUNDS, co_rounds: int = CO_TRAINING_ROUNDS,
-    graph_rounds: int = GRAPH_ROUNDS, parallel: int = 4, seed: int = 42,
+    graph_rounds: int = GRAPH_ROUNDS, landmarks: int = LANDMARKS, parallel: int = 4, seed: int = 42,
 ) -> DataFrame:
     """Learning curves of the methods over pool prefixes of growing size; one row per method and size.
 
     Sizes are clipped to the pool, and each is run once. Without pool rows the forest of the labelled
     rows stands for all methods but co-training, which has its two view models. The graph methods
-    score the test rows from kernel weights, γ = 1 / features, to their nearest graph rows;
+    take the whole kernel, γ = 1 / features, through ``landmarks`` rows;
     ``n_pseudo_labeled`` is how many pool rows got a label or were reached by one.
     """
     if unknown := set(methods) - set(METHODS):
@@ -309,14 +293,11 @@ def unlabelled_size_sweep(
             F.col(row_id).alias("id"), vector, label.cast("int").alias("label"))
 
     def graph_scores(method: str, part: DataFrame):
-        nodes = cut_lineage(as_nodes(labelled, F.col(target)).unionByName(
-            as_nodes(part, F.lit(None))))
-        edges = rbf_edges(nodes, "id", "v", gamma, include_self=True)
-        learn = label_propagation if method == "Label Propagation" else label_spreading
-        reached = learn(nodes, edges, max_iter=graph_rounds)
-        seen = as_nodes(test, F.lit(None)).select("id", "v")
-        p = inductive_graph_predict(seen, nodes.select("id", "v"), reached, gamma=gamma)
-        rows = test.select(keep).join(p.withColumnRenamed("id", row_id), row_id)
+        nodes = as_nodes(labelled, F.col(target)).unionByName(as_nodes(part, F.lit(None)))
+        kind = "propagation" if method == "Label Propagation" else "spreading"
+        reached, model = kernel_learn(nodes, kind, gamma, landmarks, max_iter=graph_rounds)
+        seen = as_nodes(test, F.lit(None)).select(F.col("id").alias(row_id), kernel_predict(F.col("v"), model).alias("p1"))
+        rows = test.select(keep).join(seen, row_id)
         return (rows.withColumn("prediction", decide(F.col("p1"))),
                 reached.filter("not known and f0 + f1 > 0").count())
 

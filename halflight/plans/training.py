@@ -26,6 +26,7 @@ from halflight.operators.graph import (
     label_spreading,
     rbf_edges,
 )
+from halflight.operators.kernel import LANDMARKS, kernel_learn
 from halflight.operators.sample import downsample_majority, stratified_split
 from halflight.session import cut_lineage
 
@@ -116,15 +117,18 @@ def prepare_labelled(
 
 def graph_learn(
     nodes: DataFrame, method: str, graph: str, n_features: int, alpha: float = 0.2, k: int = 7,
-    max_iter: int = 1000, tolerance: float | None = 1e-3, **kw,
+    max_iter: int = 1000, tolerance: float | None = 1e-3, landmarks: int = LANDMARKS, **kw,
 ) -> DataFrame:
-    """Label propagation or spreading over the k nearest neighbours.
+    """Label propagation or spreading over a graph.
 
     ``method`` is 'propagation' or 'spreading'; ``graph`` is 'knn' for unit weights or 'rbf_knn' for
-    kernel weights with γ = 1 / ``n_features``. ``nodes`` has id, v and a nullable label.
+    kernel weights to the k nearest neighbours, or 'rbf' for the kernel of all pairs through
+    ``landmarks`` rows; γ is 1 / ``n_features``. ``nodes`` has id, v and a nullable label.
     """
-    if method not in ("propagation", "spreading") or graph not in ("knn", "rbf_knn"):
+    if method not in ("propagation", "spreading") or graph not in ("knn", "rbf_knn", "rbf"):
         raise ValueError(f"unknown method or graph: {method}, {graph}")
+    if graph == "rbf":
+        return kernel_learn(nodes, method, 1.0 / n_features, landmarks, alpha, max_iter, tolerance)[0]
     if graph == "knn":
         edges = knn_edges(nodes, "id", "v", k, include_self=True, **kw).withColumn("w", F.lit(1.0))
     else:

@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from halflight.functions.text import VIEW_SIZE, VIEW_STYLE
-from halflight.operators import domain, evaluate, graph, models, sample, selftrain
+from halflight.operators import domain, evaluate, graph, kernel, leaves, models, sample, selftrain
 from halflight.plans import training
 from halflight.session import cut_lineage, scratch_path
 from halflight.sources import models as bundles
@@ -134,6 +134,30 @@ def label_spreading_rbf(spark, sf):
     return learnt(spark, sf, "spreading", "rbf_knn")
 
 
+#: γ of the whole kernel, and landmarks; with as many rows or fewer the kernel is that of all pairs.
+FULL_GAMMA, FULL_LANDMARKS = 0.25, 1024
+FULL = f"wts AS (SELECT src, dst, exp(-{FULL_GAMMA} * dist * dist) AS w FROM pairs)"
+
+
+def whole_kernel(spark, sf, method: str):
+    out, _ = kernel.kernel_learn(graph_nodes(spark, sf), method, FULL_GAMMA, FULL_LANDMARKS, max_iter=ROUNDS)
+    return rounded(out.drop("known"), ["f0", "f1"])
+
+
+@query("label_propagation_kernel",
+       f"WITH {NODES}, {knn_sql(7, True)}, {FULL}, {START}, {rounds_sql(ROUNDS, CLAMP)} {FINAL}")
+def label_propagation_kernel(spark, sf):
+    """Over the kernel of all pairs, as rows and landmarks."""
+    return whole_kernel(spark, sf, "propagation")
+
+
+@query("label_spreading_kernel",
+       f"WITH {NODES}, {knn_sql(7, True)}, {FULL}, {NORMAL}, {START},"
+       f" {rounds_sql(ROUNDS, MIX, 'norm')} {FINAL}")
+def label_spreading_kernel(spark, sf):
+    return whole_kernel(spark, sf, "spreading")
+
+
 @query("graph_learn",
        f"WITH {NODES}, {knn_sql(7, True)}, {KERNEL}, {START}, {rounds_sql(ROUNDS, CLAMP)} "
        f"SELECT count(*) AS n, {q6('avg(CASE WHEN (f1 >= 0.5) = (truth = 1) THEN 1.0 ELSE 0.0 END)', 'accuracy')} "
@@ -243,8 +267,105 @@ def unique_candidates(spark, sf):
     return selftrain.unique_candidates(picks, "event_id")
 
 
-@query("select_beneficial", f"WITH {EVENTS} {ranked_sql('', 2500)}")
+# Leaf tables of a few trees over the events: a leaf is a cell of value and number.
+LEAF_TREES = [(6, 5), (9, 4), (5, 7), (12, 3), (8, 6)]
+#: A tested choice: rows wanted, confidence asked for, and the share of F1 that a candidate must keep.
+CHOICE = (400, 0.8, 1.0)
+LEAF_ROWS = f"""
+placed AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k,
+  CAST(user_id % 5 AS INT) AS part FROM events),
+rows_of AS (SELECT event_id, part, CASE WHEN value + k > 200 THEN 1 ELSE 0 END AS label, {" UNION ALL ".join(
+    ("SELECT event_id, part, CASE WHEN value + k > 200 THEN 1 ELSE 0 END AS label, " if n else "")
+    + f"{n} AS tree, CAST(floor(value / {a}) * 100 + floor(k / {b}) AS INT) AS leaf FROM placed"
+    for n, (a, b) in enumerate(LEAF_TREES))})"""
+
+
+def leaf_rows(spark, sf):
+    """event_id, part, label, tree, leaf; parts 0 teach, parts 1 judge, the others are the pool."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    cells = [F.struct(F.lit(n).alias("tree"), (F.floor(F.col("value") / a) * 100 + F.floor(k / b)).cast("int").alias(
+        "leaf")) for n, (a, b) in enumerate(LEAF_TREES)]
+    return table(spark, sf, "events").select(
+        "event_id", (F.col("user_id") % 5).cast("int").alias("part"),
+        F.when(F.col("value") + k > 200, 1).otherwise(0).alias("label"), F.explode(F.array(*cells)).alias("c")
+    ).select("event_id", "part", "label", "c.tree", "c.leaf")
+
+
+#: Every candidate against every judged row, tree by tree.
+LEAF_F1 = f"""
+w AS (SELECT label, (SELECT count(*) FROM rows_of WHERE part = 0 AND tree = 0) / (2.0 * count(*)) AS w
+  FROM rows_of WHERE part = 0 AND tree = 0 GROUP BY label),
+counts AS (SELECT tree, leaf, coalesce(sum(w) FILTER (label = 0), 0) AS n0,
+  coalesce(sum(w) FILTER (label = 1), 0) AS n1 FROM rows_of JOIN w USING (label) WHERE part = 0 GROUP BY tree, leaf),
+judged AS (SELECT r.event_id, r.label, r.tree, r.leaf, n0, n1 FROM rows_of r LEFT JOIN counts USING (tree, leaf)
+  WHERE part = 1),
+before AS (SELECT event_id, label, round(sum(coalesce(n1 / (n0 + n1), 0)) / {len(LEAF_TREES)}, 12) AS p
+  FROM judged GROUP BY event_id, label),
+alone AS (SELECT c.event_id AS cand, j.event_id, round(sum((n1 + c.label * w.w) / (n0 + n1 + w.w) - n1 / (n0 + n1))
+    / {len(LEAF_TREES)}, 12) AS move
+  FROM cands c JOIN w ON w.label = c.label JOIN judged j ON j.tree = c.tree AND j.leaf = c.leaf AND n0 + n1 > 0
+  GROUP BY c.event_id, j.event_id),
+after AS (SELECT x.cand, b.label, CASE WHEN round(p + coalesce(move, 0), 12) >= 0.5 THEN 1 ELSE 0 END AS said
+  FROM (SELECT DISTINCT event_id AS cand FROM cands) x CROSS JOIN before b
+  LEFT JOIN alone a ON a.cand = x.cand AND a.event_id = b.event_id),
+quality AS (SELECT cand AS event_id, sum(label * said) AS tp, sum((1 - label) * said) AS fp,
+  sum(label * (1 - said)) AS fn, coalesce(2 * sum(label * said) / nullif(sum(label) + sum(said), 0), 0.0) AS f1
+  FROM after GROUP BY cand),
+base AS (SELECT coalesce(2 * sum(label * (p >= 0.5)::INT) / nullif(sum(label) + sum((p >= 0.5)::INT), 0), 0.0) AS base_f1
+  FROM before)"""
+
+
+#: Scores of the pool that know nothing of the value, so that some labels are wrong.
+SECOND = """
+sc2 AS (SELECT event_id, part, CASE WHEN p_second >= 0.5 THEN 1 ELSE 0 END AS prediction,
+  CASE WHEN p_second >= 0.5 THEN p_second ELSE 1 - p_second END AS confidence
+  FROM ev JOIN placed USING (event_id) WHERE part > 1)"""
+
+
+def second_scores(spark, sf):
+    """The pool, scored, without the rows that teach or judge."""
+    p = F.col("p_second")
+    pool = table(spark, sf, "events").filter("user_id % 5 > 1").select("event_id")
+    return two_scores(spark, sf).join(pool, "event_id").select(
+        "event_id", F.when(p >= 0.5, 1).otherwise(0).alias("prediction"),
+        F.when(p >= 0.5, p).otherwise(1 - p).alias("confidence"))
+
+
+@query("candidate_f1", f"""
+WITH {EVENTS}, {LEAF_ROWS}, {SECOND}, cands AS (SELECT event_id, prediction AS label, tree, leaf
+  FROM (SELECT event_id, tree, leaf FROM rows_of) JOIN sc2 USING (event_id) WHERE confidence > 0.9),
+{LEAF_F1} SELECT event_id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+  {q6("f1")}, {q6("base_f1")} FROM quality, base""")
+def candidate_f1(spark, sf):
+    """Validation F1 with each of many candidates added alone, from leaves."""
+    rows = leaf_rows(spark, sf)
+    labels = second_scores(spark, sf).filter("confidence > 0.9").select("event_id", F.col("prediction").alias("label"))
+    cands = rows.select("event_id", "tree", "leaf").join(labels, "event_id")
+    out = leaves.candidate_f1(rows.filter("part = 0"), rows.filter("part = 1"), cands, "event_id", "label")
+    return rounded(out, ["f1", "base_f1"])
+
+
+@query("select_beneficial", f"""
+WITH {EVENTS}, {LEAF_ROWS}, {SECOND},
+ranked AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, event_id) AS rn FROM sc2 WHERE confidence > {CHOICE[1]}),
+tested AS (SELECT * FROM ranked WHERE rn <= {2 * CHOICE[0]}),
+cands AS (SELECT r.event_id, prediction AS label, tree, leaf FROM rows_of r JOIN tested USING (event_id)),
+{LEAF_F1}, chosen AS (SELECT t.*, row_number() OVER (ORDER BY f1 >= {CHOICE[2]} * base_f1 DESC, rn) AS place
+  FROM tested t JOIN quality USING (event_id), base)
+SELECT event_id, {q6("confidence")}, rn AS "rank" FROM chosen WHERE place <= {CHOICE[0]}""")
 def select_beneficial(spark, sf):
+    """The choice of pool rows with every candidate tested alone."""
+    rows = leaf_rows(spark, sf)
+    keeps = selftrain.leaf_quality_test(
+        rows.filter("part = 0"), rows.filter("part = 1"),
+        lambda cands: rows.join(cands.select("event_id"), "event_id", "left_semi"), "label", "event_id", CHOICE[2])
+    out = selftrain.select_beneficial(second_scores(spark, sf), "event_id", *CHOICE[:2], keeps)
+    return out.select("event_id", r6("confidence"), "rank")
+
+
+@query("select_confident", f"WITH {EVENTS} {ranked_sql('', 2500)}")
+def select_confident(spark, sf):
+    """The choice where few rows are confident, so that no test can change it."""
     out = selftrain.select_beneficial(scored_pool(spark, sf), "event_id", 2500, 0.998)
     return out.select("event_id", r6("confidence"), "rank")
 
