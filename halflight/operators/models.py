@@ -6,7 +6,6 @@ import json
 import math
 import random
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +24,7 @@ from halflight.operators.evaluate import (
     score_curve,
 )
 from halflight.operators.graph import knn_classify
+from halflight.operators.search import search, trials_table
 from halflight.session import cut_lineage
 
 
@@ -51,16 +51,7 @@ def _spread(rows: DataFrame, values: list[Column], target: str) -> Spread:
     groups = rows.groupBy(target).agg(F.count(F.lit(1)).alias("rows"), *aggs).limit(MAX_CLASSES + 1).collect()
     if len(groups) > MAX_CLASSES:
         raise ValueError(f"{target} has more than {MAX_CLASSES} values")
-    found = []
-    for i in range(len(values)):
-        n, mean, squares = 0, 0.0, 0.0
-        for g in groups:
-            if g[f"n{i}"]:
-                k, gap = g[f"n{i}"], g[f"m{i}"] - mean
-                squares += g[f"v{i}"] * k + gap * gap * n * k / (n + k)
-                mean += gap * k / (n + k)
-                n += k
-        found.append((n, mean, squares))
+    found = [_merged([(g[f"n{i}"], g[f"m{i}"], g[f"v{i}"]) for g in groups]) for i in range(len(values))]
     return Spread({g[target]: g["rows"] for g in groups}, found)
 
 
@@ -272,45 +263,28 @@ def compare_models(
 # --- search over settings ------------------------------------------------------------------
 
 
-def draw_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
-    """Seeded draws: a list is a choice, (lo, hi) uniform, (lo, hi, 'log') log-uniform."""
-    rng = random.Random(seed)
-    trials = []
-    for _ in range(n):
-        trial = {}
-        for name, spec in space.items():
-            if isinstance(spec, list):
-                trial[name] = rng.choice(spec)
-            elif len(spec) == 3:
-                trial[name] = math.exp(rng.uniform(math.log(spec[0]), math.log(spec[1])))
-            else:
-                trial[name] = rng.uniform(spec[0], spec[1])
-        trials.append(trial)
-    return trials
+#: Effort of the rungs of a forest's trial, in shares of its trees.
+RUNGS = (1 / 3, 1.0)
 
 
 def hyperparameter_search(
-    train: DataFrame, validate: DataFrame, features: list[str], target: str, trials: list[dict],
-    parallel: int = 4, seed: int = 42,
+    train: DataFrame, validate: DataFrame, features: list[str], target: str, space: dict,
+    n_trials: int = 20, parallel: int = 4, rungs: tuple[float, ...] = RUNGS, seed: int = 42,
 ) -> DataFrame:
-    """One row per trial (settings as JSON, F1, ROC-AUC), best F1 marked.
+    """One row per trial (settings as JSON, F1, ROC-AUC, its effort and whether a rung stopped it), the
+    best of full effort marked.
 
-    Every trial is a Spark fit; a few run at a time so the cluster stays busy.
+    Settings are proposed from the trials before them, as ``operators/search.py`` says. Every trial is a
+    Spark fit; a few run at a time so the cluster stays busy. A rung gives a trial that share of its trees.
     """
-    spark = train.sparkSession
-
-    def run(item):
-        i, trial = item
-        model = random_forest(train, features, target, seed=seed, **trial)
-        scored = predict(model, validate, [target])
-        got = evaluate_scores(scored, target, "prediction", "p1").first()
-        return (i, json.dumps(trial, sort_keys=True), got["f1"], got["roc_auc"])
+    def evaluate(settings: dict, effort: float):
+        fewer = {**settings, "trees": max(1, round(settings.get("trees", 100) * effort))}
+        model = random_forest(train, features, target, seed=seed, **fewer)
+        got = evaluate_scores(predict(model, validate, [target]), target, "prediction", "p1").first()
+        return got["f1"], {"f1": got["f1"], "roc_auc": got["roc_auc"]}
 
-    with ThreadPoolExecutor(parallel) as pool:
-        rows = list(pool.map(run, enumerate(trials)))
-    table = spark.createDataFrame(rows, "trial int, settings string, f1 double, roc_auc double")
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    return table.withColumn("is_best", F.col("trial") == best)
+    trials = search(space, evaluate, n_trials, parallel, rungs, seed=seed)
+    return trials_table(train.sparkSession, trials, "f1 double, roc_auc double").drop("score")
 
 
 def refit_best(
@@ -327,34 +301,44 @@ def refit_best(
 def fold_statistics(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Per held-out fold: discriminant weight of each feature from the other folds.
 
-    Class sums per fold come from one aggregate; the training part of a fold is the
-    total minus the fold. Weight = (mean1 − mean0) / pooled within-class variance.
+    Count, mean and squared deviations per class and fold come from one aggregate; the training part of
+    a fold merges those of the other folds, so that columns far from zero lose no digits. Weight =
+    (mean1 − mean0) / pooled within-class variance, 0 where nothing varies within the classes.
     """
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(features):
-        aggs += [F.sum(c).alias(f"s{i}"), F.sum(F.col(c) * F.col(c)).alias(f"q{i}")]
-    per = df.groupBy("fold", F.col(target).alias("y")).agg(*aggs)
-    sums = lambda y: [
-        F.sum(F.when(F.col("y") == y, F.col(n))).alias(f"{n}_{y}")
-        for n in ["n"] + [f"{m}{i}" for i in range(len(features)) for m in "sq"]
-    ]
-    wide = per.groupBy("fold").agg(*sums(0), *sums(1))
-    names = [c for c in wide.columns if c != "fold"]
-    wide = cut_lineage(wide)  # one row per fold
-    total = wide.agg(*[F.sum(c).alias(c) for c in names]).first()
-    rest = {c: F.lit(total[c]) - F.coalesce(F.col(c), F.lit(0)) for c in names}
-    weights = []
-    for i, c in enumerate(features):
-        n0, n1 = rest["n_0"], rest["n_1"]
-        m0, m1 = rest[f"s{i}_0"] / n0, rest[f"s{i}_1"] / n1
-        within = (rest[f"q{i}_0"] - n0 * m0 * m0) + (rest[f"q{i}_1"] - n1 * m1 * m1)
-        # rounding leaves a constant column slightly off zero
-        scale = F.when(within > (rest[f"q{i}_0"] + rest[f"q{i}_1"]) * 1e-12, within)
-        weights.append(
-            F.coalesce((m1 - m0) / (scale / (n0 + n1 - F.lit(2))), F.lit(0.0)).alias(f"w{i}")
-        )
-    usable = (rest["n_0"] > 1) & (rest["n_1"] > 1)
-    return wide.filter(usable).select("fold", F.array(*weights).alias("w"))
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    # one row per fold and class
+    groups = df.filter(F.col(target).isin(0, 1)).groupBy("fold", F.col(target).alias("y")).agg(*aggs).collect()
+    rows = []
+    for fold in sorted({g["fold"] for g in groups}, key=lambda f: (f is None, f)):
+        rest = {y: [g for g in groups if g["fold"] != fold and g["y"] == y] for y in (0, 1)}
+        if any(sum(g["n"] for g in part) < 2 for part in rest.values()):
+            continue
+        weights = []
+        for i in range(len(features)):
+            (n0, m0, q0), (n1, m1, q1) = (_merged([(g[f"n{i}"], g[f"m{i}"], g[f"v{i}"]) for g in rest[y]])
+                                          for y in (0, 1))
+            within, spread = q0 + q1, n0 * m0 * m0 + n1 * m1 * m1
+            # rounding leaves a constant column slightly off zero
+            varies = n0 and n1 and n0 + n1 > 2 and within > spread * 1e-24 and within > 0
+            weights.append((m1 - m0) / (within / (n0 + n1 - 2)) if varies else 0.0)
+        rows.append((fold, weights))
+    fold_type = dict(df.dtypes)["fold"]
+    return df.sparkSession.createDataFrame(rows, f"fold {fold_type}, w array<double>")
+
+
+def _merged(parts: list[tuple]) -> tuple[int, float, float]:
+    """(number, mean, squared deviations) of parts given as (number, mean, variance)."""
+    n, mean, squares = 0, 0.0, 0.0
+    for k, m, v in parts:
+        if k:
+            gap = m - mean
+            squares += v * k + gap * gap * n * k / (n + k)
+            mean += gap * k / (n + k)
+            n += k
+    return n, mean, squares
 
 
 def ga_fitness(

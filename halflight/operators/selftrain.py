@@ -15,6 +15,7 @@ from halflight.operators.keys import broadcast_if_small
 from halflight.operators.leaves import candidate_f1, forest_leaves
 from halflight.operators.models import apply_inputs, fit_inputs, predict, random_forest
 from halflight.operators.ordering import with_global_rank
+from halflight.operators.search import search, trials_table
 from halflight.session import cut_lineage
 
 # Fixed values of the experiments.
@@ -138,6 +139,13 @@ def forest_quality_test(
 # --- loops ---------------------------------------------------------------------------------
 
 
+def _grown(train: DataFrame, extra: DataFrame) -> DataFrame:
+    """Training rows with a round's new ones, written; in as many parts as there are cores at most, else
+    each round would add the parts of the pool."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(train.unionByName(extra).coalesce(cores))
+
+
 def self_training(
     labelled: DataFrame, pool: DataFrame, features: list[str], target: str, row_id: str,
     threshold: float = 0.75, max_iter: int = SELF_TRAINING_ROUNDS, trees: int = 100,
@@ -162,7 +170,7 @@ def self_training(
         if found.isEmpty():
             break
         pseudo = pseudo.unionByName(found.select(row_id, target, F.lit(i).alias("round"), "confidence"))
-        train = cut_lineage(train.unionByName(found.select(names)))
+        train = _grown(train, found.select(names))
         rest = whole.join(broadcast_if_small(pseudo.select(row_id)), row_id, "left_anti")
         model = random_forest(train, features, target, trees, max_depth, seed=seed)
     return model, pseudo
@@ -206,7 +214,7 @@ def co_training(
             break
         pseudo = pseudo.unionByName(found)
         extra = whole.join(F.broadcast(found.select(row_id, target)), row_id).select(names)
-        train = cut_lineage(train.unionByName(extra))
+        train = _grown(train, extra)
         # 2 · per_round rows a round at most
         rest = whole.join(broadcast_if_small(pseudo.select(row_id)), row_id, "left_anti")
         models = fit(train)
@@ -328,3 +336,58 @@ def unlabelled_size_sweep(
         scored = scored.unionByName(part)
     return evaluate_scores(scored, target, "prediction", "p1",
                            ["method", "n_unlabeled", "n_pseudo_labeled", "final_train_size"])
+
+
+#: Effort of the rungs of a semi-supervised trial, in shares of its pool rows and rounds.
+SEMI_RUNGS = (1 / 3, 1.0)
+
+
+def semi_supervised_search(
+    labelled: DataFrame, validate: DataFrame, ordered_pool: DataFrame, features: list[str], target: str,
+    row_id: str, space: dict, n_trials: int = 50, position: str = "position", forest: dict | None = None,
+    landmarks: int = LANDMARKS, parallel: int = 4, rungs: tuple[float, ...] = SEMI_RUNGS, seed: int = 42,
+) -> DataFrame:
+    """One row per trial: settings as JSON, validation F1 and ROC-AUC, pool rows that got a label, F1 over
+    the forest of the labelled rows alone in percent; the best of full effort marked.
+
+    The settings are ``ssl_method`` ('label_propagation' or 'self_training'), ``n_unlabeled`` pool rows
+    from the head of the given order, ``lp_gamma`` and ``lp_max_iter`` of the whole kernel, ``st_threshold``
+    and ``st_max_iter`` of the loop. Sizes beyond the pool mean all of it. ``forest`` has the trees and
+    depth of the forests. Trials are proposed from those before them; a rung gives a trial that share of
+    its pool rows and rounds.
+    """
+    forest = forest or {}
+    keep = [row_id, target]
+    inputs, _ = fit_inputs(labelled, features, target)
+    vector = F.array(*[F.col(c).cast("double") for c in features])
+
+    def as_nodes(df: DataFrame, label) -> DataFrame:
+        return apply_inputs(df, inputs, features).select(
+            F.col(row_id).alias("id"), vector.alias("v"), label.cast("int").alias("label"))
+
+    known = cut_lineage(as_nodes(labelled, F.col(target)))
+    judged = cut_lineage(apply_inputs(validate, inputs, features).select(*keep, vector.alias("v")))
+    baseline = predict(random_forest(labelled, features, target, seed=seed, **forest), validate, keep)
+    metrics = lambda rows: evaluate_scores(rows, target, "prediction", "p1").first()
+    base_f1 = metrics(baseline)["f1"]
+
+    def evaluate(s: dict, effort: float):
+        part = ordered_pool.filter(F.col(position) <= max(1, round(s["n_unlabeled"] * effort)))
+        rounds = lambda name: max(1, round(s[name] * effort))
+        if s["ssl_method"] == "label_propagation":
+            nodes = known.unionByName(as_nodes(part, F.lit(None)))
+            reached, model = kernel_learn(nodes, "propagation", s["lp_gamma"], landmarks, max_iter=rounds("lp_max_iter"))
+            rows = judged.select(*keep, kernel_predict(F.col("v"), model).alias("p1")).withColumn(
+                "prediction", decide(F.col("p1")))
+            added = reached.filter("not known and f0 + f1 > 0").count()
+        else:
+            model, pseudo = self_training(labelled, part, features, target, row_id, s["st_threshold"],
+                                          rounds("st_max_iter"), seed=seed, **forest)
+            rows, added = predict(model, validate, keep), pseudo.count()
+        got = metrics(rows)
+        gain = (got["f1"] - base_f1) / base_f1 * 100 if base_f1 else None
+        return got["f1"], {"f1": got["f1"], "roc_auc": got["roc_auc"], "n_pseudo_labeled": added, "gain_pct": gain}
+
+    trials = search(space, evaluate, n_trials, parallel, rungs, seed=seed)
+    return trials_table(labelled.sparkSession, trials, "f1 double, roc_auc double, n_pseudo_labeled long, "
+                                                       "gain_pct double").drop("score")

@@ -434,7 +434,7 @@ def compare_models(spark, sf):
         split, {"all": DESC, "size": VIEW_SIZE}, "label", "doc_id", trees=TREES)
 
 
-#: Values of the settings search.
+# Fixed values of the settings searches.
 FOREST_SPACE = {"trees": [50, 100, 150, 200], "max_depth": [10, 15, 20, 25, 30],
                 "min_leaf": [1, 2, 4], "subset": ["sqrt", "log2"]}
 
@@ -449,8 +449,7 @@ def hyperparameter_search(spark, sf):
     ready = models.apply_inputs(train, inputs, DESC)
     inner = cut_lineage(sample.stratified_split(ready, "label", "doc_id", 0.25, seed=43))
     tried = cut_lineage(models.hyperparameter_search(
-        part(inner, "train"), part(inner, "test"), DESC, "label",
-        models.draw_trials(FOREST_SPACE, 20)))
+        part(inner, "train"), part(inner, "test"), DESC, "label", FOREST_SPACE, 20))
     # clipping and scaling become part of the stored model
     model, _ = models.refit_best(tried, train, DESC, "label", clip=3.0, scale=True)
     scored = models.predict(model, test, ["doc_id", "label"])
@@ -461,6 +460,20 @@ def hyperparameter_search(spark, sf):
     return tried.withColumn("best_model", F.when(F.col("is_best"), F.lit(path)))
 
 
+SEMI_SPACE = {"ssl_method": ["label_propagation", "self_training"], "n_unlabeled": [5000, 10000, 15000, 20000],
+              "lp_gamma": (0.001, 0.5, "log"), "lp_max_iter": [500, 1000, 1500],
+              "st_threshold": (0.7, 0.95), "st_max_iter": [5, 10, 15]}
+
+
+@query("semi_supervised_search")
+def semi_supervised_search(spark, sf):
+    """50 trials over method, pool size, γ, rounds and threshold; validation rows are the test part."""
+    train, test, pool = parts(spark, sf)
+    ordered = cut_lineage(sample.shuffle_order(pool, "doc_id"))
+    return selftrain.semi_supervised_search(
+        train, test, ordered, DESC, "label", "doc_id", SEMI_SPACE, 50, forest={"trees": TREES})
+
+
 def half_folds(spark, sf):
     return cut_lineage(
         sample.stratified_folds(labelled_docs(spark, sf), "label", "doc_id", 2))

@@ -1,5 +1,7 @@
 """No row is lost to a null key, a gap or an odd shape, and streams read tables of many files."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,17 +168,21 @@ def test_settings_search_spans_the_space_and_stores_the_winner(spark, monkeypatc
     from halflight.sources import models as bundles
     from halflight.suite import learning
 
-    space, drawn = learning.FOREST_SPACE, learning.models.draw_trials(learning.FOREST_SPACE, 20)
+    space = learning.FOREST_SPACE
     assert max(space["trees"]) == 200 and max(space["max_depth"]) == 30
-    assert len(drawn) == 20 and all(t[k] in v for t in drawn for k, v in space.items())
-    few = [{"trees": 3, "max_depth": d, "min_leaf": 1, "subset": "log2"} for d in (1, 12)]
-    asked = []
-    monkeypatch.setattr(learning.models, "draw_trials", lambda *args: asked.append(args) or few)
+    few = {"trees": [3], "max_depth": [1, 12], "min_leaf": [1], "subset": ["log2"]}
+    asked, whole = [], learning.models.hyperparameter_search
+
+    def small(train, validate, features, target, given, n):
+        asked.append((given, n))
+        return whole(train, validate, features, target, few, 4)
+
+    monkeypatch.setattr(learning.models, "hyperparameter_search", small)
     rows = learning.hyperparameter_search(spark, SF).collect()
-    assert asked == [(space, 20)] and len(rows) == 2
+    assert asked == [(space, 20)] and len(rows) == 4
     best, = [r for r in rows if r.is_best]
     model, info = bundles.load_model(spark, best.best_model)
-    settings = few[best.trial]
+    settings = json.loads(best.settings)
     forest = model.stages[-1]
     assert forest.getNumTrees == 3 and forest.getOrDefault("maxDepth") == settings["max_depth"]
     assert set(info.first()["metrics"]) == {"f1", "roc_auc"}
