@@ -4,9 +4,13 @@ The kernel of all pairs of rows is K = exp(-γ d²). A bounded number of rows ar
 kernel between a row and the landmarks and W that among them, K is taken as C W⁺ Cᵀ, so that a row is
 a vector φ of at most as many numbers as landmarks and K between two rows is φ · φ'. K F is then φ
 times the sum of φ F over all rows: a round is one aggregate of landmarks x 2 numbers, and a row's
-distribution follows from its vector, its label and the sums so far. Rows are read once a round,
-nothing but the sums is written, and the work grows with rows x landmarks. When all rows are
-landmarks the kernel is exact; ``kernel_error`` tells how far it is from that otherwise.
+distribution follows from its vector, its label and the sums so far. Nothing but sums is written, and
+the work grows with rows x landmarks. When all rows are landmarks the kernel is exact;
+``kernel_error`` tells how far it is from that otherwise.
+
+In propagation every distribution sums to 1 after the first round, so that each further round is the
+same linear map of the sums, landmarks x landmarks numbers from one aggregate. Rounds then need no
+rows; how far the rows move is read off for many rounds at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from halflight.session import cut_lineage
 LANDMARKS = 512
 #: Rows whose kernel to the landmarks is held at a time.
 BLOCK_ROWS = 4096
+#: Rounds whose movement is read off in one pass over the rows.
+ROUNDS_AT_ONCE = 128
 #: Directions of the landmarks' kernel below this share of the strongest are rounding.
 NOISE = 1e-12
 
@@ -117,7 +123,7 @@ def _propagated(phi, hot, known, sums: np.ndarray | None) -> np.ndarray:
     """State after the round that read ``sums``; before the first round the labels."""
     if sums is None:
         return hot
-    share = np.maximum(phi @ sums, 0.0)
+    share = phi @ sums
     whole = share.sum(1, keepdims=True)
     share = np.divide(share, whole, out=np.zeros_like(share), where=whole > 0)
     return np.where(known[:, None], hot, share)
@@ -148,35 +154,114 @@ def learn_kernel(
     if method not in ("propagation", "spreading"):
         raise ValueError(f"unknown method: {method}")
     points = nodes.select(F.col("v").cast("array<double>").alias("v"), F.col("label").cast("double").alias("label"))
-    width = graph.root.shape[1]
-    degree = _total(points, graph, width, lambda phi, hot, known: phi.sum(0))
-    sums: list[np.ndarray] = []
+    learn = _learn_spreading if method == "spreading" else _learn_propagation
+    return learn(points, graph, alpha, max_iter, tolerance)
 
-    def states(phi, hot, known):
-        """(this state, the one before, what a row's state is divided by in the sums)"""
-        if method == "spreading":
-            return _spread(phi, hot, sums, degree, alpha)
-        before = sums[-2] if len(sums) > 1 else None
-        return (_propagated(phi, hot, known, sums[-1] if sums else None),
-                _propagated(phi, hot, known, before) if sums else hot, 1.0)
+
+def _settled(moved: float, tolerance: float | None) -> bool:
+    return tolerance is not None and moved < tolerance
+
+
+def _learn_spreading(points, graph, alpha, max_iter, tolerance) -> KernelModel:
+    width, sums = graph.root.shape[1], []
+    degree = _total(points, graph, width, lambda phi, hot, known: phi.sum(0))
 
     def part(phi, hot, known):
-        state, before, side = states(phi, hot, known)
+        state, before, side = _spread(phi, hot, sums, degree, alpha)
         return np.append((phi.T @ (state / side)).ravel(), np.abs(state - before).sum())
 
     found = _total(points, graph, 2 * width + 1, part)
     for _ in range(max_iter):
         sums.append(found[:-1].reshape(width, 2))
-        if method == "propagation":
-            del sums[:-2]
         found = _total(points, graph, 2 * width + 1, part)
-        if tolerance is not None and found[-1] < tolerance:
+        if _settled(found[-1], tolerance):
+            break
+    # new rows see the state itself
+    last = _total(points, graph, 2 * width, lambda phi, hot, known: (
+        phi.T @ _spread(phi, hot, sums, degree, alpha)[0]).ravel()).reshape(width, 2)
+    return KernelModel(graph, "spreading", alpha, degree, sums, last, float(found[-1]))
+
+
+def _learn_propagation(points, graph, alpha, max_iter, tolerance) -> KernelModel:
+    width = graph.root.shape[1]
+    found = _total(points, graph, 3 * width, lambda phi, hot, known: np.concatenate(
+        [phi.sum(0), (phi.T @ hot).ravel()]))
+    degree, labels = found[:width], found[width:].reshape(width, 2)
+    sums = [labels]
+
+    def one_round(phi, hot, known):
+        state = _propagated(phi, hot, known, sums[-1])
+        before = _propagated(phi, hot, known, sums[-2] if len(sums) > 1 else None)
+        # a row that labels do not reach yet, though other rows do
+        left = ((state.sum(1) == 0) & (phi @ degree > 0)).sum()
+        return np.concatenate([(phi.T @ state).ravel(), [np.abs(state - before).sum(), left]])
+
+    def model(used, last, moved):
+        return KernelModel(graph, "propagation", alpha, degree, [used], last, float(moved))
+
+    for number in range(1, max_iter + 1):
+        found = _total(points, graph, 2 * width + 2, one_round)
+        after, moved, left = found[:-2].reshape(width, 2), found[-2], found[-1]
+        if _settled(moved, tolerance) or number == max_iter:
+            return model(sums[-1], after, moved)
+        sums = [sums[-1], after]
+        if left == 0 and number > 1:  # from here on rounds are linear
             break
-    last = found[:-1].reshape(width, 2)
-    if method == "spreading":  # new rows see the state itself
-        last = _total(points, graph, 2 * width, lambda phi, hot, known: (
-            phi.T @ _spread(phi, hot, sums, degree, alpha)[0]).ravel()).reshape(width, 2)
-    return KernelModel(graph, method, alpha, degree, sums, last, float(found[-1]))
+    else:
+        return model(labels, labels, 0.0)
+
+    carried = _linear_round(points, graph, degree)
+    before, now = sums  # what the last round read, and what the next one reads
+    while number < max_iter:
+        steps = [before, now]
+        for _ in range(min(ROUNDS_AT_ONCE, max_iter - number)):
+            steps.append(labels + carried @ steps[-1])
+        gaps = np.concatenate([b - a for a, b in zip(steps[:-2], steps[1:-1], strict=True)], axis=1)
+        n = len(steps) - 2
+
+        def movement(phi, hot, known, gaps=gaps, n=n):
+            free, whole = phi[~known], (phi @ degree)[~known]
+            moves = np.abs(free @ gaps).reshape(-1, n, 2).sum(2)
+            return np.divide(moves, whole[:, None], out=np.zeros_like(moves), where=whole[:, None] > 0).sum(0)
+
+        moves = _total(points, graph, n, movement)
+        ends = [i for i, m in enumerate(moves) if _settled(m, tolerance)]
+        taken = ends[0] + 1 if ends else n
+        number += taken
+        before, now = steps[taken], steps[taken + 1]
+        moved = moves[taken - 1]
+        if ends:
+            break
+    return model(before, now, moved)
+
+
+def _linear_round(points: DataFrame, graph: KernelGraph, degree: np.ndarray) -> np.ndarray:
+    """What one round makes of the sums, labels aside: Σ φ φᵀ / (φ · degree) over rows without a label.
+
+    Every partition gives its sum as one row for each number of φ; as many rows reach the driver.
+    """
+    width = graph.root.shape[1]
+
+    def partial(batches):
+        total = np.zeros((width, width))
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                phi, _, known = _block(pdf["v"].iloc[at:at + BLOCK_ROWS], pdf["label"].iloc[at:at + BLOCK_ROWS], graph)
+                whole = phi @ degree
+                free = ~known & (whole > 0)
+                total += (phi[free] / whole[free, None]).T @ phi[free]
+        yield pd.DataFrame({"at": np.arange(width), "x": [r.tobytes() for r in total]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf["x"])
+        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "x": [total.tobytes()]})
+
+    schema = "at int, x binary"
+    rows = points.select("v", "label").mapInPandas(partial, schema).groupBy("at").applyInPandas(added, schema)
+    out = np.zeros((width, width))
+    for r in rows.collect():
+        out[r["at"]] = np.frombuffer(r["x"])
+    return out
 
 
 def kernel_distributions(nodes: DataFrame, model: KernelModel) -> DataFrame:

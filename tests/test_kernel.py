@@ -79,3 +79,14 @@ def test_no_rows_and_no_labels(spark):
     assert kernel.kernel_learn(df.limit(0), "spreading", 0.5, 10, max_iter=2)[0].count() == 0
     with pytest.raises(ValueError):
         kernel.kernel_learn(df, "guessing", 0.5)
+
+
+@pytest.mark.parametrize("at_once", [3, 128])
+def test_rounds_without_rows_stop_where_rounds_with_rows_do(spark, monkeypatch, at_once):
+    monkeypatch.setattr(kernel, "ROUNDS_AT_ONCE", at_once)
+    x, y, known, df = nodes(spark, 80, seed=9)
+    for max_iter, tolerance in ((200, 1e-2), (7, None), (2, None), (1, None)):
+        out, model = kernel.kernel_learn(df, "propagation", 2.0, len(x), max_iter=max_iter, tolerance=tolerance)
+        want, state = rounds(full(x, 2.0), y, known, "propagation", 0, max_iter, tolerance)
+        assert np.allclose([(r.f0, r.f1) for r in out.orderBy("id").collect()], want, atol=1e-7)
+        assert np.allclose(model.last, model.graph.lift(x).T @ state, atol=1e-6)
