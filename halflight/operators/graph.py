@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from halflight.operators.keys import join_null_safe
+from halflight.operators.ordering import with_global_rank
 from halflight.operators.sample import hash_key
 from halflight.session import cut_lineage
 
@@ -68,9 +71,12 @@ def knn_edges(
 ) -> DataFrame:
     """(src, dst, dist): the k nearest rows of ``data`` for every row, ties by lower id.
 
-    Without ``queries`` the table is matched with itself.
+    Without ``queries`` the table is matched with itself. Ids are whole numbers, or of any other type
+    that can be ordered: those are numbered in their order first and named again at the end.
     """
     itself = queries is None
+    if not isinstance(data.schema[row_id].dataType, IntegralType):
+        return _by_number(data, row_id, vector, k, queries, include_self, block_rows)
     points = data.select(F.col(row_id).cast("long").alias("id"),
                          F.col(vector).cast("array<double>").alias("v"))
     asked = points if itself else queries.select(
@@ -147,6 +153,18 @@ def knn_edges(
     ).drop("_rn")
 
 
+def _by_number(data, row_id, vector, k, queries, include_self, block_rows) -> DataFrame:
+    """``knn_edges`` of rows whose ids are no whole numbers."""
+    ids = data.select(row_id) if queries is None else data.select(row_id).unionByName(queries.select(row_id))
+    numbers = cut_lineage(with_global_rank(ids.distinct(), [F.col(row_id)], "_n"))
+    numbered = lambda df: None if df is None else join_null_safe(
+        df.select(row_id, vector), numbers, [row_id]).select(F.col("_n").alias("id"), F.col(vector).alias("v"))
+    edges = knn_edges(numbered(data), "id", "v", k, numbered(queries), include_self, block_rows)
+    named = lambda end: numbers.select(F.col("_n").alias(f"_{end}"), F.col(row_id).alias(end))
+    edges = edges.withColumnsRenamed({"src": "_src", "dst": "_dst"})
+    return edges.join(named("src"), "_src").join(named("dst"), "_dst").select("src", "dst", "dist")
+
+
 def _placer(pivots):
     def place(batches):
         for pdf in batches:
@@ -317,7 +335,7 @@ def knn_classify(
     """Share of positive labels among the k nearest training rows."""
     edges = knn_edges(train, row_id, vector, k, queries=test, **kw)
     votes = edges.join(
-        train.select(F.col(row_id).cast("long").alias("dst"), F.col(label).alias("_y")), "dst"
+        train.select(F.col(row_id).alias("dst"), F.col(label).alias("_y")), "dst"
     )
     return votes.groupBy("src").agg(F.avg(F.col("_y").cast("double")).alias("p1")).select(
         F.col("src").alias(row_id), "p1"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,3 +65,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(hadoop_path)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that does not exist yet; False if it does. Of two at once one succeeds, where
+    the file system creates a file at most once."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        fs.create(hadoop_path, False).close()
+    except Py4JJavaError:
+        if fs.exists(hadoop_path):
+            return False
+        raise
+    return True

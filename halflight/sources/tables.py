@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halflight.session import path_exists
+from halflight.session import claim, path_exists
 
 
 #: Quoted fields may hold line breaks, and a quote is written twice. Blanks at the ends stay, and an
@@ -96,24 +98,34 @@ def category_table(metadata: DataFrame) -> DataFrame:
 # --- datasets with versions ----------------------------------------------------------------
 
 
+LOG_SCHEMA = "name string, version int, description string, folder string, created_at timestamp"
+
+
 def publish_dataset(df: DataFrame, base: str, name: str, description: str = "") -> int:
-    """Write the next version of a named dataset; returns its number."""
+    """Write the next version of a named dataset; returns its number.
+
+    Data go to a folder of their own name first. Then a number is claimed, the next that nobody has, and
+    the log row that names both commits the version. A run that dies before leaves a folder or a claim
+    that no reader looks at and no later run trips over; of two at once each gets a number.
+    """
     spark = df.sparkSession
-    root = f"{base}/{name}"
+    root, folder = f"{base}/{name}", uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(f"{root}/data/{folder}")
     version = (latest_version(spark, base, name) or 0) + 1
-    df.write.mode("errorifexists").parquet(f"{root}/data/version={version}")
+    while not claim(spark, f"{root}/claims/{version}"):
+        version += 1
     spark.createDataFrame(
-        [(name, version, description)], "name string, version int, description string"
-    ).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/log")
+        [(name, version, description, folder)], "name string, version int, description string, folder string"
+    ).withColumn("created_at", F.current_timestamp()).coalesce(1).write.parquet(f"{root}/log/entry={version}")
     return version
 
 
 def dataset_log(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}/log")
+    """One row for each committed version; a version is in the log or is not there."""
+    return spark.read.schema(f"{LOG_SCHEMA}, entry int").parquet(f"{base}/{name}/log").drop("entry")
 
 
 def latest_version(spark: SparkSession, base: str, name: str) -> int | None:
-    """A version counts once its log row is written, so a half-written one is never read."""
     if not path_exists(spark, f"{base}/{name}/log"):
         return None
     return dataset_log(spark, base, name).agg(F.max("version")).first()[0]
@@ -123,9 +135,12 @@ def use_dataset(spark: SparkSession, base: str, reference: str) -> DataFrame:
     """``name``, ``name:latest`` or ``name:N``; only that version's folder is listed."""
     name, _, tag = reference.partition(":")
     version = int(tag) if tag and tag != "latest" else latest_version(spark, base, name)
-    if version is None:
-        raise FileNotFoundError(f"no dataset {name} under {base}")
-    return spark.read.parquet(f"{base}/{name}/data/version={version}")
+    found = None
+    if version is not None and path_exists(spark, f"{base}/{name}/log"):
+        found = dataset_log(spark, base, name).filter(F.col("version") == version).first()
+    if found is None:
+        raise FileNotFoundError(f"no dataset {reference} under {base}")
+    return spark.read.parquet(f"{base}/{name}/data/{found['folder']}")
 
 
 # --- result logs ---------------------------------------------------------------------------

@@ -127,7 +127,7 @@ def retrain_decision(
 ) -> DataFrame:
     """Decision on the newest run: trigger with reasons, healthy, or none for an empty log."""
     newest = latest_run(log, run, ts).first()[run]
-    health = health_summary(log.filter(F.col(run) == F.lit(newest)))
+    health = health_summary(log.filter(F.col(run).eqNullSafe(F.lit(newest))))
     conf, drift = F.col("avg_confidence"), F.col("avg_drift")
     bad = (conf < min_confidence) | (drift > max_drift)
     return health.select(

@@ -460,6 +460,8 @@ def hyperparameter_search(spark, sf):
     return tried.withColumn("best_model", F.when(F.col("is_best"), F.lit(path)))
 
 
+#: Trials of the registered search and trees of its forests; the operator's defaults are 50 and 100.
+SEMI_TRIALS, SEMI_TREES = 12, 50
 SEMI_SPACE = {"ssl_method": ["label_propagation", "self_training"], "n_unlabeled": [5000, 10000, 15000, 20000],
               "lp_gamma": (0.001, 0.5, "log"), "lp_max_iter": [500, 1000, 1500],
               "st_threshold": (0.7, 0.95), "st_max_iter": [5, 10, 15]}
@@ -467,11 +469,11 @@ SEMI_SPACE = {"ssl_method": ["label_propagation", "self_training"], "n_unlabeled
 
 @query("semi_supervised_search")
 def semi_supervised_search(spark, sf):
-    """50 trials over method, pool size, γ, rounds and threshold; validation rows are the test part."""
+    """Trials over method, pool size, γ, rounds and threshold; the test part validates."""
     train, test, pool = parts(spark, sf)
     ordered = cut_lineage(sample.shuffle_order(pool, "doc_id"))
     return selftrain.semi_supervised_search(
-        train, test, ordered, DESC, "label", "doc_id", SEMI_SPACE, 50, forest={"trees": TREES})
+        train, test, ordered, DESC, "label", "doc_id", SEMI_SPACE, SEMI_TRIALS, forest={"trees": SEMI_TREES})
 
 
 def half_folds(spark, sf):
