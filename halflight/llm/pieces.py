@@ -167,7 +167,8 @@ class PieceModel:
         self.library = SentencePieceProcessor(model_file=path) if alike and self.byte_ids else None
         self.texts = [n.replace(MARK, " ") if k == NORMAL else "" if k == CONTROL else None
                       for n, k in zip(self.names, self.kinds, strict=True)]
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.sizes_of_cut: dict[str, bytes] = {}
         self.kept = 0
 
     def merged(self, text: str) -> list[str]:
@@ -256,29 +257,36 @@ class PieceModel:
         if theirs:
             found = self.library.encode([c[1:] for c in theirs], num_threads=1)
             ids = np.array(list(chain.from_iterable(found)), np.int32)
-            raw, sizes, at = ids.tobytes(), self._sizes_of(ids).astype(np.int32).tobytes(), 0
+            raw, at = ids.tobytes(), 0
             for cut, row in zip(theirs, found, strict=True):
                 to = at + 4 * len(row)
-                self.memo[cut] = raw[at:to], sizes[at:to]
+                self.memo[cut] = raw[at:to]
                 at = to
         for cut in set(cuts).difference(theirs):
             row, sizes = self._pieces_of(cut)
-            self.memo[cut] = np.array(row, np.int32).tobytes(), np.array(sizes, np.int32).tobytes()
+            self.memo[cut] = np.array(row, np.int32).tobytes()
+            if not self.byte_ids:
+                self.sizes_of_cut[cut] = np.array(sizes, np.int32).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the source bytes where each begins and ends."""
         marked, places = self.normaliser(text)
         cuts = self.cuts.findall(marked)
-        missing = set(cuts).difference(self.memo)
-        if missing:
+        found = list(map(self.memo.get, cuts))
+        if None in found:
             if self.kept > MEMO_CHARS:
                 self.memo.clear()
-                self.kept, missing = 0, set(cuts)
+                self.sizes_of_cut.clear()
+                self.kept, found = 0, [None] * len(cuts)
+            missing = {c for c, f in zip(cuts, found, strict=True) if f is None}
             self.kept += sum(map(len, missing))
             self._learn(list(missing))
-        found = [self.memo[c] for c in cuts]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-        sizes = np.frombuffer(b"".join([f[1] for f in found]), np.int32).astype(np.int64)
+            found = list(map(self.memo.__getitem__, cuts))
+        ids = np.frombuffer(b"".join(found), np.int32)
+        if self.byte_ids:
+            sizes = self._sizes_of(ids)
+        else:  # an unknown piece may be of any size
+            sizes = np.frombuffer(b"".join([self.sizes_of_cut[c] for c in cuts]), np.int32).astype(np.int64)
         ends = np.cumsum(sizes)
         return ids, places[ends - sizes].astype(np.int32), places[ends].astype(np.int32)
 
@@ -288,7 +296,7 @@ class PieceModel:
         said = [self.texts[i] for i in ids]
         if None not in said:  # neither bytes nor unknown pieces
             text = "".join(said)
-            first = next((i for i, t in zip(ids, said, strict=True) if t), None)
+            first = next((i for i, t in zip(ids, said) if t), None)
             drops = self.normaliser.prefix and not self.normaliser.squeeze and first is not None
             if drops or first is None:
                 return text[1:] if drops and self.names[first].startswith(MARK) else text
