@@ -253,20 +253,30 @@ def cut_blocks(blocks: DataFrame, bounds: list) -> DataFrame:
                 if low == high:
                     out.append((low, lang, blob))
                     continue
-                words, phrases = _listed(Transducer(blob))
-                places = [(lang, tuple(words[i] for i in p)) for p, _ in phrases]
-                ends = [bisect.bisect_left(places, b) for b in bounds[low:high]] + [len(phrases)]
-                start = 0
-                for n, end in enumerate(ends):
-                    if end > start:
-                        out.append((low + n, lang, pack(phrases[start:end], words)))
-                    start = end
+                out += [(low + n, lang, part) for n, part in _cut(Transducer(blob), lang, bounds[low:high])]
             yield pd.DataFrame(out, columns=["range", "lang", "blob"])
 
     return blocks.select("lang", "first", "last", "blob").mapInPandas(
         cut, "range int, lang string, blob binary")
 
 
+def _cut(t: Transducer, lang: str, bounds: list):
+    """(how many bounds lie before it, part) of the parts of an automaton between the bounds."""
+    tables = list(t.expand())
+    if len(tables) == 1:  # phrases of one length come sorted
+        rows, counts = tables[0]
+        place = lambda i: (lang, tuple(t.words[x] for x in rows[i].tolist()))
+        packed = lambda at, to: pack_rows(rows[at:to], counts[at:to], t.words)
+    else:
+        _, rows = _listed(t)
+        place = lambda i: (lang, tuple(t.words[x] for x in rows[i][0]))
+        packed = lambda at, to: pack(rows[at:to], t.words)
+    ends = [bisect.bisect_left(range(len(rows)), b, key=place) for b in bounds] + [len(rows)]
+    for n, (at, to) in enumerate(zip([0, *ends], ends, strict=False)):
+        if to > at:
+            yield n, packed(at, to)
+
+
 def _listed(t: Transducer) -> tuple[list[bytes], list[tuple[tuple, int]]]:
     """(words, sorted phrases with their counts); the words of an automaton are in order."""
     found = [(tuple(p), n) for rows, counts in t.expand()
