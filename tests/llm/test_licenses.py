@@ -1,6 +1,7 @@
 """License scan: base places against a loop, rules on texts that say their license."""
 
 import re
+import time
 
 from halflight.llm import licenses
 
@@ -50,3 +51,47 @@ def test_rules(spark):
     assert got[99].n_words == 0 and got[99].score == 0.0
     assert got[98].first_word == 100000 and got[98].labels == "cc-by-nc"
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def plain(joined, rules):
+    kept = []
+    for rule in rules:
+        for m in rule.pattern.finditer(joined):
+            if not any(k.start <= m.start() and m.end() <= k.end for k in kept):
+                kept.append(licenses.Detection(rule.label, m.start(), m.end(), rule.priority, rule.confidence))
+    return sorted(kept, key=lambda d: (d.start, d.end))
+
+
+NOTICES = (
+    "Licensed under the Apache License, Version 2.0. All rights reserved. GNU General Public License, version 3 "
+    "or later, see LICENSE for more. Neither the name of the Institute of Very Long and Winding Names and of its "
+    "many friends in all the countries of the world nor the names of its contributors may be used to endorse "
+    "products. CC BY-NC-SA 4.0, under the MIT license, cc by nc. ")
+
+
+def test_detections_are_those_of_all_pairs_and_keywords_lose_none():
+    rules = licenses.default_rules()
+    assert all(r.keyword for r in rules)
+    joined = b" ".join(licenses.words_of(NOTICES * 10))
+    got = licenses.detect(joined, rules)
+    assert got == plain(joined, rules)
+    assert {"apache-2", "gpl-3", "bsd-3-clause", "cc-by-nc-sa", "mit", "see-license"} <= {d.label for d in got}
+    spoken = [s for s in licenses.SENTENCES if re.fullmatch("[a-z0-9 ]+", s[1].replace("licen[cs]e", ""))]
+    assert len(spoken) > 60
+    for label, sentence, *_ in spoken:
+        said = sentence.replace("licen[cs]e", "license").encode()
+        assert licenses.detect(said, rules), label
+    assert [d.label for d in licenses.detect(
+        b"neither the name of acme nor the names of its contributors may be used to endorse", rules)] == [
+        "bsd-3-clause"]
+
+
+def test_a_megabyte_of_notices():
+    rules, joined = licenses.default_rules(), b" ".join(licenses.words_of(NOTICES * 2800))
+    assert len(joined) > 1_000_000
+    start = time.process_time()
+    found = licenses.detect(joined, rules)
+    numbers = licenses.word_numbers(joined, [d.start for d in found])
+    assert time.process_time() - start < 8  # about 2 s
+    assert len(numbers) == len(found) > 10_000 and licenses.base_places(joined)[-1][0] > 100_000
+    assert numbers[-1] == joined.count(b" ", 0, found[-1].start)
