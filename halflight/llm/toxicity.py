@@ -92,10 +92,14 @@ def weigh(folded: str, machine: ahocorasick.Automaton) -> tuple[float, int]:
             excused.append((start, end))
         else:
             best[start] = max(weight, best.get(start, 0.0))
-    for start, end in excused:
-        for at in [a for a in best if start <= a < end]:
-            del best[at]
-    return sum(best.values()), max(words, 0)
+    weight, reach = 0.0, -1
+    excused.sort(reverse=True)
+    for at in sorted(best):  # one sweep: ``reach`` is the farthest end of the phrases begun so far
+        while excused and excused[-1][0] <= at:
+            reach = max(reach, excused.pop()[1])
+        if at >= reach:
+            weight += best[at]
+    return weight, max(words, 0)
 
 
 @dataclass

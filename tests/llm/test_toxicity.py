@@ -1,5 +1,7 @@
 """Toxicity: folding, exceptions, learnt stems and held-out labels."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from halflight.llm import toxicity as t
@@ -57,3 +59,11 @@ def test_learnt_stems_and_odd_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {n for n in range(200) if n % 4} | {900, 901}
     assert t.drop_toxic(docs.limit(0), labels).count() == 0
     assert t.drop_toxic(docs, labels.limit(0)).count() == 203
+
+
+def test_a_text_full_of_exceptions():
+    machine, n = t.Lexicon().automaton(), 60_000
+    start = time.process_time()
+    assert t.weigh(t.fold("trash can " * n), machine) == (0.0, 2 * n)
+    assert t.weigh(t.fold("trash can trash, " * n), machine)[0] == n * t.FIXED_WEIGHT
+    assert time.process_time() - start < 6  # about 1 s
