@@ -41,11 +41,14 @@ class Template:
         found += [self.other_open.strip(), self.other_name_end, self.other_close]
         return sorted(set(found), key=lambda c: (-len(c), c))
 
-    def escape_text(self, text: str) -> str:
-        """The escape doubled, and one after the first character of each control string."""
-        e = self.escape
+    def escape_text(self, text: str, mark: str = "") -> str:
+        """The escape doubled, and one after the first character of each control string, also of those
+        that end in the ``mark`` behind the text."""
+        e, doubled = self.escape, text.replace(self.escape, self.escape * 2)
         starts = "|".join(map(re.escape, self.controls()))
-        return re.sub(rf"(?=(?:{starts}))(.)", lambda m: m[1] + e, text.replace(e, e + e), flags=re.S)
+        whole = re.sub(rf"(?=(?:{starts}))(.)", lambda m: m[1] + e * (m.start() < len(doubled)),
+                       doubled + mark, flags=re.S)
+        return whole[:len(whole) - len(mark)]
 
     def unescape_text(self, text: str) -> str:
         e = re.escape(self.escape)
@@ -58,12 +61,14 @@ SEGMENTS = ("conv_id {}, position long, kind string, segment string, loss boolea
 
 def segments_of(role: str | None, text: str | None, template: Template) -> list[tuple[str, str, bool]]:
     """``(kind, segment, loss)`` of one turn; a null role is the empty one, null text is empty."""
-    role, body = role or "", template.escape_text(text or "")
+    role = role or ""
     if role in template.marks:
         opened, closed = template.marks[role]
     else:
-        opened = template.other_open + template.escape_text(role) + template.other_name_end
+        name_end = template.other_name_end
+        opened = template.other_open + template.escape_text(role, name_end) + name_end
         closed = template.other_close
+    body = template.escape_text(text or "", closed)
     return [("open", opened, False), ("text", body, role in template.loss_roles),
             ("close", closed, False)]
 

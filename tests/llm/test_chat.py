@@ -37,11 +37,13 @@ def test_query_against_the_table(spark):
 
 
 pieces = st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role ", "<|role", "|>",
-                          "<|end|>", "\\", "<", "\n", " ", "x", "é😀"])
+                          "<|end|>", "<|end", "<|", "|", "\\", "<", "\n", " ", "x", "é😀"])
+roles = st.lists(pieces, max_size=4).map("".join)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "<|end|>", "a\\|>"]),
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(
+    ["user", "assistant", "system", "tool", "", "<|end|>", "a\\|>", "x<|end"]), roles),
                           st.lists(pieces, max_size=8).map("".join)), max_size=5))
 def test_round_trip(turns):
     formatted = "".join(s for role, text in turns for _, s, _ in chat.segments_of(role, text, T))
