@@ -28,6 +28,14 @@ def computed_once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def hand_over(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read from there: columns of arrays take far
     less room than in a checkpoint."""

@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is the hash of six tokens at the selected positions of a mask; the tokens between them may
-differ. Seeds of the benchmark and of the documents are joined, and every hit is verified on its
-diagonal: the item's tokens against the document's tokens beside them.
+differ. An item that is shorter than a mask has one seed, all its tokens. Seeds of the benchmark and
+of the documents are joined, the hits are reduced to one for each document, item and diagonal, and
+every diagonal is verified: the item's tokens against the document's tokens beside them.
 
 Before the join, two bit maps of fixed size, of the benchmark's tokens and of its seeds, thin out the
 documents' positions inside each row. They let no hit go; what they pass in vain, the join drops.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halflight.llm.common import computed_once, null_safe_key, text_of
+from halflight.llm.common import computed_once, free_name, hand_over, null_safe_key, text_of
 from halflight.operators.keys import broadcast_if_small
 from halflight.session import cut_lineage
 
@@ -23,6 +24,8 @@ MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 8))
 MIN_TOKENS = 10
 #: Or this share of the whole item, with substitutions anywhere.
 MIN_SHARE = 0.7
+#: Tokens of all items that may be sent to every executor: 8 MB.
+BROADCAST_TOKENS = 1_000_000
 #: Bits of each map, whatever the size of the benchmark.
 MAP_BITS = 1 << 18
 
@@ -32,9 +35,14 @@ def tokens(text_col: str) -> Column:
     return F.array_remove(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"), "")
 
 
+def _mask(mask_no: int) -> tuple[int, ...]:
+    """A spaced mask, or beyond their number one of consecutive tokens."""
+    return MASKS[mask_no] if mask_no < len(MASKS) else tuple(range(mask_no - len(MASKS) + 1))
+
+
 def _seeds(hashes: Column, mask_no: int, keep=None) -> Column:
     """``array<struct<pos, seed>>`` of one mask, without positions of which a token is null."""
-    mask = MASKS[mask_no]
+    mask = _mask(mask_no)
     starts = F.when(F.size(hashes) > mask[-1],
                     F.sequence(F.lit(0), F.size(hashes) - 1 - mask[-1])).otherwise(
         F.array().cast("array<int>"))
@@ -83,41 +91,60 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The best alignment of each (document id, item): ``matched`` tokens are equal along the whole item,
     ``run`` is the number of equal tokens in the best run, ``first_token`` the position in the
     document's tokens where the item begins, which is negative if its head is missing. An overlap
-    has ``run >= min_tokens`` or ``matched >= min_share`` of the item. Rows of equal id are reported
-    together, null ids as null. Items of fewer tokens than a mask's span cannot be found; null and
-    empty texts have no tokens. Equal items are reported each.
-
-    Only benchmark tables that are counted and small are broadcast; the joins shuffle beyond that.
-    Of the documents, only positions that pass both bit maps leave their row, with the tokens around.
+    has ``run >= min_tokens`` or ``matched >= min_share`` of the item. Items shorter than a mask's span
+    are found where all their tokens stand in a row, whatever their number. Rows of equal id are reported
+    together, null ids as null. Null and empty texts have no tokens; such items are in no document. Equal
+    items are reported each.
+
+    Of the documents, only rows with a position that passes both bit maps are written, as hashes. A hit
+    carries numbers only; the tokens of an item and of a document are joined to a diagonal once.
+    Seeds are broadcast up to a number of rows, items up to a number of tokens; the joins shuffle beyond.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(item_text_col).alias("t"))
-    items = cut_lineage(items.select("item_id", F.transform(
-        "t", lambda w: F.xxhash64(w)).alias("item")).filter(F.size("item") > MASKS[0][-1]))
-    seeds = items.select("item_id", "item", F.explode(F.concat(
-        *[_seeds(F.col("item"), n) for n in range(len(MASKS))])).alias("s"))
-    seeds = cut_lineage(seeds.select("item_id", "item", F.col("s.pos").alias("item_pos"),
+    items = hand_over(items.filter(F.size("t") > 0).select(
+        F.monotonically_increasing_id().alias("item_no"), "item_id",
+        F.transform("t", lambda w: F.xxhash64(w)).alias("item")), "benchmark-items")
+    size, span = F.size("item"), MASKS[0][-1] + 1
+    all_tokens = items.agg(F.sum(size)).first()[0] or 0
+    short = [r[0] for r in items.filter(size < span).select(size).distinct().collect()]  # below a span
+    whole = [len(MASKS) + n - 1 for n in sorted(short)]  # a mask for each length
+    own = [F.when(size >= span, _seeds(F.col("item"), n)) for n in range(len(MASKS))]
+    own += [F.when(size == len(_mask(n)), _seeds(F.col("item"), n)) for n in whole]
+    none = F.expr("cast(array() as array<struct<pos: int, seed: bigint>>)")
+    seeds = items.select("item_no", size.alias("item_tokens"), F.explode(F.concat(
+        *[F.coalesce(seed, none) for seed in own])).alias("s"))
+    seeds = cut_lineage(seeds.select("item_no", "item_tokens", F.col("s.pos").alias("item_pos"),
                                      F.col("s.seed").alias("seed")))
-    longest = items.agg(F.max(F.size("item"))).first()[0] or 0
     known_token = _is_in(_bit_map(items.select(F.explode("item").alias("token")), "token"))
     known_seed = _is_in(_bit_map(seeds, "seed"))
 
     hashed = F.transform(F.transform(tokens(text_col), lambda w: F.xxhash64(w)),
                          lambda h: F.when(known_token(h), h))
     rows = docs.select(F.col(id_col).alias("id"), hashed.alias("tokens"))
-    found = F.concat(*[_seeds(F.col("tokens"), n, known_seed) for n in range(len(MASKS))])
-    rows = rows.select("id", "tokens", computed_once(found).alias("hits"))
-    hits = rows.filter(F.size("hits") > 0).select("id", "tokens", F.explode("hits").alias("hit"))
-    begin = F.greatest(F.col("hit.pos") - longest, F.lit(0))
-    hits = hits.select("id", F.col("hit.pos").alias("pos"), F.col("hit.seed").alias("seed"),
-                       begin.alias("begin"),
-                       F.slice("tokens", begin + 1, F.lit(2 * longest + 1)).alias("around"))
-    pairs = hits.join(broadcast_if_small(seeds), "seed")
+    found = F.concat(*[_seeds(F.col("tokens"), n, known_seed) for n in [*range(len(MASKS)), *whole]])
+    rows = rows.select("id", "tokens", computed_once(found).alias("hits")).filter(F.size("hits") > 0)
+    rows = hand_over(rows.select(F.monotonically_increasing_id().alias("row"), "id", "tokens", "hits"),
+                     "decontamination-hits")
+
+    hits = rows.select("row", F.explode("hits").alias("hit")).select(
+        "row", F.col("hit.pos").alias("pos"), F.col("hit.seed").alias("seed"))
     diagonal = F.col("pos") - F.col("item_pos")
+    # of a short item the first place is the best
+    pairs = hits.join(broadcast_if_small(seeds), "seed").groupBy(
+        "row", "item_no", F.when(F.col("item_tokens") >= span, diagonal).alias("long")).agg(
+        F.min(diagonal).alias("first_token"), F.first("item_tokens").alias("item_tokens"))
+    begin = F.greatest(F.col("first_token"), F.lit(0))
+    pairs = pairs.join(rows.select("row", "id", "tokens"), "row").select(
+        "id", "item_no", "first_token", begin.alias("begin"), F.slice(
+            "tokens", begin + 1, F.greatest(F.col("first_token") + F.col("item_tokens") - begin, F.lit(0))
+        ).alias("beside"))
+    told = items.select("item_no", "item_id", "item")
+    pairs = pairs.join(F.broadcast(told) if all_tokens <= BROADCAST_TOKENS else told, "item_no")
     same = F.transform("item", lambda token, n: F.coalesce(F.when(
-        diagonal - F.col("begin") + n >= 0,
-        F.get("around", diagonal - F.col("begin") + n) == token), F.lit(False)))
-    pairs = pairs.select("id", "item_id", diagonal.alias("first_token"),
-                         F.size("item").alias("item_tokens"), same.alias("same"))
+        F.col("first_token") - F.col("begin") + n >= 0,
+        F.get("beside", F.col("first_token") - F.col("begin") + n) == token), F.lit(False)))
+    pairs = pairs.select("id", "item_id", "first_token", F.size("item").alias("item_tokens"),
+                         computed_once(same).alias("same"))
     # best run: equal tokens gain 1, others cost 2, and a run ends where it is worth nothing
     best = F.aggregate(
         "same", F.expr("named_struct('worth', 0, 'equal', 0, 'run', 0, 'top', 0)"),
@@ -145,8 +172,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without an overlap with ``benchmark``; same columns. Rows are told apart by id
     and text, so that a clean row stays where its id has another text that leaks."""
-    key = F.concat(F.md5(text_of(text_col)), null_safe_key(id_col))
-    rows = docs.withColumn("_d_key", key)
-    found = find_overlaps(rows, benchmark, "_d_key", text_col, item_col, item_text_col)
-    leaks = cut_lineage(found.select(F.col("id").alias("_d_key")).distinct())
-    return rows.join(broadcast_if_small(leaks), "_d_key", "left_anti").select(*docs.columns)
+    name = free_name(docs, "key")
+    rows = docs.withColumn(name, F.concat(F.md5(text_of(text_col)), null_safe_key(id_col)))
+    found = find_overlaps(rows, benchmark, name, text_col, item_col, item_text_col)
+    leaks = cut_lineage(found.select(F.col("id").alias(name)).distinct())
+    return rows.join(broadcast_if_small(leaks), name, "left_anti").select(*docs.columns)

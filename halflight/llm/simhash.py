@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halflight.llm.common import text_of
+from halflight.llm.common import free_name, text_of
 from halflight.llm.components import connected_components
 from halflight.session import cut_lineage
 
@@ -175,7 +175,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are told apart by id and text, so that an id with different texts is as many documents: of
     its rows in one group, that with the least md5 stays. A row without an id goes by its text. Of rows
-    equal in id and text one stays.
+    equal in id and text that stays whose other columns, written as JSON, sort first.
     """
     own = F.col(id_col)
     if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
@@ -185,10 +185,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the zero byte sorts an id before those that it begins
     key = F.when(own.isNull(), F.concat(F.lit("~"), digest)).otherwise(
         F.concat(F.lit("="), own.cast("string"), F.lit("\0"), digest))
-    rows = docs.withColumn("_s_key", key)
-    found = near_duplicates(rows, "_s_key", text_col, shingle, max_bits)
-    stay = found.select(F.col("component").alias("_s_key")).distinct()
-    return rows.join(stay, "_s_key", "left_semi").dropDuplicates(["_s_key"]).drop("_s_key")
+    name = free_name(docs, "key")
+    rows = docs.withColumn(name, key)
+    found = near_duplicates(rows, name, text_col, shingle, max_bits)
+    stay = found.select(F.col("component").alias(name)).distinct()
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("")
+    one = rows.join(stay, name, "left_semi").groupBy(name).agg(
+        F.min_by(F.struct(*docs.columns), order).alias("kept"))
+    return one.select("kept.*")
 
 
 def hex_digits(col: str = "fingerprint"):

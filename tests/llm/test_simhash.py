@@ -123,3 +123,17 @@ def test_an_id_with_different_texts_is_different_documents(spark):
         docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
         kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
         assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_of_equal_rows_the_first_by_its_other_columns_stays(spark):
+    text = "one of two rows that are equal in id and text"
+    rows = [(1, text, "b", "k"), (1, text, "a", "k"), (1, text, None, "k"), (2, "quite another text here", "c", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _s_key string")
+    df = df.selectExpr("*", "'m' as key")
+    for parts in (1, 5):
+        kept = simhash.keep_one(df.repartition(parts, "source"))
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect())) == [(1, text, "a", "k", "m"),
+                                                      (2, "quite another text here", "c", "l", "m")]
+    only = df.select("text", "doc_id")
+    assert simhash.keep_one(only).columns == ["text", "doc_id"] and simhash.keep_one(only).count() == 2
