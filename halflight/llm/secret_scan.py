@@ -1,12 +1,13 @@
 """Secrets in texts: fixed rules, and character Markov models of random strings and identifiers.
 
 Each model is a table of character transitions, learned from labelled samples. A candidate, a run of
-the characters that keys are made of, is a secret if the random model explains it better: the
-log-likelihood ratio per character is over a threshold.
+the characters that keys are made of outside of the rules' spans, is a secret if the random model
+explains it better: its log-likelihood ratio, summed over its characters, reaches a threshold.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +24,11 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Candidates of the models: keys are runs of these characters.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
-#: Log-likelihood ratio per character from which a candidate is a secret.
-THRESHOLD = 0.5
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}(?![A-Za-z0-9+/_-])"
+#: Log-likelihood ratio from which a candidate is a secret: over 1,000 to 1.
+THRESHOLD = 7.0
+#: Matches whose lengths are summed at once; places come from blocks of this many.
+BLOCK = 256
 #: Labelled samples of each class that are made where the caller gives none.
 SAMPLES = 4000
 
@@ -49,8 +52,8 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     digest = F.concat(*[F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit(s)), 256)) for s in "ab"])
     base64 = F.regexp_replace(F.base64(digest), r"[\r\n=]", "")
     length = (20 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(29))).cast("int")
-    shape = F.pmod("id", F.lit(4))
-    random = F.when(shape == 0, F.lower(F.hex(digest))).when(
+    shape = F.pmod("id", F.lit(5))
+    random = F.when(shape == 0, F.lower(F.hex(digest))).when(shape == 4, F.hex(digest)).when(
         shape == 1, F.upper(F.regexp_replace(base64, "[+/]", "")))
     random = random.when(shape == 2, F.translate(base64, "+/", "-_")).otherwise(base64)
     secret = spark.range(n).select(F.substring(random, F.lit(1), length).alias("text"),
@@ -113,26 +116,67 @@ def _log_ratio(r: int, p: int) -> float:
     return log(1 / (r + 64)) - log(1 / (p + 64))
 
 
+def _with_places(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with the lengths of each pattern's matches and the gaps before them, and the place at which
+    each block of matches begins. No array is copied for a match, so a text may hold any number."""
+    def added(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+        return rows.select("*", *[computed_once(v).alias(c) for c, v in values.items()])
+
+    def by_block(name: str, part) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(f"{name}_steps") - 1) / BLOCK).cast("int"))
+        return F.when(F.size(f"{name}_steps") > 0, F.transform(blocks, lambda b: _sum(part(b))))
+
+    rows = added(rows, {f"{n}_steps": F.zip_with(
+        F.col(f"{n}_found"), F.slice(f"{n}_gaps", F.lit(1), F.size(f"{n}_found")),
+        lambda match, gap: F.length(match) + F.length(gap)) for n in names})
+    rows = added(rows, {f"{n}_sums": by_block(n, partial(_block, f"{n}_steps")) for n in names})
+    return added(rows, {f"{n}_begin": by_block(n, partial(F.slice, f"{n}_sums", F.lit(1))) for n in names})
+
+
+def _block(steps: str, b: Column) -> Column:
+    return F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
 def _spans(name: str, kind: int) -> Column:
-    """Spans of a pattern's matches, in code points: the gaps between the matches give the places.
+    """Spans of a pattern's matches, in code points, from the columns of ``_with_places``."""
+    def span(match: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        end = F.get(F.col(f"{name}_begin"), block) + _sum(F.slice(
+            f"{name}_steps", block * BLOCK + 1, i % BLOCK + 1))
+        return F.struct((end - F.length(match)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
 
-    Reads the columns that ``_matches`` has written, so that no lambda runs a pattern again.
-    """
-    found, gaps = F.col(f"{name}_found"), F.col(f"{name}_gaps")
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1), F.expr("cast(array() as array<int>)"),
-        lambda done, i: F.concat(done, F.array(
-            F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))
-            + F.length(F.get(gaps, i)) + F.length(F.get(found, i)))))
-    spans = F.transform(ends, lambda end, i: F.struct(
-        (end - F.length(F.get(found, i))).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
     none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
-    return F.when(F.size(found) > 0, spans).otherwise(none)
+    return F.coalesce(F.transform(f"{name}_found", span), none)
+
 
+def _blanked(name: str, counts) -> Column:
+    """The text with blanks for the matches that count, null where the pattern has no match."""
+    def piece(match: Column, i: Column) -> Column:
+        return F.concat(F.get(F.col(f"{name}_gaps"), i), F.when(
+            counts(match, i), F.repeat(F.lit(" "), F.length(match))).otherwise(match))
 
-def _matches(name: str, gate: str, pattern: str) -> list[Column]:
+    pieces = F.concat(F.transform(f"{name}_found", piece),
+                      F.array(F.element_at(f"{name}_gaps", -1)))
+    return F.when(F.size(f"{name}_found") > 0, F.array_join(pieces, ""))
+
+
+def _blank_in_any(texts: list[Column]) -> Column:
+    """Copies of one text laid over each other; nulls have no blanks of their own."""
+    out = texts[0]
+    for other in texts[1:]:
+        both = F.array_join(F.zip_with(F.split(out, ""), F.split(other, ""),
+                                       lambda x, y: F.when(x == " ", x).otherwise(y)), "")
+        out = F.when(other.isNull(), out).when(out.isNull(), other).otherwise(both)
+    return out
+
+
+def _matches(name: str, gate: str, pattern: str, text_col: str = "text") -> list[Column]:
     """Matches and gaps of a pattern, null where the gate does not match the text."""
-    text = F.col("text")
+    text = F.col(text_col)
     passed = text.rlike(gate)
     return [computed_once(F.when(passed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias(
                 f"{name}_found"),
@@ -144,9 +188,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, spans``: one row per row of ``docs``; ``spans`` is a sorted ``array<struct<start, kind, end>>``.
 
     Places are code points from 0, end exclusive; ``kind`` is the place in ``KINDS``. Rules and models
-    see the whole text; a candidate of the models needs a digit and a letter and counts only where no
-    rule's span touches it. Null and empty texts have no spans, equal texts equal ones; ids are not
-    looked at. A row is worked on alone. Texts without a match of a pattern skip its steps.
+    see the whole text. Candidates of the models are runs of 12 characters or more of what the rules'
+    spans leave of the text; the ratio alone decides on them. Null and empty texts have no spans, equal
+    texts equal ones; ids are not looked at. A row is worked on alone, in time that grows with its length.
     """
     ratios = ratios if ratios is not None else train(labelled_samples(docs.sparkSession))
     table = F.split(F.lit(",".join(f"{r:.9f}" for r in ratios)), ",").cast("array<double>")
@@ -157,24 +201,25 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         computed_once(F.when(text.rlike(ASSIGN), F.regexp_extract_all(
             text, F.lit(ASSIGN), F.lit(2)))).alias("values"),
         *_matches("access", rf"AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4}}}", ACCESS),
-        *_matches("hex", rf"[0-9a-f]{{{HEX_LENGTH}}}", HEX_RUN), *_matches("long", CANDIDATE, CANDIDATE))
+        *_matches("hex", rf"[0-9a-f]{{{HEX_LENGTH}}}", HEX_RUN))
+    rows = _with_places(rows, ["assign", "access", "hex"])
     assign = F.filter(_spans("assign", 0), lambda s, i: F.length(F.get("values", i)) >= ASSIGN_LENGTH)
     access = F.filter(_spans("access", 1), lambda s: s["end"] - s["start"] >= ACCESS_LENGTH)
-    mixed = F.filter(_spans("long", 3), lambda s, i: F.get("long_found", i).rlike("[0-9]")
-                     & F.get("long_found", i).rlike("[A-Za-z]"))
-    rows = rows.select("id", "text", computed_once(F.concat(assign, access, _spans("hex", 2))).alias("base"),
-                       computed_once(mixed).alias("mixed"))
-
-    def worth(s: Column) -> Column:
-        steps = _transitions(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-        return F.aggregate(steps, F.lit(0.0).cast("double"), lambda a, t: a + F.get(table, t.cast("int"))) \
-            / (s["end"] - s["start"])
-
-    def touched(s: Column) -> Column:
-        return F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-
-    return rows.select("id", F.array_sort(F.concat("base", F.filter(
-        "mixed", lambda s: ~touched(s) & (worth(s) >= threshold)))).alias("spans"))
+    left = [_blanked("assign", lambda m, i: F.length(F.get("values", i)) >= ASSIGN_LENGTH),
+            _blanked("access", lambda m, i: F.length(m) >= ACCESS_LENGTH),
+            _blanked("hex", lambda m, i: F.lit(True))]
+    rows = rows.select("id", computed_once(F.concat(assign, access, _spans("hex", 2))).alias("base"), "text",
+                       *[computed_once(c).alias(f"left_{n}") for n, c in enumerate(left)])
+    rows = rows.select("id", "base", computed_once(F.coalesce(_blank_in_any(
+        [F.col(f"left_{n}") for n in range(len(left))]), F.col("text"))).alias("text"))
+    rows = _with_places(rows.select("id", "base", "text", *_matches("long", CANDIDATE, CANDIDATE)), ["long"])
+
+    def worth(candidate: Column) -> Column:
+        return F.aggregate(_transitions(candidate), F.lit(0.0).cast("double"),
+                           lambda a, t: a + F.get(table, t.cast("int")))
+
+    secret = F.filter(_spans("long", 3), lambda s, i: worth(F.get("long_found", i)) >= threshold)
+    return rows.select("id", F.array_sort(F.concat("base", secret)).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

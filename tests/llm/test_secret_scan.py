@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 
 from halflight.llm import secret_scan as s
 
@@ -69,3 +71,41 @@ def test_models_tell_keys_from_names(spark):
 def test_training_ignores_nulls(spark):
     samples = spark.createDataFrame([(None, 1), ("ab", None), ("", 0)], "text string, secret int")
     assert set(s.train(samples)) == {0.0}
+
+
+def test_recall_by_length_and_alphabet(spark):
+    """The ratio alone decides: figures of the README."""
+    rng, alphabets = random.Random(11), {
+        "hex": "0123456789ABCDEF", "letters": string.ascii_letters, "upper and digits": string.ascii_uppercase
+        + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    rows, classes = [], []
+    for name, chars in alphabets.items():
+        for length in (12, 16, 20, 32):
+            for _ in range(100):
+                rows.append((len(rows), f"use {''.join(rng.choices(chars, k=length))} here"))
+                classes.append((name, length))
+    names = ["".join(w.title() for w in rng.choices(s.PARTS, k=4)) for _ in range(400)]
+    rows += [(len(classes) + n, f"call {name}") for n, name in enumerate(names)]
+    found = {r.id for r in s.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.spans}
+    for name in alphabets:
+        for length in (16, 20, 32):
+            ids = [n for n, c in enumerate(classes) if c == (name, length)]
+            assert len(found.intersection(ids)) >= 90, (name, length)
+    assert len([n for n in found if n >= len(classes)]) <= 4
+
+
+def test_what_sticks_out_of_a_rule_and_texts_full_of_matches(spark):
+    key = "Xq7ZvK2pLw9RtB4mYd"
+    runs = "".join(f"{n:016x} " for n in range(60_000))
+    texts = [f"{key}/{'0123456789abcdef' * 2}/{key}", f"token={key} AKIA{'Z9' * 9}", runs,
+             "token=abcdefghijkl " * 20_000, f"{key} " * 600, "AKIA" + "0123456789" * 2 + "abcdef0123"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r.id: [tuple(x) for x in r.spans] for r in s.scan_secrets(docs, ratios=[1.0] * 4096).collect()}
+    assert time.time() - start < 60
+    for n, text in enumerate(texts):
+        assert [x for x in got[n] if x[1] < 3] == brute(text)
+        for a, _, b in (x for x in got[n] if x[1] == 3):
+            assert not any(a < e and c < b for c, _, e in brute(text)[:100])
+    assert [x for x in got[0] if x[1] == 3] == [(0, 3, 19), (51, 3, 70)]
+    assert len([x for x in got[4] if x[1] == 3]) == 600 and got[4][-1][2] == len(texts[4]) - 1
