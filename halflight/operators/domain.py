@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,13 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from halflight.operators.clusters import best_run, cluster_runs
 from halflight.operators.quantiles import exact_quantiles
 
 CENTRE_BLOCK = 5000
-# Seedings of a clustering, and rounds of each at most.
-SEEDINGS, ROUNDS = 10, 300
-#: Fits that share the cluster.
-PARALLEL_FITS = 5
 
 
 def pca_project(
@@ -112,16 +107,9 @@ def class_centres(df: DataFrame, vector: str, label: str) -> DataFrame:
 def inertia_by_k(
     train: DataFrame, features: str, ks: range = range(2, 11), seed: int = 42
 ) -> list[tuple[int, float]]:
-    """Within-cluster sum of squares for each k (one control value per fit)."""
-    return [(k, float(best_clusters(train, features, k, seed).summary.trainingCost)) for k in ks]
-
-
-def best_clusters(train: DataFrame, features: str, k: int, seed: int = 42) -> KMeansModel:
-    """The best of ``SEEDINGS`` fits with ``ROUNDS`` rounds at most."""
-    one = lambda i: KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=ROUNDS).fit(train)
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        fits = list(pool.map(one, range(SEEDINGS)))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    """Within-cluster sum of squares of the best seeding for each k; all runs share their passes."""
+    runs = cluster_runs(train, features, ks, seed=seed)
+    return [(k, best_run(runs, k).inertia) for k in ks]
 
 
 def elbow_k(inertias: DataFrame) -> DataFrame:
@@ -143,22 +131,22 @@ def kmeans_assign(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clusters fitted on train, both tables assigned to their nearest centre.
 
-    Returns (train, test, centres); k comes from the elbow when not given.
+    Returns (train, test, centres); k comes from the elbow when not given, with the clustering that
+    the elbow has seen. Where no elbow can be told, the smallest k is taken.
     """
     spark = train.sparkSession
+    ks = range(2, 11) if k is None else range(k, k + 1)
+    runs = cluster_runs(train, features, ks, seed=seed)
     if k is None:
-        tried = spark.createDataFrame(inertia_by_k(train, features, seed=seed),
+        tried = spark.createDataFrame([(n, best_run(runs, n).inertia) for n in ks],
                                       "k int, inertia double")
-        k = elbow_k(tried).first()["best_k"]
-    model = best_clusters(train, features, k, seed)
+        k = elbow_k(tried).first()["best_k"] or ks[0]
     centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "centre_id int, centre array<double>",
-    )
+        list(enumerate(best_run(runs, k).centres)), "centre_id int, centre array<double>")
 
     def assign(df):
         return nearest_centroid(
-            df.withColumn("_x", vector_to_array(features)), "_x", centres
+            df.withColumn("_x", F.when(F.col(features).isNotNull(), vector_to_array(features))), "_x", centres
         ).drop("_x")
 
     return assign(train), assign(test), centres

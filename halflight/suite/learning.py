@@ -650,6 +650,12 @@ def kmeans_assign(spark, sf):
     return test.select("id", "centre_id", "dist")
 
 
+@query("kmeans_inertia")
+def kmeans_inertia(spark, sf):
+    rows = vectors(spark, sf).filter("label is not null")
+    return spark.createDataFrame(domain.inertia_by_k(rows, "features"), "k int, inertia double")
+
+
 @query("elbow_k", f"""
 WITH bins AS (SELECT k, least(floor((l_quantity - 1) / 49 * k), k - 1) AS bin, l_extendedprice AS x
   FROM lineitem, (SELECT unnest(range(2, 11)) AS k)),
