@@ -1,9 +1,12 @@
 """Steps whose cost a review measured: same results, less work."""
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from halflight.operators import models
+from halflight.operators import graph, models
 
 
 def noisy_rows(spark, n=600):
@@ -24,3 +27,37 @@ def test_a_forest_keeps_the_node_of_each_row(spark):
     plain = models.RandomForestClassifier(
         labelCol="_y", weightCol="_weight", numTrees=6, maxDepth=6, featureSubsetStrategy="sqrt", seed=42).fit(made)
     assert plain.toDebugString.split("\n")[1:] == forest.toDebugString.split("\n")[1:]
+
+
+def test_a_row_is_sent_to_blocks_and_not_to_cells():
+    x = np.random.default_rng(3).normal(size=(4000, 24))  # nothing that cells could rule out
+    pivots = x[:math.ceil(math.sqrt(len(x)))]
+    cell = graph._squared(x, pivots).argmin(1)
+    r = np.sqrt(np.square(x - pivots[cell]).sum(1))
+    cells = {c: {"n": int((cell == c).sum()), "rmin": r[cell == c].min(), "rmax": r[cell == c].max(),
+                 "radii": sorted(r[cell == c])[:9]} for c in set(cell.tolist())}
+    first, cuts = graph._packed(pivots, {c: v["n"] for c, v in cells.items()}, 800)
+    send = graph._sender(graph._router(pivots, cells, 8), first, cuts)
+    rows = next(send([pd.DataFrame({"id": range(100), "v": list(x[:100])})]))
+    reached = np.unpackbits(np.frombuffer(b"".join(rows["near"]), np.uint8).reshape(100, -1), axis=1).sum(1)
+    assert reached.mean() > 40 and max(map(len, rows["blocks"])) <= 8
+    packed = np.bincount(first[cell], minlength=1)
+    assert packed.sum() == 4000 and packed.max() <= 800
+
+
+def test_neighbours_in_folds_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 12))
+    x[700:1000] = x[3]  # ties over the edge of k
+    x[5, 0] = np.inf  # no neighbour of any row
+    ids = np.arange(1500) * 2
+    got = graph.knn_edges(spark.createDataFrame(
+        [(int(i), [float(a) for a in v]) for i, v in zip(ids, x)], "id long, v array<double>"), "id", "v", 5)
+    mine = {}
+    for row in got.orderBy("src", "dist", "dst").collect():
+        mine.setdefault(row.src // 2, []).append(row.dst // 2)
+    for i in [0, 3, 4, 699, 700, 999, 1499]:
+        gaps = np.sqrt(np.square(x - x[i]).sum(1))
+        want = sorted((g, j) for j, g in enumerate(gaps) if j != i and np.isfinite(g))[:5]
+        assert mine[i] == [j for _, j in want]
+    assert 5 not in {j for found in mine.values() for j in found}
