@@ -18,8 +18,8 @@ from halflight.session import cut_lineage
 SEEDINGS, ROUNDS = 10, 300
 #: A run ends when no centre moves farther than this.
 TOLERANCE = 1e-4
-#: Distances that a task holds at once.
-BLOCK = 4_000_000
+#: Distances that a task holds at once, few enough to stay near the processor, and rows written as one.
+BLOCK, PACKED = 250_000, 2048
 
 
 class Run(NamedTuple):
@@ -44,11 +44,13 @@ def cluster_runs(train: DataFrame, features: str = "features", ks: range = range
     """
     rows = train.filter(F.col(features).isNotNull()).select(
         vector_to_array(features).alias("x"), F.monotonically_increasing_id().alias("row"))
-    rows = cut_lineage(rows)
+    # rows keep their numbers and are dealt evenly: a file of one row group would be one task in every pass
+    rows = cut_lineage(rows.repartition(train.sparkSession.sparkContext.defaultParallelism, "row"))
     mean = rows.groupBy(F.lit("all")).agg(Summarizer.mean(array_to_vector("x"))).first()  # none without rows
     plan = [(k, s) for k in ks for s in range(seedings)]
     if mean is None:
         return [Run(k, s, 0.0, 0, []) for k, s in plan]
+    rows = cut_lineage(rows.mapInPandas(_packed, "x binary, row binary"))
     shift = mean[1].toArray()  # distances are taken near the origin, where they lose no digits
     places = _seeded(rows, shift, plan, seed)
     made = [0] * len(plan)
@@ -77,13 +79,24 @@ def best_run(runs: list[Run], k: int) -> Run:
     return min((r for r in runs if r.k == k), key=lambda r: (r.inertia, r.seeding))
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Many rows as one, so that a pass reads matrices instead of making them again."""
+    for batch in batches:
+        for at in range(0, len(batch), PACKED):
+            part = batch.iloc[at:at + PACKED]
+            yield pd.DataFrame({"x": [np.stack(part["x"].to_numpy()).astype(float).tobytes()],
+                                "row": [part["row"].to_numpy().astype(np.uint64).tobytes()]})
+
+
 def _batches(batches: Iterator[pd.DataFrame], shift: np.ndarray, centres: int):
-    """Rows as matrices around ``shift``, so many that a matrix of distances fits."""
+    """Packed rows as matrices around ``shift``, so many that a matrix of distances fits."""
     step = max(1, BLOCK // max(centres, 1))
     for batch in batches:
-        for at in range(0, len(batch), step):
-            part = batch.iloc[at:at + step]
-            yield np.stack(part["x"].to_numpy()) - shift, part["row"].to_numpy().astype(np.uint64)
+        for x, row in zip(batch["x"], batch["row"], strict=True):
+            numbers = np.frombuffer(row, np.uint64)
+            places = np.frombuffer(x).reshape(len(numbers), -1) - shift
+            for at in range(0, len(numbers), step):
+                yield places[at:at + step], numbers[at:at + step]
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -136,18 +149,25 @@ def _assigned(rows: DataFrame, shift: np.ndarray, places: dict[int, np.ndarray])
     order = list(places)
     bounds = np.cumsum([0] + [len(places[r]) for r in order])
     every = np.concatenate([places[r] for r in order])
+    # runs of as many centres are told together
+    alike: dict[int, list[int]] = {}
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        alike.setdefault(int(b - a), []).append(int(a))
+    alike.pop(0, None)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, cost = np.zeros(len(every), np.int64), np.zeros(len(every))
         sums = np.zeros(every.shape)
         for x, _ in _batches(batches, shift, len(every)):
             gaps = _squares(x, every)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                nearest = gaps[:, a:b].argmin(1)
-                mine = (nearest[:, None] == np.arange(b - a)).astype(float)
-                n[a:b] += mine.sum(0).astype(np.int64)
-                cost[a:b] += (mine * gaps[:, a:b]).sum(0)
-                sums[a:b] += mine.T @ x
+            mine = np.zeros(gaps.shape)
+            for k, starts in alike.items():
+                columns = np.add.outer(starts, np.arange(k))
+                nearest = gaps[:, columns].argmin(2) + np.array(starts)
+                np.put_along_axis(mine, nearest, 1.0, axis=1)
+                n += np.bincount(nearest.ravel(), minlength=len(every))
+                cost += np.bincount(nearest.ravel(), np.take_along_axis(gaps, nearest, axis=1).ravel(), len(every))
+            sums += mine.T @ x
         held = np.flatnonzero(n)
         if len(held):
             yield pd.DataFrame({"place": held, "n": n[held], "cost": cost[held], "sums": list(sums[held])})

@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from halflight.operators import graph, models
+from halflight.operators import clusters, graph, models
 
 
 def noisy_rows(spark, n=600):
@@ -61,3 +62,22 @@ def test_neighbours_in_folds_match_brute_force(spark):
         want = sorted((g, j) for j, g in enumerate(gaps) if j != i and np.isfinite(g))[:5]
         assert mine[i] == [j for _, j in want]
     assert 5 not in {j for found in mine.values() for j in found}
+
+
+def test_a_pass_of_kmeans_has_the_rows_of_one_part_in_all_tasks(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(900, 3))
+    rows = spark.createDataFrame([([float(a) for a in v],) for v in x], "v array<double>").coalesce(1)
+    dealt = []
+    assigned = clusters._assigned
+
+    def seen(rows, shift, places):
+        sizes = rows.rdd.map(lambda r: len(r["row"]) // 8).glom().map(sum).collect()
+        dealt.append(sizes)
+        return assigned(rows, shift, places)
+
+    monkeypatch.setattr(clusters, "_assigned", seen)
+    runs = clusters.cluster_runs(rows.select(array_to_vector("v").alias("features")), ks=range(2, 4), seedings=2, rounds=2)
+    assert all(sum(sizes) == 900 and max(sizes) < 450 for sizes in dealt)
+    for run in runs:
+        gaps = np.square(x[:, None] - np.array(run.centres)[None]).sum(2)
+        assert abs(run.inertia - gaps.min(1).sum()) < 1e-6
