@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from halflight.operators import clusters, graph, models
+from halflight.plans import training
 
 
 def noisy_rows(spark, n=600):
@@ -81,3 +82,19 @@ def test_a_pass_of_kmeans_has_the_rows_of_one_part_in_all_tasks(spark, monkeypat
     for run in runs:
         gaps = np.square(x[:, None] - np.array(run.centres)[None]).sum(2)
         assert abs(run.inertia - gaps.min(1).sum()) < 1e-6
+
+
+def test_preparing_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, "a b " * (i % 5 + 1), int(i % 3 == 0), 0) for i in range(60)],
+                                 "id int, text string, toxic int, low int")
+    out = training.prepare_labelled(rows, "id", "text", clean("text"), ["toxic", "low"], [F.length("text").alias("n")])
+    found = {(r["id"], r["label"], r["n"]) for r in out.collect()}
+    assert len(found) == 40 and all(n == 4 * (i % 5 + 1) and label == (i % 3 == 0) for i, label, n in found)
+    assert read.value <= 120
