@@ -98,3 +98,26 @@ def test_preparing_reads_each_text_once(spark):
     found = {(r["id"], r["label"], r["n"]) for r in out.collect()}
     assert len(found) == 40 and all(n == 4 * (i % 5 + 1) and label == (i % 3 == 0) for i, label, n in found)
     assert read.value <= 120
+
+
+def test_fits_read_few_partitions_whatever_their_rows_came_in(spark, monkeypatch):
+    seen = []
+
+    def watched(model):
+        class Watched(model):
+            def fit(self, rows, *args):
+                seen.append(rows.rdd.getNumPartitions())
+                return super().fit(rows, *args)
+        return Watched
+
+    for name in ("LinearSVC", "LogisticRegression", "Pipeline"):
+        monkeypatch.setattr(models, name, watched(getattr(models, name)))
+    rows, few = noisy_rows(spark), spark.sparkContext.defaultParallelism
+    many = rows.repartition(5 * few, "id").localCheckpoint()
+    scores = [{r.id: r.p1 for r in models.rbf_svm(part, rows, ["a", "b"], "y", ["id"], max_iter=20).collect()}
+              for part in (many, rows.coalesce(1).localCheckpoint())]
+    assert max(abs(scores[0][i] - scores[1][i]) for i in scores[0]) < 0.02
+    split = many.withColumn("split", F.when(F.col("id") % 3 == 0, "test").otherwise("train"))
+    got = models.compare_models(split, {"two": ["a", "b"]}, "y", "id", trees=3)
+    assert sorted(r.model for r in got.collect()) == ["KNN", "Logistic Regression", "Random Forest", "SVM"]
+    assert len(seen) == 18 and max(seen) <= few
