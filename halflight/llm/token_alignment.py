@@ -3,7 +3,8 @@
 Both tokenizers encode a document as a whole. Places where a token of both ends and the next token of
 both begins with a space are anchors, verified by their byte offsets; they cut the document into
 windows, pairs of token-id runs. What is linked inside a window depends on its ids alone, so it is
-worked out once and looked up by the two tuples of ids, packed into bytes, afterwards.
+worked out once and looked up by the ids of both, packed into bytes, afterwards. So is what it
+spells: only whole windows are compared with the text.
 
 Tokens whose bytes end together are linked. Byte offsets where tokens of both end cut a document into
 groups. A document whose tokens do not spell its text, byte for byte, has no tokens, like an empty or
@@ -13,7 +14,6 @@ null one.
 from __future__ import annotations
 
 import json
-import struct
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,11 @@ from halflight.session import cut_lineage
 CHUNK_BYTES = 1 << 19
 #: Window alignments kept in a process.
 MEMO = 300_000
-PAIR, NONE = struct.Struct("<ii"), np.zeros(0, np.int64)
+NONE = np.zeros(0, np.int64)
+#: Groups written out (None: the two spell differently), linked pairs and text of a window.
+Window = tuple[str | None, bytes, bytes]
+#: What ``align`` gives for a text without tokens.
+NO_TOKENS = 0, 0, 0, "", NONE, NONE
 #: Id pairs whose counts are sent to every executor; 24 bytes each.
 HOT_PAIRS = 400_000
 # Fixed value: where the byte-level vocabulary may not merge.
@@ -93,33 +97,47 @@ class Aligner:
 
     def __init__(self, a, b):
         self.a, self.b = a, b
-        self.sizes = [[len(x) for x in t.bytes] for t in (a, b)]
-        self.size_arrays = [np.array(x) for x in self.sizes]
-        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
+        self.size_arrays = [np.array([len(x) for x in t.bytes]) for t in (a, b)]
+        # an id as it is written: inside a run, and last of A and of B in a group
+        self.written = [f"{i}{end}" for i in range(max(map(len, self.size_arrays))) for end in ",|;"]
+        self.written_sizes = np.array(list(map(len, self.written)))
         self.spaced = [np.array([x.startswith(b" ") for x in t.bytes]) for t in (a, b)]
-        self.memo: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-
-    def _window(self, packed_a: bytes, packed_b: bytes) -> tuple[str, bytes]:
-        """(groups, linked pairs) of a window, whose last tokens end together."""
-        ids_a, ids_b = (memoryview(ids).cast("i").tolist() for ids in (packed_a, packed_b))
-        (size_a, size_b), names = self.sizes, self.names
-        if len(ids_a) == 1 or len(ids_b) == 1:  # one group
-            group = ",".join([names[i] for i in ids_a]) + "|" + ",".join([names[i] for i in ids_b])
-            return group, PAIR.pack(ids_b[-1], ids_a[-1])
-        groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        end_a = end_b = 0
-        while i < len(ids_a):
-            end_a += size_a[ids_a[i]]
-            i += 1
-            while end_b < end_a:
-                end_b += size_b[ids_b[j]]
-                j += 1
-            if end_a == end_b:
-                groups.append(",".join([names[x] for x in ids_a[from_a:i]]) + "|"
-                              + ",".join([names[x] for x in ids_b[from_b:j]]))
-                links.append(PAIR.pack(ids_b[j - 1], ids_a[i - 1]))
-                from_a, from_b = i, j
-        return ";".join(groups), b"".join(links)
+        self.memo: dict[bytes, Window] = {}  # by the ids of A, then those of B turned negative by ~
+
+    def _windows(self, keys: list[bytes]) -> list[Window]:
+        """Windows, given by their packed ids, worked out together."""
+        ids = np.frombuffer(b"".join(keys), np.int32)
+        of_b = ids < 0
+        ids_a, ids_b = ids[~of_b], ~ids[of_b]
+        spelt, other = (b"".join(map(t.bytes.__getitem__, ids.tolist()))
+                        for t, ids in ((self.a, ids_a), (self.b, ids_b)))
+        # tokens up to the end of each window, and where every token ends
+        upto = np.cumsum(list(map(len, keys))) // 4
+        upto_b = np.cumsum(of_b)[upto - 1]
+        upto_a = upto - upto_b
+        ends_a, ends_b = (np.cumsum(sizes[ids]) for sizes, ids in zip(self.size_arrays, (ids_a, ids_b), strict=True))
+        bounds, bounds_b = (np.append(0, ends)[upto] for ends, upto in ((ends_a, upto_a), (ends_b, upto_b)))
+        if spelt != other or (bounds != bounds_b).any():  # some are spelt in two ways
+            if len(keys) == 1:
+                return [(None, b"", b"")]
+            return [self._windows([key])[0] for key in keys]
+        there = np.zeros((2, len(spelt) + 1), bool)
+        there[0, ends_a], there[1, ends_b] = True, True
+        last_a, last_b = there[1, ends_a], there[0, ends_b]
+        at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        # tokens in the order they are written in: those of A of a group, then those of B
+        codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+        codes[np.arange(len(ids_a)) + np.append(0, at_b + 1)[np.cumsum(last_a) - last_a]] = 3 * ids_a + last_a
+        codes[np.arange(len(ids_b)) + at_a[np.cumsum(last_b) - last_b] + 1] = 3 * ids_b + 2 * last_b
+        groups = "".join(map(self.written.__getitem__, codes.tolist()))
+        pairs = (ids_a[at_a].astype("<i8") << 32 | ids_b[at_b]).tobytes()
+        to_group = np.cumsum(self.written_sizes[codes])[upto - 1].tolist()
+        to_pair = (8 * np.cumsum(last_a)[upto_a - 1]).tolist()
+        found, from_group, from_pair, start = [], 0, 0, 0
+        for group, pair, end in zip(to_group, to_pair, bounds.tolist(), strict=True):
+            found.append((groups[from_group:group - 1], pairs[from_pair:pair], spelt[start:end]))
+            from_group, from_pair, start = group, pair, end
+        return found
 
     def anchors(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of each stand before every anchor, the document's end included."""
@@ -127,33 +145,44 @@ class Aligner:
         for ids, sizes, spaced in zip((ids_a, ids_b), self.size_arrays, self.spaced, strict=True):
             before = np.flatnonzero(spaced[ids[1:]]) + 1
             cuts.append((before, np.cumsum(sizes[ids])[before - 1]))
-        _, at_a, at_b = np.intersect1d(cuts[0][1], cuts[1][1], assume_unique=True, return_indices=True)
-        return np.append(cuts[0][0][at_a], len(ids_a)), np.append(cuts[1][0][at_b], len(ids_b))
+        (before_a, places_a), (before_b, places_b) = cuts
+        there = np.zeros((2, 1 + max(places_a[-1:].tolist() + places_b[-1:].tolist(), default=0)), bool)
+        there[0, places_a], there[1, places_b] = True, True
+        return (np.append(before_a[there[1, places_a]], len(ids_a)),
+                np.append(before_b[there[0, places_b]], len(ids_b)))
 
     def align(self, text: str, ids_a: list[int], ids_b: list[int]):
         """(tokens of A, of B, groups, groups written out, linked pairs, how often each) of a document;
         a pair is one number, the id of A above that of B."""
-        raw = b" " + text.encode()
-        spelt = lambda t, ids: b"".join(map(t.bytes.__getitem__, ids))
-        if not text or spelt(self.a, ids_a) != raw or spelt(self.b, ids_b) != raw:
-            return 0, 0, 0, "", NONE, NONE
+        if not text:
+            return NO_TOKENS
         array_a, array_b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
-        packed_a, packed_b = array_a.tobytes(), array_b.tobytes()
-        memo, found, from_a, from_b = self.memo, [], 0, 0
         ends_a, ends_b = self.anchors(array_a, array_b)
-        for i, j in zip((ends_a * 4).tolist(), (ends_b * 4).tolist(), strict=True):
-            key = packed_a[from_a:i], packed_b[from_b:j]
-            window = memo.get(key)
-            if window is None:
-                window = self._window(*key)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[key] = window
-            found.append(window)
-            from_a, from_b = i, j
-        links = np.frombuffer(b"".join([w[1] for w in found]), "<i8")
+        in_a, in_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        packed = np.empty(len(ids_a) + len(ids_b), np.int32)
+        packed[np.arange(len(ids_a)) + np.repeat(ends_b - in_b, in_a)] = array_a
+        packed[np.arange(len(ids_b)) + np.repeat(ends_a, in_b)] = ~array_b
+        packed, ends = packed.tobytes(), ((ends_a + ends_b) * 4).tolist()
+        keys = [packed[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        memo = self.memo
+        found = list(map(memo.get, keys))
+        if None in found:
+            if len(memo) >= MEMO:
+                memo.clear()
+                found = [None] * len(keys)
+            places = [i for i, window in enumerate(found) if window is None]
+            new = list({keys[i] for i in places})
+            memo.update(zip(new, self._windows(new), strict=True))
+            for i in places:
+                found[i] = memo[keys[i]]
+        # both vocabularies spell the same in every window, and all windows together the text
+        groups = [w[0] for w in found]
+        if None in groups or b"".join([w[2] for w in found]) != b" " + text.encode():
+            return NO_TOKENS
+        links = b"".join([w[1] for w in found])
+        links = np.frombuffer(links, "<i8")
         pairs, times = np.unique(links, return_counts=True)
-        return len(ids_a), len(ids_b), len(links), ";".join([w[0] for w in found]), pairs, times
+        return len(ids_a), len(ids_b), len(links), ";".join(groups), pairs, times
 
 
 @lru_cache(maxsize=2)

@@ -123,3 +123,18 @@ def test_windows_end_at_anchors():
         same = [b"".join(t.bytes[x] for x in ids) for t, ids in ((work.a, ids_a[i:k]), (work.b, ids_b[j:m]))]
         assert same[0] == same[1] and same[0].startswith(b" ")
         i, j = k, m
+
+
+def test_new_windows_of_a_document_are_worked_out_together(brute, monkeypatch):
+    work = token_alignment.Aligner(*(getattr(token_alignment.aligner(A, B), t) for t in "ab"))
+    asked, windows = [], work._windows
+    monkeypatch.setattr(work, "_windows", lambda keys: asked.append(len(keys)) or windows(keys))
+    monkeypatch.setattr(token_alignment, "MEMO", 40)
+    texts = ["Words, words, and 12345 unforeseeable words.", "good words a▁b good words", "good words", "日本語 é😀 words",
+             " ".join(f"w{i}" for i in range(50)), "Words, words, and one more."]
+    for text, want in zip(texts, brute(texts), strict=True):
+        n_a, n_b, n_groups, groups, pairs, times = work.align(text, work.a.encode([text])[0], work.b.encode([text])[0])
+        digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+        assert (n_a, n_b, n_groups, int(times.sum()), digest) == (*want[:4], want[6])
+    # one call a document, and one a window where some are spelt in two ways; "good words" is known by then
+    assert asked[0] > 4 and max(asked) == 50 and len([n for n in asked if n > 1]) == 5
