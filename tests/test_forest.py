@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from halflight.functions import text
 from halflight.operators import evaluate, forest, models, selftrain
 from halflight.plans import training
+from halflight.session import scratch_path
+from halflight.sources import models as bundles
 
 
 def rows_of(spark, n=3000, seed=1, start=0):
@@ -132,3 +134,44 @@ def test_blocks_of_texts_of_any_size(monkeypatch):
     monkeypatch.setattr(text, "MEASURED_BYTES", 50)
     got = text._measured(pa.concat_arrays([pa.array(["cut off"]), texts]).slice(1))
     assert all(want[c].equals(got[c]) for c in want)
+
+
+def test_a_stored_forest_scores_as_before(spark):
+    train = rows_of(spark, 600)
+    model = models.grown_forest(train, list("abcd"), "y", trees=5, max_depth=15, clip=2.0, scale=True)
+    path = scratch_path(spark, "bundle")
+    bundles.save_model(model, path, "m", "RandomForest", "t", "y", list("abcd"), {"f1": 1.0}, spark)
+    again, info = bundles.load_model(spark, path)
+    score = lambda m: sorted(tuple(r) for r in models.predict(m, train, ["id"]).collect())
+    assert score(again) == score(model) and info.first()["name"] == "m"
+    assert again.getNumTrees == 5 and again.getOrDefault("maxDepth") == 15
+
+
+def test_trees_too_large_for_the_driver_stay_a_table(spark, monkeypatch):
+    train = rows_of(spark, 600)
+    settings = dict(trees=9, max_depth=20, seed=3)
+    small = models.grown_forest(train, list("abcd"), "y", **settings)
+    monkeypatch.setattr(forest, "SMALL_BYTES", 0)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 100)
+    large = models.grown_forest(train, list("abcd"), "y", **settings)
+    assert isinstance(small.trees, list) and not isinstance(large.trees, list)
+    path = scratch_path(spark, "large")
+    bundles.save_model(large, path, "m", "RandomForest", "t", "y", list("abcd"), {}, spark)
+    score = lambda m: {r.id: r.p1 for r in models.predict(m, train, ["id", "y"]).collect()}
+    want = score(small)
+    for model in (large, bundles.load_model(spark, path)[0]):
+        assert not isinstance(model.trees, list)
+        got = score(model)
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-12
+
+
+def test_a_trial_has_the_scores_of_its_forest_and_collects_no_tree(spark, monkeypatch):
+    train, judged = rows_of(spark, 500), rows_of(spark, 300, seed=2)
+    settings = dict(trees=6, max_depth=14, min_leaf=2, subset="log2", seed=5)
+    model = models.grown_forest(train, list("abcd"), "y", **settings)
+    want = sorted(round(r.p1, 9) for r in models.predict(model, judged, ["id"]).collect())
+    monkeypatch.setattr(forest, "_tree", None)  # nobody reads a tree back
+    got = forest.ForestTrials(train, judged, list("abcd"), "y").scores(**settings)
+    assert sorted(round(r.p1, 9) for r in got.collect()) == want and got.columns == ["y", "p1"]
+    space = {"trees": [2], "max_depth": [3, 30]}
+    assert models.hyperparameter_search(train, judged, list("abcd"), "y", space, 4).count() == 4
