@@ -175,3 +175,29 @@ def test_a_trial_has_the_scores_of_its_forest_and_collects_no_tree(spark, monkey
     assert sorted(round(r.p1, 9) for r in got.collect()) == want and got.columns == ["y", "p1"]
     space = {"trees": [2], "max_depth": [3, 30]}
     assert models.hyperparameter_search(train, judged, list("abcd"), "y", space, 4).count() == 4
+
+
+def test_a_round_of_self_training_is_a_few_jobs_over_rows_written_once(spark):
+    train, pool = rows_of(spark, 300), rows_of(spark, 600, seed=2, start=1000).drop("y")
+    run = lambda rounds: selftrain.self_training(train, pool, list("abcd"), "y", "id", 0.85, rounds, trees=10)
+    (_, one), few = jobs_of(spark, lambda: run(1))
+    (model, pseudo), jobs = jobs_of(spark, lambda: run(3))
+    rows = pseudo.collect()
+    assert {r["round"] for r in rows} == {1, 2, 3} and len({r["id"] for r in rows}) == len(rows)
+    assert all(r["confidence"] > 0.85 for r in rows)
+    assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in rows if r["round"] == 1)
+    assert (jobs - few) / 2 <= 12  # a fit of Spark's forest alone is over fifteen
+
+
+def test_trees_grown_together_are_trees(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, forest.BINS, (3, 2000)).astype(np.uint8)
+    y = ((x[0] > 9) ^ (x[2] > 20)).astype(np.intp)
+    plan = forest.Plan([0, 1, 2], 1, 8, 1, 2, np.ones(2), 7)
+    trees = forest.grow_trees(x, y, 2, plan, np.random.default_rng(5), 4)
+    for tree in trees:
+        inner = np.flatnonzero(tree.below != np.arange(len(tree.below)))
+        assert sorted([0, *tree.below[inner], *(tree.below[inner] + 1)]) == list(range(len(tree.below)))
+        out = np.zeros(2000)
+        forest.add_scores(x, [tree], out)
+        assert ((out > 0.5) == y).mean() > 0.95
