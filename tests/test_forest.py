@@ -189,6 +189,29 @@ def test_a_round_of_self_training_is_a_few_jobs_over_rows_written_once(spark):
     assert (jobs - few) / 2 <= 12  # a fit of Spark's forest alone is over fifteen
 
 
+def watched_fits(monkeypatch, name):
+    """Rows of every fit that ``selftrain`` starts by this name."""
+    seen, fit = [], getattr(selftrain, name)
+
+    def counted(rows, *args, **named):
+        seen.append(rows.count())
+        return fit(rows, *args, **named)
+
+    monkeypatch.setattr(selftrain, name, counted)
+    return seen
+
+
+def test_trials_start_from_one_forest_of_the_labelled_rows(spark, monkeypatch):
+    df = rows_of(spark, 400)
+    pool = df.filter("id >= 200").drop("y").withColumn("position", F.col("id") - 199)
+    seen = watched_fits(monkeypatch, "grown_forest")
+    space = {"ssl_method": ["self_training"], "n_unlabeled": [50, 200], "st_threshold": (0.6, 0.7), "st_max_iter": [1, 2]}
+    got = selftrain.semi_supervised_search(df.filter("id < 120"), df.filter("id between 120 and 199"), pool, list("abcd"),
+                                           "y", "id", space, 3, forest={"trees": 4, "max_depth": 4}).collect()
+    assert len(got) == 3 and all(r.n_pseudo_labeled > 0 for r in got)
+    assert seen.count(120) == 1 and len(seen) > 3
+
+
 def test_trees_grown_together_are_trees(monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.integers(0, forest.BINS, (3, 2000)).astype(np.uint8)
