@@ -212,6 +212,17 @@ def test_trials_start_from_one_forest_of_the_labelled_rows(spark, monkeypatch):
     assert seen.count(120) == 1 and len(seen) > 3
 
 
+def test_sizes_of_a_sweep_start_from_the_same_models(spark, monkeypatch):
+    df = rows_of(spark, 300)
+    pool = df.filter("id >= 150").drop("y").withColumn("position", F.col("id") - 149)
+    alone, both = watched_fits(monkeypatch, "grown_forest"), watched_fits(monkeypatch, "grow_forests")
+    got = selftrain.unlabelled_size_sweep(
+        df.filter("id < 100"), df.filter("id between 100 and 149"), pool, list("abcd"), "y", "id", [0, 40, 150],
+        (["a", "b"], ["c", "d"]), methods=("Self-Training", "Co-Training"), threshold=0.6, trees=4, max_iter=1, co_rounds=1).collect()
+    assert len(got) == 6 and all(r.n_pseudo_labeled > 0 for r in got if r.n_unlabeled)
+    assert alone.count(100) == 1 and both.count(100) == 1 and len(alone) == len(both) == 3
+
+
 def test_trees_grown_together_are_trees(monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.integers(0, forest.BINS, (3, 2000)).astype(np.uint8)
