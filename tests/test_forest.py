@@ -92,6 +92,12 @@ def test_grown_forests_are_as_good_as_sparks(spark):
     assert auc["grown"] > auc["spark"] - 0.01 and auc["grown"] > 0.85
 
 
+def test_the_same_rows_make_the_same_forest_however_they_are_dealt(spark):
+    train = rows_of(spark, 500)
+    fit = lambda rows: [t.p.tolist() for t in models.grown_forest(rows, list("abcd"), "y", trees=4).trees]
+    assert fit(train) == fit(train.orderBy(F.desc("id")).repartition(5).localCheckpoint())
+
+
 def test_two_forests_take_a_few_jobs_and_no_job_a_level(spark):
     train = rows_of(spark, 500)
     (one, two), jobs = jobs_of(spark, lambda: forest.grow_forests(train, [["a", "b"], ["c", "d"]], "y", trees=7))
